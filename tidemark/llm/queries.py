@@ -3,17 +3,57 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SHARDS = 16
+SEQUENCE = 1024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary() -> tuple[str, str]:
+    """Paths of the public vocabulary as ranks and as json."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import jaccard_components
 
     return jaccard_components(spark, read(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard,)}
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import record_keys, shard_by_bytes
+
+    out = shard_by_bytes(spark, record_keys(read(spark, sf_dir, "documents")), SHARDS)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "range_id")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import Capacity, pack, token_pieces
+
+    pieces = token_pieces(read(spark, sf_dir, "documents"), *vocabulary(), SEQUENCE)
+    return pack(spark, pieces, Capacity(SEQUENCE))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import fit, identify
+
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", held.alias("held_out"))
+    model = fit(docs.where(~F.col("held_out")))
+    return identify(docs, model, keep=["doc_id", "held_out"])
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(spark, read(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_sharding, op7_packing, op8_language_id, op9_warc)}
 ORACLES: dict[str, str] = {}
