@@ -26,6 +26,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, read(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import digest, find_personal_data
+
+    return digest(find_personal_data(spark, read(spark, sf_dir, "documents")))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import record_keys, shard_by_bytes
 
@@ -55,5 +61,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_sharding, op7_packing, op8_language_id, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_sharding, op7_packing, op8_language_id, op9_warc)}
 ORACLES: dict[str, str] = {}
