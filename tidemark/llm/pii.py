@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
+from .spans import match_spans
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.9
@@ -95,21 +96,12 @@ def _votes(kind: str, m: str, before: str, after: str) -> str:
 def _found(df: DataFrame, kind: str, base: bool) -> DataFrame:
     """``df`` with the candidates of one pattern as an array column."""
     name = f"{kind}_{'base' if base else 'loose'}"
-    pattern = (BASE if base else LOOSE)[kind].replace("\\", "\\\\").replace("'", "\\'")
-    need = NEEDS[kind, base].format(t="text")
-    df = df.withColumn("m", F.expr(f"if({need}, regexp_extract_all(text, '{pattern}', 0), cast(array() as array<string>))"))
-    df = df.withColumn("p", F.expr(f"if(size(m) > 0, split(text, '{pattern}', -1), cast(array() as array<string>))"))
-    # starts are prefix sums in two levels, so many matches in a text cost little more than few
-    df = df.withColumn("n", F.expr("transform(m, (x, i) -> length(p[i]) + length(x))"))
-    df = df.withColumn("c", F.expr("if(size(n) > 0, transform(sequence(0, (size(n) - 1) div 128), j -> aggregate(slice(n, j * 128 + 1, 128), 0, (s, x) -> s + x)), cast(array() as array<int>))"))
-    df = df.withColumn("c", F.expr("transform(c, (x, j) -> if(j = 0, 0, aggregate(slice(c, 1, j), 0, (s, y) -> s + y)))"))
-    start = "c[i div 128] + if(i % 128 = 0, 0, aggregate(slice(n, (i div 128) * 128 + 1, i % 128), 0, (s, y) -> s + y)) + length(p[i])"
-    at = f"transform(m, (x, i) -> named_struct('start', {start}, 'length', length(x), 'm', x, 'before', right(p[i], {CONTEXT}), 'after', left(p[i + 1], 1)))"
+    df = match_spans(df, "text", (BASE if base else LOOSE)[kind], "__at", CONTEXT, NEEDS[kind, base].format(t="text"))
     ok = _fill(CHECK[kind], "y.m") if base else "true"
     votes = _votes(kind, "y.m", "y.before", "y.after")
     span = f"named_struct('kind', {KINDS.index(kind)}, 'start', y.start, 'end', y.start + y.length, 'base', {str(base).lower()}, 'votes', {votes})"
-    df = df.withColumn(name, F.expr(f"transform(filter({at}, y -> {ok}), y -> {span})"))
-    return df.drop("m", "p", "n", "c")
+    df = df.withColumn(name, F.expr(f"transform(filter(__at, y -> {ok}), y -> {span})"))
+    return df.drop("__at")
 
 
 def candidates(docs: DataFrame) -> DataFrame:

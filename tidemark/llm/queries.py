@@ -39,6 +39,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "range_id")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import search
+
+    return search(spark, read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spotsigs import edit_report
 
@@ -67,5 +73,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_sharding, op5_spotsigs, op7_packing, op8_language_id, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_sharding, op4_ann, op5_spotsigs, op7_packing, op8_language_id, op9_warc)}
 ORACLES: dict[str, str] = {}
