@@ -51,6 +51,12 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_report(spark, read(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(spark, read(spark, sf_dir, "documents")))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import Capacity, pack, token_pieces
 
@@ -73,5 +79,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_sharding, op4_ann, op5_spotsigs, op7_packing, op8_language_id, op9_warc)}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("h")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_sharding, op4_ann, op5_spotsigs, op6_secrets, op7_packing, op8_language_id, op9_warc, op10_mixing)}
 ORACLES: dict[str, str] = {}
