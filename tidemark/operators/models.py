@@ -22,6 +22,7 @@ from pyspark.sql import Window
 
 from ..functions.axis import Axis, number
 from ..functions.scalar import divide
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -202,9 +203,9 @@ BASELINES: dict[str, Model] = {"buy_and_hold": BuyAndHold(), "random": RandomSig
 def walk_forward(df: DataFrame, axis: Axis, splitter: Splitter, models: dict[str, Model]) -> DataFrame:
     """Test rows of every model and fold: the columns of ``df``, pos, fold, model, prediction.
 
-    The rows are kept (memory, then disk) as every model reads them.
+    The rows are computed once, as every model reads them.
     """
-    df = with_positions(df.persist(), axis).persist()
+    df = cut(with_positions(cut(df), axis))
     rows = test_rows(df, splitter)
     out = None
     for name, model in models.items():

@@ -11,6 +11,7 @@ from ..functions.axis import Axis
 from ..operators.costs import CostModel, Kelly, agreement_filter, apply_costs, freeze_outside, lagged_vol, mean_holding, size_positions
 from ..operators.metrics import bootstrap_sharpe, summarize
 from ..operators.models import Model, Splitter, ensemble, first_fold, walk_forward
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ def run_backtest(
     keys = list(own.keys)
     extra = [carry_annual] if carry_annual else []
     raw = raw.select(*keys, axis.ts, "pos", "fold", "market", "vol", "y", "prediction", *extra)
-    raw = raw.persist()  # read by the folds' figures, the hurdle and the positions
+    raw = cut(raw)  # read by the folds' figures, the hurdle and the positions
     pred = first_fold(raw, axis)
     if kelly.min_edge is None:
         hurdle = mean_holding(pred, own, "prediction").select(*keys, (F.lit(cost.breakeven) / F.col("holding_bars")).alias("min_edge"))
@@ -68,7 +69,7 @@ def run_backtest(
         sized = pred.withColumn("min_edge", F.lit(kelly.min_edge)).withColumn("position", size_positions("prediction", "vol", kelly))
     if allowed_hours is not None:
         sized = sized.withColumn("position", freeze_outside(own, allowed_hours))
-    returns = positions_to_returns(sized, own, cost, carry_annual).persist()
+    returns = cut(positions_to_returns(sized, own, cost, carry_annual))
     gross = summarize(returns, own, "gross", bars_per_year, "position")
     net = summarize(returns, own, "net", bars_per_year, "position")
     folds = fold_metrics(raw, own, cost, kelly, bars_per_year)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC makes local wall clocks explicit; AQE splits skewed joins and merges small partitions.
 SETTINGS = {
@@ -16,3 +18,15 @@ SETTINGS = {
 def session(app: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app).config(map={**SETTINGS, **conf})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and its lineage cut, by a checkpoint in the folder that the cluster shares.
+
+    That folder is the session's spark.checkpoint.dir; only where it is unset
+    (tests, a single machine) is a temporary one used.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    return df.checkpoint()
