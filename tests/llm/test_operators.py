@@ -1,0 +1,278 @@
+"""The training-data operators against brute force, round trips and edge cases."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tidemark.llm import ann, langid, mixing, ngram_join, packing, pii, queries, secrets, sharding, spotsigs, warc
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, h string, size int, found int"
+WORDS = "the river runs past a mill and the old stone bridge where people of this town meet to talk about work and weather on long summer days".split()
+
+
+def passage(seed, n=60):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"{WORDS[i]}{'' if j % 3 else seed % 7}" for j, i in enumerate(rng.integers(0, len(WORDS), n)))
+
+
+def corpus():
+    """Rows with copies, near copies, ties, nulls, empty and long texts, and columns of clashing names."""
+    texts = [passage(i) for i in range(12)]
+    texts += [texts[0]] * 6 + [texts[1] + " tail", texts[1].replace("river", "RIVER"), " ".join(texts[2].split()[:-1]), passage(3, 4000), "", None, "  \t ", "one", "two words", "one"]
+    texts += ["Mail a.b+c@example.co.uk, call +44 20 7946 0958, host 10.0.0.256 and 192.168.1.7; card 4111 1111 1111 1111.", "password = \"hV93kdPq27sLmZ81\" in config", "\U0001f600 émoji ünïcode 漢字", "12345 67890"]
+    rows = [(i, t, "en" if i % 2 else "de", "s", len(t or ""), i, "x", 1, 2) for i, t in enumerate(texts)]
+    return [*rows, (None, texts[4], None, None, None, None, None, None, None), rows[5]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOCS).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def shingles(text, width):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    if not words:
+        return frozenset()
+    return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
+
+
+@pytest.mark.parametrize("width,num", [(4, 85), (5, 80)])
+def test_ngram_join_against_all_pairs(spark, docs, width, num):
+    rows = [r for r in corpus() if r[0] is not None]
+    sets = {(r[0], r[1]): shingles(r[1], width) for r in rows}
+    up = {r[0]: r[0] for r in rows}
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    items = sorted(sets.items(), key=lambda x: x[0][0])
+    for i, ((a, _), x) in enumerate(items):
+        for (b, _), y in items[i + 1 :]:
+            if x and y and 100 * len(x & y) >= num * len(x | y):
+                lo, hi = sorted((find(a), find(b)))
+                up[hi] = lo
+    got = ngram_join.jaccard_components(spark, docs, width, num, 100).collect()
+    assert len(got) == len(corpus())
+    text = {r[0]: r[1] for r in rows}
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None
+        else:
+            assert r["component_id"] == find(r["doc_id"])
+            assert r["n_shingles"] == len(shingles(text[r["doc_id"]], width))
+
+
+def test_ngram_join_chains_of_near_copies(spark):
+    base = passage(99, 200).split()
+    rows = [(i, " ".join(base[i * 3 : i * 3 + 120])) for i in range(20)] + [(100 + i, passage(200 + i, 80)) for i in range(5)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()}
+    assert all(got[i] == 0 for i in range(20)) and all(got[i] == i for i in range(100, 105))
+
+
+def luhn(d):
+    s = sum(int(x) if i % 2 == 0 else (2 * int(x)) // 10 + (2 * int(x)) % 10 for i, x in enumerate(reversed(d)))
+    return s % 10 == 0
+
+
+def base_spans(text):
+    text = text or ""
+    digits = lambda m: re.sub(r"[^0-9]", "", m)
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(digits(m)) <= 15),
+    ]
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in rules for m in re.finditer(p, text) if ok(m[0])]
+
+
+def test_pii_base_spans(spark, docs):
+    extra = ["a@b.c@d.ef", "1.2.3.4.5.6.7.8", "4111-1111-1111-1111 2", "x+12 34 567 89 0 +1", "漢 é@x.org a@-.-", "0000000000000000 1", "+1.2", "a.@b", "1.2.3.300 9.9.9.9", "5500 0000 0000 0004-12345678901234567890"]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(900 + i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    for r in pii.digest(pii.find_personal_data(spark, df)).collect():
+        spans = base_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(spans).encode()).hexdigest(), texts[r["doc_id"]]
+        assert set(spans) <= set(filter(None, r["spans"].split(",")))
+
+
+def test_sharding_law(spark, docs):
+    out = sharding.shard_by_bytes(spark, sharding.record_keys(docs), 4).collect()
+    assert len(out) == len(corpus())
+    slots, held = defaultdict(list), Counter()
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+        held[r["shard"]] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    largest = max(r["size"] for r in out)
+    assert max(held.values()) - min(held[i] for i in range(4)) <= 2 * largest
+    text = {r[0]: r[1] for r in corpus()}
+    assert all(r["text_crc32"] == zlib.crc32((text[r["doc_id"]] or "").encode()) and r["size"] == len((text[r["doc_id"]] or "").encode()) + 1 for r in out if r["doc_id"] is not None)
+
+
+def test_ann_recall(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 16)) + 3 * rng.normal(size=(40, 16))[rng.integers(0, 40, 4000)]
+    x[10] = x[11]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(4000)] + [(5000, None), (5100, [0.0] * 16), (5200, [float("nan")] * 16), (5300, [1.0, None] + [0.0] * 14), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("leaf", F.lit("clash"))
+    got = defaultdict(list)
+    for r in ann.search(spark, df, "vec_id % 100 = 0").orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 4000, 100))
+    hit = 0
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        best = set(np.lexsort((np.arange(4000), d))[:10])
+        assert len(found) == 10 and [s for _, s in found] == sorted(s for _, s in found)
+        assert all(abs(s - d[v]) < 1e-12 for v, s in found)
+        hit += len(best & {v for v, _ in found})
+    assert hit >= 0.9 * 10 * len(got)
+
+
+def test_spotsigs_report(spark, docs):
+    rows = spotsigs.edit_report(spark, docs).collect()
+    assert len(rows) == len(corpus())
+    order = sorted(corpus(), key=lambda r: -2**63 if r[0] is None else r[0], reverse=True)
+    want = Counter()
+    for i, r in enumerate(order):
+        t, n = r[1] or "", order[(i + 1) % len(order)][1] or ""
+        k = len(t) // 3
+        want[r[0], hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in rows) == want
+    prints = defaultdict(set)
+    for r in rows:
+        prints[{x[0]: x[1] for x in corpus()}[r["doc_id"]] or ""].add(r["fingerprint"])
+    assert all(len(p) == 1 for p in prints.values())
+
+
+def test_spotsigs_pairs(spark, docs):
+    pairs = {(r["a"], r["b"]) for r in spotsigs.near_pairs(spark, docs, 0.5).collect()}
+    assert all(a < b for a, b in pairs)
+    assert spotsigs.near_pairs(spark, docs.where("false")).isEmpty()
+
+
+def test_secrets(spark, docs):
+    out = secrets.scan(spark, docs)
+    n = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).distinct().count()
+    assert out.select("doc_id", "h").distinct().count() == n
+    masked = secrets.redact(docs, out)
+    assert masked.columns == docs.columns and masked.count() == docs.count()
+
+
+def test_packing_round_trip(spark, docs):
+    from tokenizers import Tokenizer
+
+    ranks, js = queries.vocabulary()
+    out = packing.pack(spark, packing.token_pieces(docs, ranks, js, 64, with_ids=True), packing.Capacity(64)).collect()
+    tok = Tokenizer.from_file(js)
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for r in out:
+        pieces[r["doc_id"]].append(r)
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+    for spans in bins.values():
+        at = 0
+        for o, n in sorted(spans):
+            assert o == at
+            at += n
+        assert at <= 64
+    for i, t in {r[0]: r[1] for r in corpus() if r[0] not in (None, 5)}.items():
+        ids = [x for r in sorted(pieces[i], key=lambda r: r["piece"]) for x in r["ids"]]
+        assert ids == [*tok.encode(t or "", add_special_tokens=False).ids, 2]
+        assert all(r["length"] == 64 for r in pieces[i] if r["piece"] > 0)
+
+
+def test_packing_constraints():
+    hist = {60: 3, 30: 10, 5: 100, 1: 7}
+    for rule in ("norm", "dot"):
+        cap = packing.Capacity(64, documents=4, cost=4000, weights=(1.0, 0.5, 0.5), rule=rule)
+        bins = defaultdict(list)
+        for length, lo, hi, first, offset in packing.plan(hist, cap):
+            for k in range(hi - lo):
+                bins[first + k].append((offset, length))
+        assert Counter(n for b in bins.values() for _, n in b) == Counter(hist)
+        assert all(sum(n for _, n in b) <= 64 and len(b) <= 4 and sum(n * n for _, n in b) <= 4000 for b in bins.values())
+    with pytest.raises(ValueError):
+        packing.plan({65: 1}, packing.Capacity(64))
+
+
+def test_language(spark, docs, empty):
+    rows = [(i, s, la) for la, s in (("en", "the weather is nice and people are walking"), ("de", "das wetter ist schön und die leute gehen spazieren")) for i in range(20)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = spark.createDataFrame([(1, "people are nice and the weather is"), (2, "die leute und das wetter sind schön"), (3, None), (4, "123 !"), (5, "")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in langid.identify(new, model, ["doc_id"]).collect()}
+    assert [got[i]["lang_pred"] for i in range(1, 6)] == ["en", "de", "und", "und", "und"]
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert langid.identify(docs, langid.fit(empty), ["doc_id"]).where("lang_pred <> 'und'").isEmpty()
+
+
+def test_language_held_out_accuracy(spark):
+    from conftest import DATA
+
+    out = queries.op8_language_id(spark, DATA).join(queries.read(spark, DATA, "documents").select("doc_id", "lang"), "doc_id").where("held_out and lang_pred <> 'und'")
+    assert out.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.9
+
+
+def test_warc_round_trip(spark, empty):
+    big = "<p>" + "x" * 200_000 + "</p>"
+    pages = [(1, "http://a/ü?x y", big), (2, "http://b", big), (3, None, None), (4, "http://c", "short"), (5, "http://d", "short"), (6, "http://e", "y" * 100), (7, "http://f", "y" * 100), (7, "http://f", "y" * 100), (None, "http://g", "y" * 100)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
+    got = Counter(tuple(r[k] for k in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in warc.round_trip(spark, df, split=257, roll=5000).collect())
+    want = Counter()
+    for i, _, h in pages:
+        h = (h or "").encode()
+        first = {big.encode(): 1, b"y" * 100: 6}.get(h)
+        rev = first is not None and i is not None and i != first
+        want[i, len(h), hashlib.sha256(h).hexdigest(), "revisit" if rev else "response", first if rev else None] += 1
+    assert got == want
+
+
+def test_mixing_meets_targets(spark):
+    from conftest import DATA
+
+    out = mixing.mix(spark, queries.read(spark, DATA, "documents"), queries.read(spark, DATA, "labels"))
+    r = out.agg(*(F.sum(F.col("tokens") * F.col(f"p_{d}")).alias(d) for d in mixing.DOMAINS), *(F.sum(F.col("tokens") * F.col("rate") * F.col(f"p_{d}")).alias(f"got_{d}") for d in mixing.DOMAINS), F.min("rate").alias("least"), F.sum("tokens").alias("all")).first()
+    assert r["least"] >= 0
+    for d in mixing.DOMAINS:
+        assert abs(r[f"got_{d}"] - mixing.TARGETS[d] * r[d]) < 0.02 * r["all"]
+
+
+def test_empty_tables(spark, docs, empty):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert ngram_join.jaccard_components(spark, empty).count() == 0
+    assert pii.digest(pii.find_personal_data(spark, empty)).count() == 0
+    assert sharding.shard_by_bytes(spark, sharding.record_keys(empty)).count() == 0
+    assert ann.search(spark, spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id % 100 = 0").count() == 0
+    assert spotsigs.edit_report(spark, empty).count() == 0
+    assert secrets.scan(spark, empty).count() == 0
+    assert packing.pack(spark, packing.token_pieces(empty, *queries.vocabulary())).count() == 0
+    assert warc.round_trip(spark, spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert mixing.mix(spark, empty, labels).count() == 0
+    assert mixing.mix(spark, docs, labels).count() == len(corpus())
+
+
+def test_pipeline_stages_on_edges(spark, docs):
+    from conftest import SMALL
+
+    import corpus_pipeline
+
+    d, before = docs, docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        d = spark.createDataFrame(stage(spark, d, SMALL).collect(), stage(spark, d, SMALL).schema)
+        if name == "language":
+            assert {r["text"] for r in d.collect()} == {r[1] for r in corpus() if r[1] and any(c.isalpha() for c in r[1])}
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert d.columns == before and d.count() > 0
