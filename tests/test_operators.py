@@ -47,7 +47,7 @@ def test_no_lookahead_and_prefix(spark, frame):
     cut, k = frame["ts"][400], 400
     spoiled = frame.copy()
     spoiled.loc[k:, ["open", "high", "low", "close"]] *= 7.0
-    f = lambda p: sorted_pandas(features.price_features(spark.createDataFrame(p), "15min", chunked=True)).query("ts < @cut").reset_index(drop=True)
+    f = lambda p: sorted_pandas(features.price_features(spark.createDataFrame(p), "15min", chunked=True)).pipe(lambda x: x[x["ts"] < cut]).reset_index(drop=True)
     whole = f(frame)
     pd.testing.assert_frame_equal(whole, f(spoiled))
     pd.testing.assert_frame_equal(whole, f(frame.head(k)))
