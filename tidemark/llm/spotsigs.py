@@ -28,8 +28,13 @@ MARK = "\x01"
 
 
 def _marked(words: str) -> str:
-    """Content words only, each with a mark in front if an anchor stood right before it."""
-    return f"regexp_replace({words}, '(?<= )(?:(?:{'|'.join(sorted(set(ANCHORS)))}) )+', '{MARK}')"
+    """Content words only, each with a mark in front if an anchor stood right before it.
+
+    Anchors are replaced one by one and runs of marks merged after, as a
+    repeated group would recurse once for every anchor of a long run.
+    """
+    each = f"regexp_replace({words}, '(?<= )(?:{'|'.join(sorted(set(ANCHORS)))}) ', '{MARK}')"
+    return f"regexp_replace({each}, '{MARK}+', '{MARK}')"
 
 
 def signatures(marked: str, chain: int = CHAIN) -> str:
