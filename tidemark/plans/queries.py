@@ -580,7 +580,7 @@ def vol_regimes(spark, d):
 
 
 @query(f"""WITH {_REG}, bl AS (SELECT regime, CAST(ts AS DATE) AS day, avg(sign(f_mom_4) * y) AS pnl FROM rg WHERE regime IS NOT NULL GROUP BY 1, 2), m AS (SELECT regime, count(*) AS n_effective, avg(pnl) AS mean, stddev_samp(pnl) AS sd, avg(abs(pnl)) AS ab FROM bl GROUP BY 1), t AS (SELECT regime, {_TEST} FROM m)
-SELECT CAST(regime AS INT) AS regime, n_effective, {R('mean')} AS mean_signed_return, {R('t', 6)} AS t_stat FROM t""")
+SELECT CAST(regime AS INT) AS regime, n_effective, {R('mean')} AS mean_signed_return, {R('t', 6)} AS t_stat FROM t SEMI JOIN (SELECT regime FROM rg WHERE regime IS NOT NULL GROUP BY regime HAVING count(*) >= 200) USING (regime)""")
 def regime_conditional_test(spark, d):
     t = scoring.conditional_test(_regimes(spark, d), "f_mom_4", "y", "regime", F.to_date("ts"))
     return rounded(t.select("regime", "n_effective", "mean_signed_return", F.round("t_stat", 6).alias("t_stat")))
@@ -620,7 +620,7 @@ def _cells():
 j AS (SELECT 'X1' AS hid, 1 AS sign, p.ret AS x, t.ret AS y, t.start_utc AS st, epoch(t.start_utc) - epoch(p.end_utc) AS gap FROM (SELECT * FROM p1 WHERE symbol = 'click') p ASOF JOIN (SELECT * FROM t1 WHERE symbol = 'view') t ON p.end_utc <= t.start_utc
 UNION ALL SELECT 'X2', -1, p.ret, t.ret, t.start_utc, epoch(t.start_utc) - epoch(p.end_utc) FROM (SELECT * FROM p1 WHERE symbol = 'purchase') p ASOF JOIN (SELECT * FROM l1 WHERE symbol = 'error') t ON p.end_utc <= t.start_utc
 UNION ALL SELECT 'X3', 1, p.ret, t.ret, t.start_utc, 0 FROM l1 p JOIN l1 t USING (session_date) WHERE p.symbol = 'signup' AND t.symbol = 'click')
-SELECT hid, count(*) AS n_pairs, {R('regr_slope(y, x)', 6)} AS slope, {R('corr(x, y)', 6)} AS corr, sign(regr_slope(y, x)) = sign AS sign_matches FROM j WHERE gap <= 84 * 3600 GROUP BY hid, sign""")
+SELECT hid, count(*) AS n_pairs, {R('CASE WHEN count(*) >= 10 THEN regr_slope(y, x) END', 6)} AS slope, {R('CASE WHEN count(*) >= 10 THEN corr(x, y) END', 6)} AS corr, CASE WHEN count(*) >= 10 THEN sign(regr_slope(y, x)) = sign END AS sign_matches FROM j WHERE gap <= 84 * 3600 GROUP BY hid, sign""")
 def hypothesis_battery(spark, d):
     b = studies.run_battery(spark, hourly(spark, d), _cells(), least=10)
     return rounded(b.select("hid", "n_pairs", F.round("slope", 6).alias("slope"), F.round("corr", 6).alias("corr"), "sign_matches"))
