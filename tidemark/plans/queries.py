@@ -620,10 +620,10 @@ def _cells():
 j AS (SELECT 'X1' AS hid, 1 AS sign, p.ret AS x, t.ret AS y, t.start_utc AS st, epoch(t.start_utc) - epoch(p.end_utc) AS gap FROM (SELECT * FROM p1 WHERE symbol = 'click') p ASOF JOIN (SELECT * FROM t1 WHERE symbol = 'view') t ON p.end_utc <= t.start_utc
 UNION ALL SELECT 'X2', -1, p.ret, t.ret, t.start_utc, epoch(t.start_utc) - epoch(p.end_utc) FROM (SELECT * FROM p1 WHERE symbol = 'purchase') p ASOF JOIN (SELECT * FROM l1 WHERE symbol = 'error') t ON p.end_utc <= t.start_utc
 UNION ALL SELECT 'X3', 1, p.ret, t.ret, t.start_utc, 0 FROM l1 p JOIN l1 t USING (session_date) WHERE p.symbol = 'signup' AND t.symbol = 'click')
-SELECT hid, count(*) AS n_pairs, {R('CASE WHEN count(*) >= 10 THEN regr_slope(y, x) END', 6)} AS slope, {R('CASE WHEN count(*) >= 10 THEN corr(x, y) END', 6)} AS corr, CASE WHEN count(*) >= 10 THEN sign(regr_slope(y, x)) = sign END AS sign_matches FROM j WHERE gap <= 84 * 3600 GROUP BY hid, sign""")
+SELECT hid, count(*) AS n_pairs, {R('CASE WHEN count(*) >= 10 THEN regr_slope(y, x) END', 6)} AS slope, {R('CASE WHEN count(*) >= 10 THEN corr(x, y) END', 6)} AS corr, CASE WHEN count(*) >= 10 THEN sign(regr_slope(y, x)) = sign ELSE false END AS sign_matches FROM j WHERE gap <= 84 * 3600 GROUP BY hid, sign""")
 def hypothesis_battery(spark, d):
     b = studies.run_battery(spark, hourly(spark, d), _cells(), least=10)
-    return rounded(b.select("hid", "n_pairs", F.round("slope", 6).alias("slope"), F.round("corr", 6).alias("corr"), "sign_matches"))
+    return rounded(b.select("hid", "n_pairs", F.round("slope", 6).alias("slope"), F.round("corr", 6).alias("corr"), F.coalesce("sign_matches", F.lit(False)).alias("sign_matches")))
 
 
 @query("""WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 1009) / 1009.0::DOUBLE * ((c_custkey % 7) / 7.0::DOUBLE) AS p FROM customer WHERE c_custkey <= 150), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p), c AS (SELECT max(CASE WHEN p <= k / m::DOUBLE * 0.1 THEN p END) AS cut FROM k)
