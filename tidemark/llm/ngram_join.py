@@ -8,12 +8,14 @@ of two sketches never exceeds the symmetric difference of the sets.  A link
 allows a symmetric difference of at most ``(den-num)/(den+num) * (|A|+|B|)``.
 
 *Pigeonhole per size band.*  Sizes fall into bands; a band's bound T on the
-difference splits its sketches into more than T blocks, so that linked sets
-agree in a whole block.  The blocks are virtual: each is 2**32 bits wide and
-travels as the XOR of its flipped bits' codes, 64 bits long.  A block holding
-next to no shingles says little and is left out as long as enough blocks
-remain; sets with too many such blocks take part in a further layout with
-other hashes, and the last layout leaves nothing out, so no link is lost.
+difference splits its sketches into T + 1 blocks and some to spare, so that
+linked sets agree in one whole block more than there are to spare.  The blocks
+are virtual: each is 2**32 bits wide and travels as the XOR of its flipped
+bits' codes, 64 bits long.  Each set leaves out as many blocks as there are to
+spare, those with the fewest shingles, ties by key.  This order is the same for
+all sets, so of the blocks that two linked sets agree in, one remains in both.
+Sets with more empty blocks than that take part in a further layout with other
+hashes, and the last layout keeps its empty blocks, so no link is lost.
 
 *Verify.*  Blocks that several sets share nominate pairs of the group's least
 id and each member (a star, never all pairs).  Size, then the Hamming distance
@@ -58,10 +60,8 @@ class Bands:
         n = self.low[1:] - 1
         self.most = n * den // num
         t = (den - num) * (n + self.most) // (den + num)
-        self.bound = t
-        self.spare = np.where(t >= 8, np.ceil(0.12 * (t + 1)).astype(np.int64), np.where(t >= 1, 1, 0))
+        self.spare = np.where(t >= 8, np.ceil(0.25 * (t + 1)).astype(np.int64), np.where(t >= 1, 1, 0))
         self.blocks = t + 1 + self.spare
-        self.weak = np.where(t >= 8, 1, 0)  # blocks of so few shingles or fewer are left out
 
     def entries(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, band) for every band that a set of each size takes part in."""
@@ -99,13 +99,16 @@ def block_keys(x: np.ndarray, off: np.ndarray, bands: Bands) -> tuple[np.ndarray
         np.bitwise_xor.at(content, block, H.mix(z ^ H.seeded(21)))
         held = np.bincount(block, minlength=len(content))
         of = np.repeat(np.arange(len(rows)), k)
-        weak = held <= bands.weak[band][of]
-        use = slice(None) if last else ~weak
         number = np.arange(len(content)) - base[of]
         salt = H.mix(band[of].astype(U) * U(0x9E3779B97F4A7C15) + number.astype(U) * U(LAYOUTS) + U(layout))
-        got_key.append(H.mix(content ^ salt)[use])
+        key = H.mix(content ^ salt)
+        order = np.lexsort((key, held, of))
+        use = number >= bands.spare[band][of]  # places in that order
+        if not last:
+            use &= held[order] > 0
+        got_key.append(key[order][use])
         got_row.append(rows[of][use])
-        few = np.bincount(of, weights=weak, minlength=len(rows)) > bands.spare[band]
+        few = np.bincount(of, weights=held == 0, minlength=len(rows)) > bands.spare[band]
         rows, band = rows[few], band[few]
     row = np.concatenate(got_row) if got_row else np.zeros(0, np.int64)
     key = np.concatenate(got_key) if got_key else np.zeros(0, U)
