@@ -44,9 +44,9 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     n = "greatest(size(__all), 1)"
     measures = {
         "variety": f"size(__words) / {n}",
-        "signs": "length(regexp_replace(__text, '[\\\\p{L}\\\\p{N}\\\\s.,]', '')) / greatest(length(__text), 1)",
-        "upper": "length(regexp_replace(__text, '[^\\\\p{Lu}]', '')) / greatest(length(__text), 1)",
-        "digits": "length(regexp_replace(__text, '[^\\\\p{N}]', '')) / greatest(length(__text), 1)",
+        "signs": "length(regexp_replace(__text, '[\\\\p{L}\\\\p{N}\\\\s.,]+', '')) / greatest(length(__text), 1)",
+        "upper": "length(regexp_replace(__text, '[^\\\\p{Lu}]+', '')) / greatest(length(__text), 1)",
+        "digits": "length(regexp_replace(__text, '[^\\\\p{N}]+', '')) / greatest(length(__text), 1)",
         "size": f"ln({n}) / 10",
         "word": f"length(__text) / {n} / 10",
     }
@@ -64,7 +64,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> Pipel
     known = domain_labels(labels)
     n = known.count()
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) < int(min(1.0, most / max(n, 1)) * 2**31) + 1)
-    rows = features(docs.join(known, "doc_id"), ["doc_id", "label"]).repartition(12, "doc_id").sortWithinPartitions("doc_id", "label", "__size").persist()
+    # a known table has about ``most`` rows of two numbers at most, whatever the size of the input
+    rows = features(docs.join(F.broadcast(known), "doc_id"), ["doc_id", "label"]).repartition(12, "doc_id").sortWithinPartitions("doc_id", "label", "__size").persist()
     try:
         counts = {int(r[0]): r[1] for r in rows.groupBy("label").count().collect()}
         if len(counts) < 2:
