@@ -165,6 +165,16 @@ def test_statistics(spark):
     assert sum(r["rejected"] for r in scoring.benjamini_hochberg(p).collect()) == 2
 
 
+def test_step_up_rule_over_many_tests(spark):
+    rng = np.random.default_rng(5)
+    p = np.concatenate((np.round(rng.random(3000) ** 3, 4), np.full(200, 0.01)))
+    rows = [(i, float(x)) for i, x in enumerate(p)] + [(9000, None)]
+    got = {r["id"]: r["rejected"] for r in scoring.benjamini_hochberg(spark.createDataFrame(rows, "id int, p double")).collect()}
+    s = np.sort(p)
+    cut = max(x for k, x in enumerate(s, 1) if x <= k / len(s) * 0.1)
+    assert got == {i: bool(x <= cut) for i, x in enumerate(p)} | {9000: False}
+
+
 def test_trailing_rank_with_nulls(spark):
     x = pd.Series(np.random.default_rng(7).normal(size=120))
     x[[30, 40]] = np.nan

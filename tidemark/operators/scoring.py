@@ -15,6 +15,7 @@ from pyspark.sql import Window
 from ..functions.axis import Axis
 from ..functions.scalar import LN2, brier, divide, log_loss
 from ..functions.special import normal_quantile, p_two_sided, p_upper
+from ..session import cut
 
 EPS = 1e-15
 
@@ -151,15 +152,22 @@ def ols_one_sided(df: DataFrame, keys: list[str], x: str, y: str, sign: str) ->
 def benjamini_hochberg(df: DataFrame, p: str = "p", q: float = 0.10, among: Column | None = None) -> DataFrame:
     """``df`` with ``rejected``: the step-up rule at rate ``q`` over the p-values known (and ``among``).
 
-    ``df`` holds a row for each test.
+    ``df`` holds a row for each test.  A p-value's rank is the number of tests
+    at or below it: p-values are counted once each and dealt by range, the
+    ranges' exact counts, a slim table, give what stands before each range.
+    No task sees all tests.
     """
     counts = F.col(p).isNotNull() if among is None else F.col(p).isNotNull() & F.coalesce(among, F.lit(False))
     df = df.withColumn("__in", counts)
-    one = Window.partitionBy("__in")
-    rank = F.row_number().over(one.orderBy(p))
-    df = df.withColumn("__k", rank).withColumn("__m", F.count(F.lit(1)).over(one))
-    df = df.withColumn("__cut", F.max(F.when(F.col(p) <= F.col("__k") / F.col("__m") * q, F.col(p))).over(one))
-    return df.withColumn("rejected", F.coalesce(F.col("__in") & (F.col(p) <= F.col("__cut")), F.lit(False))).drop("__in", "__k", "__m", "__cut")
+    each = df.where("__in").groupBy(F.col(p).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    each = cut(each.repartitionByRange("__p").withColumn("__range", F.spark_partition_id()))
+    held = each.groupBy("__range").agg(F.sum("__n").alias("__held"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(F.col("__range"), F.coalesce(F.sum("__held").over(before), F.lit(0)).alias("__before"), F.sum("__held").over(Window.partitionBy()).alias("__m"))
+    inside = Window.partitionBy("__range").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = each.withColumn("__k", F.sum("__n").over(inside)).join(F.broadcast(held), "__range").withColumn("__k", F.col("__before") + F.col("__k"))
+    last = ranked.agg(F.max(F.when(F.col("__p") <= F.col("__k") / F.col("__m") * q, F.col("__p"))).alias("__cut"))
+    return df.crossJoin(F.broadcast(last)).withColumn("rejected", F.coalesce(F.col("__in") & (F.col(p) <= F.col("__cut")), F.lit(False))).drop("__in", "__cut")
 
 
 def bonferroni(n: int, alpha: float = 0.05) -> float:

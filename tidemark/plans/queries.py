@@ -626,12 +626,21 @@ def hypothesis_battery(spark, d):
     return rounded(b.select("hid", "n_pairs", F.round("slope", 6).alias("slope"), F.round("corr", 6).alias("corr"), F.coalesce("sign_matches", F.lit(False)).alias("sign_matches")))
 
 
+def _tests(spark, d):
+    c = F.col("c_custkey")
+    return read(spark, d, "customer").select(c.alias("id"), ((c * 37 % 1009) / 1009.0 * ((c % 7) / 7.0)).alias("p"))
+
+
 @query("""WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 1009) / 1009.0::DOUBLE * ((c_custkey % 7) / 7.0::DOUBLE) AS p FROM customer WHERE c_custkey <= 150), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p), c AS (SELECT max(CASE WHEN p <= k / m::DOUBLE * 0.1 THEN p END) AS cut FROM k)
 SELECT id, coalesce(p <= cut, false) AS rejected FROM p, c""")
 def benjamini_hochberg(spark, d):
-    c = F.col("c_custkey")
-    p = read(spark, d, "customer").where("c_custkey <= 150").select(c.alias("id"), ((c * 37 % 1009) / 1009.0 * ((c % 7) / 7.0)).alias("p"))
-    return scoring.benjamini_hochberg(p).select("id", "rejected")
+    return scoring.benjamini_hochberg(_tests(spark, d).where("id <= 150")).select("id", "rejected")
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 1009) / 1009.0::DOUBLE * ((c_custkey % 7) / 7.0::DOUBLE) AS p FROM customer), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p), c AS (SELECT max(CASE WHEN p <= k / m::DOUBLE * 0.1 THEN p END) AS cut FROM k)
+SELECT id, coalesce(p <= cut, false) AS rejected FROM p, c""")
+def benjamini_hochberg_all(spark, d):
+    return scoring.benjamini_hochberg(_tests(spark, d)).select("id", "rejected")
 
 
 @query(f"""WITH {_SIGNAL} SELECT symbol, {SEC}, {R(f"CASE WHEN vol > 0 AND mom IS NOT NULL THEN least(greatest({normal_cdf_sql('(mom / nullif(vol, 0))')}, 0.001), 0.999) ELSE 0.5 END", 7)} AS p FROM sg""")
