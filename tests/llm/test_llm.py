@@ -80,6 +80,29 @@ def test_ngram_join_chains_of_near_copies(spark):
     assert all(got[i] == 0 for i in range(20)) and all(got[i] == i for i in range(100, 105))
 
 
+def test_ngram_join_counts_every_link(spark):
+    rng = np.random.default_rng(8)
+    base, texts = passage(50, 120).split(), [passage(60 + i, 80) for i in range(5)]
+    for i in range(60):
+        w = list(base)
+        for k in rng.integers(0, len(w), i % 4):
+            w[k] = f"other{i}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[i:]) for i in range(1, 4)]
+    rows = list(enumerate(texts)) + [(3, passage(900, 70)), (900, passage(900, 70) + " end")]
+    sets = {t: shingles(t, 5) for _, t in rows}
+    classes = set(sets.values())
+    want = Counter((i, len(sets[t]), sum(100 * len(sets[t] & x) >= 80 * len(sets[t] | x) for x in classes) - 1) for i, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["n_shingles"], r["links"]) for r in ngram_join.jaccard_components(spark, df, 5, 80, 100).collect())
+    assert got == want and max(n for _, _, n in want) > 20
+
+
+def test_ngram_join_counts_across_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    test_ngram_join_counts_every_link(spark)
+
+
 def luhn(d):
     s = sum(int(x) if i % 2 == 0 else (2 * int(x)) // 10 + (2 * int(x)) % 10 for i, x in enumerate(reversed(d)))
     return s % 10 == 0

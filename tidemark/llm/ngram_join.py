@@ -17,11 +17,12 @@ all sets, so of the blocks that two linked sets agree in, one remains in both.
 Sets with more empty blocks than that take part in a further layout with other
 hashes, and the last layout keeps its empty blocks, so no link is lost.
 
-*Verify.*  Blocks that several sets share nominate pairs of the group's least
-id and each member (a star, never all pairs).  Size, then the Hamming distance
-of short dense sketches, then the exact sets decide.  Groups whose members are
-not yet in one component are then compared inside bounded cells, across
-components only, by the same three tests.
+*Verify.*  Blocks that several sets share are compared pair by pair inside
+bounded cells.  Of blocks shared by the same sets one is enough, and a pair
+counts only at the least block that its sets share, so every link is found and
+counted once.  Size, then the Hamming distance of short dense sketches, then
+the exact sets decide.  A cell returns sums per set and a spanning forest,
+never its pairs.
 
 Equal sets are merged before blocks are formed, so thousands of copies cost a
 row each.
@@ -162,49 +163,27 @@ def _set_maker(width: int):
         for batch in batches:
             off, data = H.text_buffers(batch.column(1))
             for i, j in H.slices(off):
-                x = H.shingle_sets(*H.word_hashes(data, off[i : j + 1]), width)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), H.lists(*x)], names=["id", "words"])
+                x, o = H.shingle_sets(*H.word_hashes(data, off[i : j + 1]), width)
+                fp = np.zeros(len(o) - 1, U)
+                np.bitwise_xor.at(fp, H.rows_of(o), H.mix(x ^ H.seeded(41)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(fp.view(np.int64)), H.lists(x, o)], names=["id", "fp1", "words"])
 
     return run
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, words): sorted shingle hashes of the documents whose id is in ``ids``."""
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.select("doc_id", "text").mapInArrow(_set_maker(width), "id long, words array<long>")
-
-
-def hamming(a: str, b: str) -> F.Column:
-    """Distance of two parity sketches; the longer is folded to the shorter."""
-    fold = lambda s, t: f"if(size({s}) > size({t}), zip_with(slice({s}, 1, size({t})), slice({s}, size({t}) + 1, size({t})), (x, y) -> x ^ y), {s})"
-    return F.expr(f"aggregate(zip_with({fold(a, b)}, {fold(b, a)}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-
-
-def _near(na: str, nb: str, num: int, den: int) -> F.Column:
-    return F.expr(f"{den}L * least({na}, {nb}) >= {num}L * greatest({na}, {nb})")
+    """(id, fp1, words): sorted shingle hashes of the documents whose id and set are in ``ids``."""
+    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = wanted.select("doc_id", "text").mapInArrow(_set_maker(width), "id long, fp1 long, words array<long>")
+    return sets.join(ids.select("id", "fp1").distinct(), ["id", "fp1"], "left_semi").dropDuplicates(["id", "fp1"])
 
 
-class _Union:
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, a: int) -> int:
-        while (b := self.up.setdefault(a, a)) != a:
-            self.up[a] = a = self.up[b] if b in self.up else b
-        return a
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        self.up[max(a, b)] = min(a, b)
-        return a != b
-
-
-def close_pairs(n: np.ndarray, label: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> list[tuple[int, int, int]]:
-    """(distance, i, j) of members of different components that sizes and sketches allow."""
+def close_pairs(n: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) that sizes and sketches allow."""
     order = np.argsort(n, kind="stable")
-    n, label = n[order], label[order]
+    n = n[order]
     length = np.array([len(sketches[i]) for i in order])
-    out = []
+    out = [np.zeros((2, 0), np.int64)]
     for size in np.unique(length):
         mine = np.flatnonzero(length == size)
         other = np.flatnonzero((length == size) | (length == 2 * size))
@@ -217,50 +196,77 @@ def close_pairs(n: np.ndarray, label: np.ndarray, sketches: list[np.ndarray], nu
                 continue
             d = np.bitwise_count(m[k + 1 : end] ^ m[k]).sum(axis=1, dtype=np.int64)
             j = other[k + 1 : end]
-            ok = (d * (den + num) <= (den - num) * (n[i] + n[j])) & (label[j] != label[i])
-            out += [(int(d[t]), int(order[i]), int(order[j[t]])) for t in np.flatnonzero(ok)]
-    return out
+            j = j[d * (den + num) <= (den - num) * (n[i] + n[j])]
+            out.append(np.stack((np.full(len(j), order[i]), order[j])))
+    i, j = np.concatenate(out, axis=1)
+    return i, j
+
+
+def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[i] and sets[j], pair by pair."""
+    if len(i) <= len(sets):
+        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    twice = held > 1  # what one set alone holds is in no intersection
+    row, code = row[twice[code]], (np.cumsum(twice) - 1)[code[twice[code]]]
+    bits = np.zeros((len(sets), (int(twice.sum()) + 63) // 64), U)
+    np.bitwise_or.at(bits, (row, code >> 6), U(1) << (code & 63).astype(U))
+    step = max(1, (1 << 21) // max(1, bits.shape[1]))
+    return np.concatenate([np.bitwise_count(bits[i[k : k + step]] & bits[j[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), step)])
+
+
+def spanning(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least of 0..m-1 that the pairs lead to, for each of them."""
+    up = np.arange(m)
+    while True:
+        was = up.copy()
+        np.minimum.at(up, i, was[j])
+        np.minimum.at(up, j, was[i])
+        up = up[up]
+        if (up == was).all():
+            return up
+
+
+CELLS = "id long, fp1 long, key long, ci int, cj int, links long, up long"
 
 
 def _cells(num: int, den: int, verify: bool):
-    """Runs of equal (key, ci, cj): which members may link, or the links themselves."""
-
-    def cell(rows: list[dict]) -> list[tuple[int, int]]:
-        split = rows[0]["ci"] != rows[0]["cj"]
-        label = np.array([r["label"] for r in rows])
-        n = np.array([r["n"] for r in rows])
-        sketches = [np.asarray(r["sketch"], np.int64).view(U) for r in rows]
-        pairs = close_pairs(n, label, sketches, num, den)
-        if split:
-            pairs = [p for p in pairs if rows[p[1]]["chunk"] != rows[p[2]]["chunk"]]
-        if not verify:
-            return [(r, r) for r in {rows[i]["id"] for p in pairs for i in p[1:]}]
-        union, out = _Union(), []
-        for _, i, j in sorted(pairs):
-            a, b = rows[i], rows[j]
-            if union.find(a["label"]) == union.find(b["label"]):
-                continue
-            both = len(np.intersect1d(a["words"], b["words"], assume_unique=True))
-            if den * both >= num * (n[i] + n[j] - both):
-                union.join(a["label"], b["label"])
-                out.append((a["id"], b["id"]))
-        return out
+    """Runs of equal (key, ci, cj): which members may link there, or their numbers of links and a member that these lead to."""
+
+    def cell(rows: list[dict]) -> list[tuple]:
+        n = np.array([r["n"] for r in rows], np.int64)
+        i, j = close_pairs(n, [r["sketch"].view(U) for r in rows], num, den)
+        if rows[0]["ci"] != rows[0]["cj"]:
+            chunk = np.array([r["chunk"] for r in rows])
+            apart = chunk[i] != chunk[j]
+            i, j = i[apart], j[apart]
+        if len(i):
+            first = shared([r["lesser"] for r in rows], i, j) == 0  # others count at a lesser key
+            i, j = i[first], j[first]
+        if len(i) and verify:
+            both = shared([r["words"] for r in rows], i, j)
+            linked = den * both >= num * (n[i] + n[j] - both)
+            i, j = i[linked], j[linked]
+        links = np.bincount(np.concatenate((i, j)), minlength=len(rows))
+        up = spanning(len(rows), i, j) if verify else np.arange(len(rows))
+        return [(rows[k]["id"], rows[k]["fp1"], int(links[k]), rows[up[k]]["id"]) for k in np.flatnonzero(links)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = None, []
 
         def flush():
             got = cell(rows) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], pa.int64()) for k in range(2)] + [pa.array([rows[0]["key"]] * len(got), pa.int64())], names=["a", "b", "key"])
+            v = [[g[k] for g in got] for k in range(4)]
+            here = [[x] * len(got) for x in at]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip([v[0], v[1], *here, v[2], v[3]], types, strict=True)], names=["id", "fp1", "key", "ci", "cj", "links", "up"])
 
         for batch in batches:
-            words = batch.column("words") if verify else None
-            sketch = batch.column("sketch")
-            plain = batch.select(["key", "ci", "cj", "chunk", "id", "n", "label"]).to_pylist()
+            plain = batch.select(["key", "ci", "cj", "chunk", "id", "fp1", "n"]).to_pylist()
             for k, r in enumerate(plain):
-                r["sketch"] = sketch[k].values.to_numpy(zero_copy_only=False)
-                if verify:
-                    r["words"] = words[k].values.to_numpy(zero_copy_only=False)
+                for name in ("sketch", "lesser", "words") if verify else ("sketch", "lesser"):
+                    r[name] = batch.column(name)[k].values.to_numpy(zero_copy_only=False)
                 here = (r["key"], r["ci"], r["cj"])
                 if here != at and rows:
                     yield flush()
@@ -277,8 +283,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, num
     """(doc_id, n_shingles, component_id, links) for every row of ``docs``.
 
     ``component_id`` is the least doc_id that links lead to, the own one
-    included; ``links`` counts the verified links found at the row's class of
-    equal sets (enough to span its component, not all there may be).
+    included; ``links`` counts the other classes of equal sets that the row's
+    class links with, all of them.
 
     Null and empty texts, and texts of white space only, have no shingle and
     link with nothing: ``n_shingles`` 0, own doc_id.  Rows with a null doc_id
@@ -293,34 +299,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, num
     by_key = Window.partitionBy("key")
     groups = s.table(
         classes.select("id", F.explode("keys").alias("key"))
-        .select("key", "id", F.count(F.lit(1)).over(by_key).alias("size"), F.min("id").over(by_key).alias("least"))
+        .select("key", "id", F.count(F.lit(1)).over(by_key).alias("size"), F.bit_xor(F.xxhash64("id")).over(by_key).alias("h1"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit(2**40 - 1))).over(by_key).alias("h2"))
         .where("size > 1"),
         "groups",
     )
-    small = sketches.where("n > 0").select("doc_id", "n", "sketch")
-    of = lambda x: small.select(*(F.col(c).alias(f"{x}_{c}") for c in ("doc_id", "n", "sketch")))
-    pairs = (
-        groups.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-        .join(of("l"), F.col("a") == F.col("l_doc_id")).join(of("r"), F.col("b") == F.col("r_doc_id"))
-        .where(_near("l_n", "r_n", num, den))
-        .where(hamming("l_sketch", "r_sketch") * (den + num) <= (F.col("l_n") + F.col("r_n")) * (den - num))
-        .select("a", "b").distinct()
-    )
-    pairs = s.table(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = s.table(shingle_table(docs, ids, width), "sets")
-    left, right = sets.toDF("a", "wa"), sets.toDF("b", "wb")
-    both = F.size(F.array_intersect("wa", "wb"))
-    edges = (
-        pairs.join(right, "b").join(left, "a").select("a", "b", F.size("wa").alias("na"), F.size("wb").alias("nb"), both.alias("both"))
-        .where(f"{den}L * both >= {num}L * (na + nb - both)").select("a", "b").distinct()
-    )
-    edges = s.table(edges, "stars")
-    labels = connected_components(edges, s)
-    edges = edges.union(s.table(_rest(s, docs, groups, labels, small, width, num, den), "rest"))
-    labels = connected_components(edges, s)
-    links = edges.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    rep = member.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("id")).join(labels, "id", "left").join(links, "id", "left")
+    rep = s.table(member.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("id")), "classes")
+    found = s.table(_links(s, docs, groups, sketches, rep, width, num, den), "found")
+    labels = connected_components(found.where("id <> up").select(F.col("id").alias("a"), F.col("up").alias("b")).distinct(), s)
+    links = found.groupBy("id", "fp1").agg(F.sum("links").alias("links"))
+    rep = rep.join(labels, "id", "left").join(links, ["id", "fp1"], "left")
     rep = rep.select("n", "fp1", "fp2", F.coalesce("label", "id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("links"))
     out = sketches.select("doc_id", "n", "fp1", "fp2").join(rep, ["n", "fp1", "fp2"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"),
@@ -332,25 +319,26 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, num
     return out
 
 
-def _rest(s: Scratch, docs: DataFrame, groups: DataFrame, labels: DataFrame, small: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links between components that some block groups still hold together."""
-    g = groups.where("size > 2").join(labels, "id", "left").select("key", "size", "id", F.coalesce("label", "id").alias("label"))
-    mark = F.xxhash64("id")
-    split = g.groupBy("key").agg(F.first("size").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.bit_xor(mark).alias("h1"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit(2**40 - 1))).alias("h2")).where("lo <> hi")
+def _links(s: Scratch, docs: DataFrame, groups: DataFrame, sketches: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(id, fp1, links, up) of each cell: a class's links counted there, and a document that they lead to."""
     # blocks shared by the same members give the same comparisons: one of them is enough
-    keys = s.table(split.groupBy("size", "h1", "h2", "lo", "hi").agg(F.min("key").alias("key")).select("key"), "open")
+    keys = s.table(groups.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "open")
+    held = s.table(groups.join(keys, "key").select("key", "id", "size").distinct(), "held")
+    own = held.groupBy("id").agg(F.collect_list("key").alias("own"))
+    own = classes.join(own, "id").join(sketches.select(F.col("doc_id").alias("id"), "n", "fp1", "fp2", "sketch"), ["id", "n", "fp1", "fp2"])
+    own = s.table(own.dropDuplicates(["id", "fp1", "fp2"]).select("id", "n", "fp1", "sketch", "own"), "own")
     parts = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
     cells = (
-        g.join(keys, "key").join(small.select(F.col("doc_id").alias("id"), "n", "sketch"), "id")
+        held.join(own, "id")
+        .withColumn("lesser", F.expr("filter(own, x -> x < key)"))
         .withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .select("key", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "id", "n", "label", "sketch")
+        .select("key", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "id", "fp1", "n", "sketch", "lesser")
     )
     cells = s.table(cells, "cells")
     dealt = lambda df: df.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
-    maybe = s.table(dealt(cells).mapInArrow(_cells(num, den, False), "a long, b long, key long"), "maybe")
-    ids = maybe.select(F.col("a").alias("id"), "key").distinct()
-    sets = s.table(shingle_table(docs, ids.select("id").distinct(), width), "sets2")
-    full = cells.join(ids, ["id", "key"]).join(sets, "id")
-    full = full.select("key", "ci", "cj", "chunk", "id", "n", "label", "sketch", "words")
-    return dealt(full).mapInArrow(_cells(num, den, True), "a long, b long, key long").select("a", "b").distinct()
+    maybe = s.table(dealt(cells).mapInArrow(_cells(num, den, False), CELLS).select("id", "fp1", "key", "ci", "cj"), "maybe")
+    sets = s.table(shingle_table(docs, maybe.select("id", "fp1"), width), "sets")
+    full = cells.join(maybe, ["id", "fp1", "key", "ci", "cj"]).join(sets, ["id", "fp1"])
+    full = full.select("key", "ci", "cj", "chunk", "id", "fp1", "n", "sketch", "lesser", "words")
+    return dealt(full).mapInArrow(_cells(num, den, True), CELLS).select("id", "fp1", "links", "up")
