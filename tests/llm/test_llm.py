@@ -195,6 +195,17 @@ def test_secrets(spark, docs):
     assert masked.columns == docs.columns and masked.count() == docs.count()
 
 
+def opaque(n, seed=0, letters="ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+    return "a1B2" + "".join(letters[i] for i in np.random.default_rng(seed).integers(0, len(letters), n - 4))
+
+
+def test_long_secret_candidates(spark):
+    token, value = opaque(2000), opaque(3000, 1) + "!$"
+    df = spark.createDataFrame([(1, f'bare {token} end'), (2, f'password = "{value}" end'), (3, "x" + opaque(200_000) + " end")], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["found"]] for r in secrets.candidates(df).collect()}
+    assert got == {1: [(5, 2005)], 2: [(12, 3014)], 3: [(0, 200_001)]}
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 

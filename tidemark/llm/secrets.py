@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .spans import match_spans
 
-TOKEN = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])(?=[0-9_+/=.-]*+[A-Za-z])[A-Za-z0-9_+/=.-]{16,512}+(?![A-Za-z0-9_+/=.-])"
-ASSIGNED = r"(?i)(?<=(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20\x09]{0,3}[:=][\x20\x09]{0,3}[\"'])[^\s\"']{6,512}+(?=[\"'])"
+TOKEN = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])(?=[0-9_+/=.-]*+[A-Za-z])[A-Za-z0-9_+/=.-]{16,}+(?![A-Za-z0-9_+/=.-])"
+ASSIGNED = r"(?i)(?<=(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20\x09]{0,3}[:=][\x20\x09]{0,3}[\"'])[^\s\"']{6,}+(?=[\"'])"
 HEADER = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
 PATTERN = f"{HEADER}|{ASSIGNED}|{TOKEN}"
 KEEP = 0.5
