@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tidemark.llm import ann, langid, mixing, ngram_join, packing, pii, queries, secrets, sharding, spotsigs, warc
+from tidemark.llm import ann, langid, mixing, ngram_join, packing, pii, queries, secrets, sharding, spans, spotsigs, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key long, h string, size int, found int"
 WORDS = "the river runs past a mill and the old stone bridge where people of this town meet to talk about work and weather on long summer days".split()
@@ -206,6 +206,32 @@ def test_long_secret_candidates(spark):
     assert got == {1: [(5, 2005)], 2: [(12, 3014)], 3: [(0, 200_001)]}
 
 
+def test_planted_secrets(spark, docs):
+    lines = "\n".join(opaque(64, i) for i in range(8))
+    keys = [f"-----BEGIN {k}PRIVATE KEY-----\n{lines}\n-----END {k}PRIVATE KEY-----" for k in ("", "RSA ")]
+    keys.append("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n" + lines + "\n-----END RSA PRIVATE KEY-----")
+    keys += ["-----BEGIN PRIVATE KEY-----\n" + lines, "-----BEGIN PRIVATE KEY-----\n" + (lines + "\n") * 2000 + "-----END PRIVATE KEY-----"]
+    bare = ["AKIA" + opaque(20, 3, "ABCDEFGHJKLMNPQRSTUVWXYZ234567")[4:], "ghp_" + opaque(36, 4), "eyJ" + opaque(30, 5) + ".eyJ" + opaque(900, 6) + "." + opaque(43, 7)]
+    plain = ["src/main/java/com/example/service/file2.java", "chapter12sectionindexpage"]
+    rows = [(100 + i, f"start {x} end") for i, x in enumerate(keys + bare)] + [(200 + i, f"start {x} end") for i, x in enumerate(plain * 10)]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(df, secrets.scan(spark, df)).collect()}
+    text = dict(rows)
+    assert all(masked[100 + i] == "start <secret> end" for i in range(len(keys + bare)))
+    assert all(masked[i] == text[i] for i in text if i >= 200)
+    assert masked[29] == 'password = "<secret>" in config'
+
+
+def test_secret_context_crosses_matches(spark):
+    a, b = opaque(24, 1), opaque(24, 2)
+    text = f'the token = {a} {b} and "{a}":"{b}"'
+    got = spans.match_spans(spark.createDataFrame([(text,)], "text string"), "text", secrets.PATTERN, "at", across=8).first()["at"]
+    assert len(got) == 4
+    for r in got:
+        assert r["before"] == text[max(0, r["start"] - 48) : r["start"]]
+        assert r["after"] == text[r["start"] + r["length"] :][:16]
+
+
 def test_packing_round_trip(spark, docs):
     from tokenizers import Tokenizer
 

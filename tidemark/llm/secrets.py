@@ -1,7 +1,8 @@
 """Secret scans with a random forest that removes false positives.
 
 Candidates are long tokens of mixed characters, assigned values and private
-key headers.  Each gets features of its length, its character transitions, its
+keys from their header to their END line (to the last line of the key where
+that is cut off).  Each gets features of its length, its character transitions, its
 coverage by a dictionary, its likeness to a path, and the words around it.  A
 random forest trained on labelled findings keeps or drops it.  Only DataFrame
 and SQL functions (and the DataFrame-based ML library) run here.
@@ -21,7 +22,13 @@ from .spans import match_spans
 TOKEN = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])(?=[0-9_+/=.-]*+[A-Za-z])[A-Za-z0-9_+/=.-]{16,}+(?![A-Za-z0-9_+/=.-])"
 ASSIGNED = r"(?i)(?<=(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20\x09]{0,3}[:=][\x20\x09]{0,3}[\"'])[^\s\"']{6,}+(?=[\"'])"
 HEADER = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
-PATTERN = f"{HEADER}|{ASSIGNED}|{TOKEN}"
+PRIVATE = HEADER + r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{0,32}PRIVATE KEY-----|(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{32,}+)*+)"
+PATTERN = f"{PRIVATE}|{ASSIGNED}|{TOKEN}"
+# Formats that providers give their tokens.
+KNOWN = (
+    "(^|[^A-Za-z0-9])((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22}|glpat-[A-Za-z0-9_-]{20}|xox[abeprs]-[A-Za-z0-9-]{10}|[rs]k_(live|test)_[A-Za-z0-9]{16}|AIza[0-9A-Za-z_-]{35}"
+    "|npm_[A-Za-z0-9]{36}|SG[.][A-Za-z0-9_-]{22}[.][A-Za-z0-9_-]{43}|eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,})"
+)
 KEEP = 0.5
 MASK = "<secret>"
 # Words that ordinary identifiers, paths and samples are made of.
@@ -34,12 +41,12 @@ DICTIONARY = (
     "update upload user utils value version video view web width work www"
 ).split()
 NEAR = "secret|token|passw|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential"
-FEATURES = ("length", "transitions", "digits", "upper", "hex", "distinct", "dictionary", "slashes", "dots", "path", "keyword", "assigned", "quoted", "header")
+FEATURES = ("length", "transitions", "digits", "upper", "hex", "distinct", "dictionary", "slashes", "dots", "path", "keyword", "assigned", "quoted", "header", "known")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with ``found``: array of (start, end, f array<double>)."""
-    df = match_spans(docs, "text", PATTERN, "__at")
+    df = match_spans(docs, "text", PATTERN, "__at", across=8)
     words = "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w)))
     n = "cast(length(y.m) as double)"
     share = lambda keep: f"length(regexp_replace(y.m, '[^{keep}]', '')) / {n}"
@@ -59,6 +66,7 @@ def candidates(docs: DataFrame) -> DataFrame:
         "assigned": "if(y.before rlike '[:=][ \"\\']*$', 1D, 0D)",
         "quoted": "if(y.before rlike '[\"\\']$' and y.after rlike '^[\"\\']', 1D, 0D)",
         "header": "if(y.m like '-----BEGIN%', 1D, 0D)",
+        "known": f"if(y.m rlike '{KNOWN}', 1D, 0D)",
     }
     array = ", ".join(f"cast({f[k]} as double)" for k in FEATURES)
     span = f"named_struct('start', y.start, 'end', y.start + y.length, 'm', y.m, 'f', array({array}))"
@@ -68,13 +76,16 @@ def candidates(docs: DataFrame) -> DataFrame:
 def rule_labels(found: DataFrame) -> DataFrame:
     """``found`` rows (m, f) with a label where one can be told: labelled findings for want of reviewed ones.
 
-    A private key header or a long value assigned in quotes to a name that
-    speaks of secrets is one; a value made of dictionary words or of a path,
-    and one that is neither assigned nor near such a name, is none.
+    A private key, a token of a known format or a long value assigned in
+    quotes to a name that speaks of secrets is one; a value made of dictionary
+    words or of a path, and a plain one that is neither assigned nor near such
+    a name, is none.  Nothing is told of one that looks random.
     """
     at = {k: f"f[{i}]" for i, k in enumerate(FEATURES)}
-    yes = f"{at['header']} = 1 or ({at['keyword']} = 1 and {at['assigned']} = 1 and {at['quoted']} = 1 and length(m) >= 16 and {at['dictionary']} < 0.5 and {at['path']} = 0)"
-    no = f"({at['keyword']} = 0 and {at['assigned']} = 0) or {at['dictionary']} >= 0.6 or ({at['path']} = 1 and {at['keyword']} < 1)"
+    sure = f"{at['header']} = 1 or {at['known']} = 1"
+    yes = f"{sure} or ({at['keyword']} = 1 and {at['assigned']} = 1 and {at['quoted']} = 1 and length(m) >= 16 and {at['dictionary']} < 0.5 and {at['path']} = 0)"
+    random = f"(length(m) >= 20 and {at['dictionary']} < 0.3 and {at['path']} = 0 and {at['transitions']} >= 0.2)"
+    no = f"({at['keyword']} = 0 and {at['assigned']} = 0 and not {random}) or {at['dictionary']} >= 0.6 or ({at['path']} = 1 and {at['keyword']} < 1)"
     return found.withColumn("label", F.expr(f"case when {yes} then 1D when {no} then 0D end")).where("label is not null")
 
 
@@ -103,7 +114,8 @@ def scan(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None
 
     Without ``labelled`` findings the rules of ``rule_labels`` provide them;
     where these know one label only, the findings that the rules call secrets
-    are kept.  A null text is empty.  Equal rows count once.
+    are kept.  Private keys and tokens of a known format are kept in any case
+    then.  A null text is empty.  Equal rows count once.
     """
     s = Scratch(spark, "secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -115,7 +127,11 @@ def scan(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None
     if model is None:
         scored = known.where("label = 1").withColumn("score", F.lit(1.0)) if labelled is None else rows.limit(0).withColumn("score", F.lit(0.0))
     else:
-        scored = model.transform(_features(rows)).withColumn("score", vector_to_array("probability")[1]).where(F.col("score") >= KEEP)
+        scored = model.transform(_features(rows)).withColumn("score", vector_to_array("probability")[1])
+        if labelled is None:
+            sure = (F.col("f")[FEATURES.index("header")] == 1) | (F.col("f")[FEATURES.index("known")] == 1)
+            scored = scored.withColumn("score", F.when(sure, F.lit(1.0)).otherwise(F.col("score")))
+        scored = scored.where(F.col("score") >= KEEP)
     spans = scored.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "score"))).alias("spans"))
     every = found.select("doc_id", "h", F.size("found").cast("long").alias("n_candidates"))
     a, b = every.alias("a"), spans.alias("b")

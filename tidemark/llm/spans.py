@@ -11,12 +11,13 @@ def quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
-def match_spans(df: DataFrame, text: str, pattern: str, into: str, context: int = 48, need: str = "true") -> DataFrame:
+def match_spans(df: DataFrame, text: str, pattern: str, into: str, context: int = 48, need: str = "true", across: int = 0) -> DataFrame:
     """``df`` with ``into``: array of (start, length, m, before, after) of the pattern's matches.
 
     Starts count code points; ``before`` and ``after`` are up to ``context``
-    and 16 characters between this match and its neighbours.  Where ``need``
-    does not hold the pattern is not tried.  Starts are prefix sums in two
+    and 16 characters between this match and its neighbours, or with ``across``
+    of the text itself, over that many neighbours.  Where ``need`` does not
+    hold the pattern is not tried.  Starts are prefix sums in two
     levels, so many matches in a text cost little more than few.
     """
     none = "cast(array() as array<string>)"
@@ -26,5 +27,10 @@ def match_spans(df: DataFrame, text: str, pattern: str, into: str, context: int
     df = df.withColumn("__c", F.expr("if(size(__n) > 0, transform(sequence(0, (size(__n) - 1) div 128), j -> aggregate(slice(__n, j * 128 + 1, 128), 0, (s, x) -> s + x)), cast(array() as array<int>))"))
     df = df.withColumn("__c", F.expr("transform(__c, (x, j) -> if(j = 0, 0, aggregate(slice(__c, 1, j), 0, (s, y) -> s + y)))"))
     start = "__c[i div 128] + if(i % 128 = 0, 0, aggregate(slice(__n, (i div 128) * 128 + 1, i % 128), 0, (s, y) -> s + y)) + length(__p[i])"
-    df = df.withColumn(into, F.expr(f"transform(__m, (x, i) -> named_struct('start', {start}, 'length', length(x), 'm', x, 'before', right(__p[i], {context}), 'after', left(__p[i + 1], 16)))"))
+    before, after = f"right(__p[i], {context})", "left(__p[i + 1], 16)"
+    if across:
+        tail = f"array_join(transform(sequence(greatest(i - {across}, 0), i), k -> concat(if(k > 0, right(__m[k - 1], {context}), ''), right(__p[k], {context}))), '')"
+        head = f"array_join(transform(sequence(i + 1, least(i + {across}, size(__m))), k -> concat(left(__p[k], 16), if(k < size(__m), left(__m[k], 16), ''))), '')"
+        before, after = f"if(length(__p[i]) >= {context}, {before}, right({tail}, {context}))", f"if(length(__p[i + 1]) >= 16, {after}, left({head}, 16))"
+    df = df.withColumn(into, F.expr(f"transform(__m, (x, i) -> named_struct('start', {start}, 'length', length(x), 'm', x, 'before', {before}, 'after', {after}))"))
     return df.drop("__m", "__p", "__n", "__c")
