@@ -23,9 +23,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that have no language: null texts and texts without any letter.
 
     All other documents stay as they are.  Profiles are learnt from the
-    documents that carry a lang.
+    documents that carry a lang; without any, the letters alone decide.
     """
     model = langid.fit(docs)
+    if not model.languages:
+        model = langid.LETTERS
     kept = langid.identify(docs, model, keep=docs.columns, lang="__lang", score="__score")
     return kept.where(F.col("__lang") != langid.NONE).select(*docs.columns)
 

@@ -336,3 +336,10 @@ def test_pipeline_stages_on_edges(spark, docs):
             assert {r["text"] for r in d.collect()} == {r[1] for r in corpus() if r[1] and any(c.isalpha() for c in r[1])}
         if name != corpus_pipeline.STAGES[-1][0]:
             assert d.columns == before and d.count() > 0
+
+
+def test_pipeline_language_without_labels(spark, docs):
+    import corpus_pipeline
+
+    got = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert Counter(r["text"] for r in got) == Counter(r[1] for r in corpus() if r[1] and any(c.isalpha() for c in r[1]))

@@ -80,6 +80,10 @@ class LanguageModel:
         return self.languages[k], float(min(1.0, max(0.0, (1 + cos[k]) / 2)))
 
 
+#: Names no language, but tells texts with a letter from those without.
+LETTERS = LanguageModel(["any"], np.zeros((1, DIM)), np.zeros(DIM))
+
+
 def _bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     for b in batches:
