@@ -36,15 +36,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keep one document, that with the least doc_id, of each group of near copies.
 
     Near copies share at least 0.8 of their five-word shingles; groups follow
-    links.  Of rows that share a doc_id and stay, one remains.  Rows without
-    doc_id and without shingles stay.
+    links.  Rows that share a doc_id but not the text are documents of their
+    own; of rows that share both, one remains.  Rows without doc_id, and the
+    texts without shingles, stay.
     """
-    groups = ngram_join.jaccard_components(spark, docs, width=5, num=80, den=100)
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("doc_id")
+    s = Scratch(spark, "versions")
+    h = F.xxhash64("text")
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi")).where("n > 1")
+    twice = s.table(twice, "twice")
+    s.close("twice")
+    several = twice.where("lo <> hi").select(F.col("doc_id").alias("__several"))
+    df = docs.withColumn("__id", F.col("doc_id"))
+    if not several.isEmpty():
+        df = docs.join(several, F.col("doc_id") == F.col("__several"), "left").withColumn("__id", F.when(F.col("__several").isNotNull(), F.xxhash64("doc_id", h)).otherwise(F.col("doc_id")))
+    groups = ngram_join.jaccard_components(spark, df.select(F.col("__id").alias("doc_id"), "text"), width=5, num=80, den=100)
+    groups = groups.where("doc_id is not null").select(F.col("doc_id").alias("__id"), "component_id").distinct()
+    if several.isEmpty():
+        gone = groups.where(F.col("component_id") != F.col("__id")).select("__id")
+    else:
+        named = groups.join(df.select("__id", "doc_id").distinct(), "__id")
+        least = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__id")).alias("least"))
+        gone = named.join(least, "component_id").where(F.col("__id") != F.col("least.__id")).select("__id")
+    kept = df.join(gone, "__id", "left_anti").select("__id", *docs.columns)
     once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

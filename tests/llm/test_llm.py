@@ -343,3 +343,15 @@ def test_pipeline_language_without_labels(spark, docs):
 
     got = corpus_pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
     assert Counter(r["text"] for r in got) == Counter(r[1] for r in corpus() if r[1] and any(c.isalpha() for c in r[1]))
+
+
+def test_pipeline_near_duplicates_by_text(spark):
+    import corpus_pipeline
+
+    a, b, c = passage(301, 90), passage(302, 90), passage(303, 90)
+    rows = [(5, a), (5, b), (5, b), (2, a + " end"), (7, b + " end"), (8, c), (8, c), (9, ""), (9, None), (None, c), (None, c), (11, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter(tuple(r) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    assert got == Counter([(2, a + " end"), (5, b), (8, c), (9, ""), (9, None), (None, c), (None, c)])
+    once = spark.createDataFrame([(1, a), (2, b), (3, a), (4, c), (4, c)], "doc_id long, text string")
+    assert Counter(tuple(r) for r in corpus_pipeline.near_duplicates(spark, once, "").collect()) == Counter([(1, a), (2, b), (4, c)])
