@@ -1,29 +1,55 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A written table cuts lineage and survives lost executors.  The folder is the
-session's ``spark.checkpoint.dir``; only where that is unset (tests, a single
-machine) is a temporary folder of our own made and used.
+session's ``spark.checkpoint.dir``; only where that is unset and the master is
+local (tests, a single machine) is a temporary folder of our own made and used.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     set_to = spark.conf.get("spark.checkpoint.dir", None)
     if set_to:
         return set_to.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return _own[0]
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans made meanwhile hand Python workers batches of at most about 8 MB, however long the rows."""
+    was = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, was)
+
+
+def if_small(table: DataFrame, bytes_a_row: int, most: int = 64 << 20) -> DataFrame:
+    """A written ``table``, marked for broadcast where its counted rows take at most ``most`` bytes, as one side of a join.
+
+    Beyond that the join shuffles, and adaptive execution splits its skewed partitions.
+    """
+    return F.broadcast(table) if table.count() * bytes_a_row <= most else table
+
+
 class Scratch:
     """Named tables under one fresh folder; ``close`` removes all but those kept."""
 
@@ -41,7 +67,8 @@ class Scratch:
         self._turn += 1
         name = name or f"t{self._turn}"
         self._names.add(name)
-        df.write.mode("overwrite").parquet(self.path(name))
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _fs(self, path: str):

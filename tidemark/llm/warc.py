@@ -13,6 +13,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 MAGIC = b"\x1f\x8b\x08"
+SCHEMES = {"s3a": "s3", "s3n": "s3"}  # Hadoop's names of stores and pyarrow's
+BROADCAST = 64 << 20  # bytes of the table of repeated payloads up to which it is broadcast
+TASKS = 10_000  # of a reading stage, at most; beyond, a task takes several ranges
 SMALL = 100  # payloads of fewer bytes are never revisits
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, bytes long, records long"
@@ -75,9 +79,15 @@ def parse(data: bytes) -> tuple | None:
     return _id(fields.get("WARC-Record-ID", "")), fields.get("WARC-Target-URI"), n, digest, kind, _id(fields.get("WARC-Refers-To", ""))
 
 
+def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and the folder's path there: local, HDFS, S3, GCS or Azure, by its Hadoop name."""
+    scheme, sep, rest = uri.partition("://")
+    return pafs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + sep + rest)
+
+
 def _writer(root: str, roll: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(root)
+        store, base = open_store(root)
         store.create_dir(base, recursive=True)
         out, path, size, n = None, "", 0, 0
 
@@ -148,13 +158,15 @@ def scan(f, start: int, end: int, step: int = 1 << 20) -> Iterator[bytes]:
 
 def _reader(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, _ = pafs.FileSystem.from_uri(root)
+        store, _ = open_store(root)
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        names = [x.split()[0] for x in RECORD.split(", ")]
         for b in batches:
             for path, start, end in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 with store.open_input_file(path) as f:
-                    rows = [r for x in scan(f, start, end) if (r := parse(x))]
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in RECORD.split(", ")])
+                    records = (r for x in scan(f, start, end) if (r := parse(x)))
+                    while rows := list(islice(records, 10_000)):
+                        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     return run
 
@@ -169,20 +181,25 @@ def write_archives(s: Scratch, pages: DataFrame, roll: int = 256 << 20) -> DataF
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
-    same = p.where((F.octet_length("html") >= SMALL) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    first = same.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last")
-    revisit = same.join(first, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
-    rows = p.join(revisit, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to", "digest")
+    can = (F.octet_length("html") >= SMALL) & F.col("page_id").isNotNull()
+    same = p.where(can).select("page_id", "digest")
+    first = same.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
+    first = s.table(first, "first")
+    refers = F.when(can & (F.col("page_id") > F.col("first")), F.col("first")).alias("refers_to")
+    if first.count() * 200 <= BROADCAST:  # a row of the hashed table takes less than 200 bytes
+        rows = p.join(F.broadcast(first), "digest", "left").select("page_id", "url", "html", refers, "digest")
+    else:  # by page as well, so that a payload of very many pages is no hot key
+        revisit = same.join(first, "digest").where("page_id > first").select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+        rows = p.join(revisit, ["page_id", "digest"], "left").select("page_id", "url", "html", "refers_to", "digest")
     return s.table(rows.mapInArrow(_writer(s.path("archives"), roll), MANIFEST), "manifest")
 
 
 def read_archives(manifest: DataFrame, root: str, split: int = 16 << 20) -> DataFrame:
-    """The records of the archives in a manifest, by ranges of ``split`` bytes."""
+    """The records of the archives in a manifest, by ranges of ``split`` bytes, a task for each up to ``TASKS``."""
     start = F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long")))
     ranges = manifest.where("bytes > 0").select("path", "bytes", start.alias("start"))
     ranges = ranges.select("path", "start", F.least(F.col("start") + split, F.col("bytes")).alias("end"))
-    dealt = ranges.repartition(F.col("path"), F.col("start"))
-    return dealt.mapInArrow(_reader(root), RECORD)
+    return ranges.repartition(max(1, min(TASKS, ranges.count()))).mapInArrow(_reader(root), RECORD)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, split: int = 16 << 20, roll: int = 256 << 20) -> DataFrame:
