@@ -41,11 +41,14 @@ from pyspark.sql import Window
 
 from . import hashing as H
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, if_small
 
 U = np.uint64
 LAYOUTS = 4
-CELL = 1024
+CELL = 512
+LEAST = 8  # keys of a set that the first look at its cells knows
+SHARE, HOT = 32, 16  # of the sets one in SHARE is drawn, and a block that HOT of them share is hot
+MOST_HOT = 500_000
 
 
 class Bands:
@@ -296,13 +299,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, num
     sketches = s.table(docs.mapInArrow(_sketcher(width, num, den), SKETCH), "sketches")
     member = sketches.where("n > 0 and doc_id is not null")
     classes = member.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    by_key = Window.partitionBy("key")
-    groups = s.table(
-        classes.select("id", F.explode("keys").alias("key"))
-        .select("key", "id", F.count(F.lit(1)).over(by_key).alias("size"), F.bit_xor(F.xxhash64("id")).over(by_key).alias("h1"), F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit(2**40 - 1))).over(by_key).alias("h2"))
-        .where("size > 1"),
-        "groups",
-    )
+    groups = s.table(_groups(s, member, classes), "groups")
     rep = s.table(member.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("id")), "classes")
     found = s.table(_links(s, docs, groups, sketches, rep, width, num, den), "found")
     labels = connected_components(found.where("id <> up").select(F.col("id").alias("a"), F.col("up").alias("b")).distinct(), s)
@@ -319,26 +316,49 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, num
     return out
 
 
+def _groups(s: Scratch, member: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, id, size, h1, h2): the sets of each block that several share, their number, and two hashes of them all.
+
+    Blocks that very many sets share are found in a sample of the sets; they
+    are summed up before their rows are shuffled, and all others by a window.
+    Whatever the sample finds, the result is the same.
+    """
+    drawn = member.where(F.pmod(F.xxhash64("fp1", F.lit(5)), F.lit(SHARE)) == 0).dropDuplicates(["n", "fp1", "fp2"])
+    hot = drawn.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("seen")).where(F.col("seen") >= HOT)
+    hot = s.table(hot, "hot")
+    least = HOT
+    while hot.where(F.col("seen") >= least).count() > MOST_HOT:  # what is broadcast stays bounded
+        least *= 2
+    hot = F.broadcast(hot.where(F.col("seen") >= least).select("key"))
+    rows = classes.select("id", F.explode("keys").alias("key"))
+    told = {"size": F.count(F.lit(1)), "h1": F.bit_xor(F.xxhash64("id")), "h2": F.sum(F.xxhash64("id", F.lit(1)).bitwiseAND(F.lit(2**40 - 1)))}
+    at = Window.partitionBy("key")
+    cold = rows.join(hot, "key", "left_anti").select("key", "id", *(v.over(at).alias(k) for k, v in told.items())).where("size > 1")
+    whole = rows.join(hot, "key").groupBy("key").agg(*(v.alias(k) for k, v in told.items())).where("size > 1")
+    return cold.unionByName(rows.join(F.broadcast(whole), "key").select("key", "id", *told))  # at most MOST_HOT rows
+
+
 def _links(s: Scratch, docs: DataFrame, groups: DataFrame, sketches: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """(id, fp1, links, up) of each cell: a class's links counted there, and a document that they lead to."""
     # blocks shared by the same members give the same comparisons: one of them is enough
     keys = s.table(groups.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "open")
-    held = s.table(groups.join(keys, "key").select("key", "id", "size").distinct(), "held")
-    own = held.groupBy("id").agg(F.collect_list("key").alias("own"))
+    held = s.table(groups.join(if_small(keys, 48), "key").select("key", "id", "size").repartition("key", "id").distinct(), "held")
+    own = held.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("own"))
     own = classes.join(own, "id").join(sketches.select(F.col("doc_id").alias("id"), "n", "fp1", "fp2", "sketch"), ["id", "n", "fp1", "fp2"])
     own = s.table(own.dropDuplicates(["id", "fp1", "fp2"]).select("id", "n", "fp1", "sketch", "own"), "own")
     parts = F.ceil(F.col("size") / F.lit(CELL)).cast("int")
     cells = (
         held.join(own, "id")
-        .withColumn("lesser", F.expr("filter(own, x -> x < key)"))
+        .withColumn("lesser", F.expr(f"filter(slice(own, 1, {LEAST}), x -> x < key)"))
         .withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(7)), parts).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
         .select("key", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "id", "fp1", "n", "sketch", "lesser")
     )
     cells = s.table(cells, "cells")
+    # two sets that share one of their few least keys count there; whether others share a lesser key is seen where the sets are
     dealt = lambda df: df.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
     maybe = s.table(dealt(cells).mapInArrow(_cells(num, den, False), CELLS).select("id", "fp1", "key", "ci", "cj"), "maybe")
     sets = s.table(shingle_table(docs, maybe.select("id", "fp1"), width), "sets")
-    full = cells.join(maybe, ["id", "fp1", "key", "ci", "cj"]).join(sets, ["id", "fp1"])
-    full = full.select("key", "ci", "cj", "chunk", "id", "fp1", "n", "sketch", "lesser", "words")
+    full = cells.drop("lesser").join(maybe, ["id", "fp1", "key", "ci", "cj"]).join(sets, ["id", "fp1"]).join(own.select("id", "fp1", "own"), ["id", "fp1"])
+    full = full.withColumn("lesser", F.expr("filter(own, x -> x < key)")).select("key", "ci", "cj", "chunk", "id", "fp1", "n", "sketch", "lesser", "words")
     return dealt(full).mapInArrow(_cells(num, den, True), CELLS).select("id", "fp1", "links", "up")
