@@ -5,21 +5,25 @@ count once their check passes, and looser ones (spelt-out addresses, defanged
 IPs, other separators).  Four labelers vote on every candidate: its format, a
 gazetteer, the words before it, and the characters around it.  Expectation-
 maximisation over the counts of vote patterns estimates how reliable each
-labeler is and how likely each pattern is to be personal data; a logistic
-classifier of the span's features is trained on those soft labels and decides
-which loose candidates are added.  Only DataFrame and SQL functions run here;
-the driver sees the counts of vote patterns, a few hundred rows at most.
+labeler is and how likely each pattern is to be personal data.  A logistic
+classifier is trained on those soft labels and decides which loose candidates
+are added; besides the votes it sees traits of the span that no labeler looks
+at: its length, its signs, how many different digits or letters it has, and
+what its line holds.  Only DataFrame and SQL functions run here; the driver
+sees counts of vote and trait patterns, ``PATTERNS`` at most.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .spans import match_spans
+from .spans import let, match_spans
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.9
@@ -68,11 +72,23 @@ FORMAT = {
     "card": f"if({LUHN}, 1, -1)",
     "phone": f"if(length({DIGITS}) between 8 and 15, 1, if(length({DIGITS}) = 7, 0, -1))",
 }
+# Generic and country top-level domains, calling codes, ranges of card issuers.
+DOMAINS = (
+    "com org net edu gov mil int info biz name pro museum aero coop jobs mobi travel tel cat asia app dev blog cloud online shop site store tech xyz club live news page "
+    "io co ai me tv cc eu uk de fr es it nl us ca au ch at be pt pl ru jp cn in br mx ar cl pe uy ve ec bo py cr pa do gt hn ni sv cu pr se no fi dk is ie lu li mc gr cy mt cz sk hu ro bg "
+    "si hr ba rs mk al ua by md lt lv ee tr il ae sa qa kw om jo lb eg ma tn dz ng ke za gh kr tw hk sg my th vn id ph nz pk bd lk np ir iq kz uz ge am az mn"
+).split()
+CALLING = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 211 212 213 216 218 220 221 233 234 254 255 256 260 263 "
+    "351 352 353 354 355 356 357 358 359 370 371 372 373 374 375 376 377 380 381 385 386 387 389 420 421 423 502 503 504 505 506 507 591 593 595 598 852 853 855 880 886 960 961 962 963 964 965 966 968 971 972 973 974 975 976 977 992 993 994 995 996 998"
+).split()
+ISSUERS = "4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|3(?:0[0-5]|[689])|6(?:011|4[4-9]|5|2|0|3)|35(?:2[89]|[3-8])"
 GAZETTEER = {
-    "email": "if(lower({m}) rlike '[.)\\\\]](com|org|net|edu|gov|mil|int|info|biz|io|co|eu|uk|de|fr|es|it|nl|us|ca|au|ch|at|be|pt|pl|ru|jp|cn|in|br)$', 1, -1)",
+    "email": f"if(lower({{m}}) rlike '[.)\\\\] ]({'|'.join(DOMAINS)})$', 1, -1)",
+    # loopback, multicast and reserved ranges are nobody's address
     "ip": "if({m} rlike '^(0+|127|22[4-9]|2[3-5][0-9])[^0-9]', -1, 1)",
-    "card": f"if({DIGITS} rlike '^(4|5[1-5]|2[2-7]|3[4-7]|6[0245])', 1, -1)",
-    "phone": f"if({DIGITS} rlike '^(1[2-9]|7|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{{9}}$)', 1, 0)",
+    "card": f"if({DIGITS} rlike '^({ISSUERS})', 1, -1)",
+    "phone": f"if({{m}} rlike '^[+]', if({DIGITS} rlike '^({'|'.join(CALLING)})', 1, -1), if({DIGITS} rlike '^[2-9][0-9]{{2}}[2-9][0-9]{{6}}$', 1, 0))",
 }
 WORDS = {
     "email": "e-?mail|contact|write|mailto|correo|courriel|schreib",
@@ -93,26 +109,56 @@ def _votes(kind: str, m: str, before: str, after: str) -> str:
     return f"array({_fill(FORMAT[kind], m)}, {_fill(GAZETTEER[kind], m)}, {context}, {edge})"
 
 
+# Traits of a span that no labeler looks at, each a small whole number below LEVELS.
+LEVELS = 5
+TRAITS = (
+    "cast(least(length({m}) div 8, 4) as int)",
+    "least(size(array_distinct(regexp_extract_all({m}, '[^0-9A-Za-z]', 0))), 4)",
+    "cast(least(size(array_distinct(regexp_extract_all(lower({m}), '[0-9a-z]', 0))) div 3, 4) as int)",
+    r"""case when {before} rlike '(^|\n)[^\n]{{0,3}}$' then 0 when {before} rlike '[:=] ?$' then 1 when {before} rlike '[(\\[<{{"\']$' then 2 when {before} rlike '[0-9] ?$' then 3 else 4 end""",
+    r"""case when {after} = '' or {after} rlike '^\n' then 0 when {after} rlike '^[.,;:!?)\\]>}}"\']' then 1 when {after} rlike '^ ?[0-9]' then 3 else 4 end""",
+)
+
+
+def _traits(m: str, before: str, after: str) -> str:
+    return "array(" + ", ".join(x.format(m=m, before=before, after=after) for x in TRAITS) + ")"
+
+
 def _found(df: DataFrame, kind: str, base: bool) -> DataFrame:
     """``df`` with the candidates of one pattern as an array column."""
     name = f"{kind}_{'base' if base else 'loose'}"
     df = match_spans(df, "text", (BASE if base else LOOSE)[kind], "__at", CONTEXT, NEEDS[kind, base].format(t="text"))
     ok = _fill(CHECK[kind], "y.m") if base else "true"
     votes = _votes(kind, "y.m", "y.before", "y.after")
-    span = f"named_struct('kind', {KINDS.index(kind)}, 'start', y.start, 'end', y.start + y.length, 'base', {str(base).lower()}, 'votes', {votes})"
+    span = f"named_struct('kind', {KINDS.index(kind)}, 'start', y.start, 'end', y.start + y.length, 'base', {str(base).lower()}, 'votes', {votes}, 'traits', {_traits('y.m', 'y.before', 'y.after')})"
     df = df.withColumn(name, F.expr(f"transform(filter(__at, y -> {ok}), y -> {span})"))
     return df.drop("__at")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, base, loose): arrays of spans with their votes; loose ones overlap no other."""
+    """(doc_id, base, loose): arrays of spans with their votes and traits; loose ones overlap no base one and none of an earlier kind.
+
+    Spans are compared inside blocks of neighbours by start, so a text of very
+    many spans costs little more than its length.
+    """
     df = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     for base in (True, False):
         for kind in KINDS:
             df = _found(df, kind, base)
     df = df.select("doc_id", F.concat(*(f"{k}_base" for k in KINDS)).alias("base"), F.concat(*(f"{k}_loose" for k in KINDS)).alias("loose"))
-    over = "a.start < b.end and b.start < a.end"
-    return df.withColumn("loose", F.expr(f"filter(loose, a -> not exists(base, b -> {over}) and not exists(loose, b -> b.kind < a.kind and {over}))"))
+    return free_of(df, "base", "loose")
+
+
+def free_of(df: DataFrame, base: str, loose: str, block: int = 256) -> DataFrame:
+    """``df`` with the spans of ``loose`` that overlap no span of ``base`` and none of ``loose`` of a lesser kind."""
+    none = "cast(array() as array<struct<start: int, end: int, kind: int>>)"
+    every = f"concat(transform({base}, x -> struct(x.start as start, x.end as end, -1 as kind)), transform({loose}, x -> struct(x.start as start, x.end as end, x.kind as kind)))"
+    df = df.withColumn("__all", F.expr(f"if(size({loose}) = 0, {none}, array_sort({every}))"))
+    bounds = "struct(b[0].start as lo, array_max(transform(b, x -> x.end)) as hi, b as spans)"
+    cut = f"if(size(e) = 0, array(), transform(sequence(0, (size(e) - 1) div {block}), j -> slice(e, j * {block} + 1, {block})))"
+    blocks = f"transform({let('e', '__all', cut)}, b -> {bounds})"
+    hit = "exists(cs, c -> c.lo < a.end and c.hi > a.start and exists(c.spans, b -> b.kind < a.kind and b.start < a.end and b.end > a.start))"
+    return df.withColumn(loose, F.expr(let("cs", blocks, f"filter({loose}, a -> not {hit})"))).drop("__all")
 
 
 def estimate(patterns: list[tuple[int, bool, list[int], int]], rounds: int = 40) -> dict[tuple[int, bool, tuple[int, ...]], float]:
@@ -147,33 +193,41 @@ def estimate(patterns: list[tuple[int, bool, list[int], int]], rounds: int = 40)
     return out
 
 
-def _features(kind: int, votes: list[int]) -> list[float]:
-    """A bias and the votes for and against, for the span's kind."""
-    own = [1.0] + [float(v == s) for v in votes for s in (1, -1)]
-    return [x if k == kind else 0.0 for k in range(len(KINDS)) for x in own]
-
-
-def train(patterns: list[tuple[int, bool, list[int], int]], steps: int = 300, decay: float = 1e-3) -> list[float]:
-    """Weights of a logistic classifier of spans, fitted to the soft labels by gradient steps."""
-    soft = estimate(patterns)
-    rows = [(_features(k, v), soft[k, b, tuple(v)], c) for k, b, v, c in patterns]
-    if not rows:
-        return [0.0] * len(_features(0, [0] * 4))
-    per_kind = {k: sum(c for kk, _, _, c in patterns if kk == k) for k in range(len(KINDS))}
-    w = [0.0] * len(rows[0][0])
-    for _ in range(steps):
-        g = [decay * x for x in w]
-        for (x, y, c), (k, _, _, _) in zip(rows, patterns, strict=True):
-            e = c / per_kind[k] * (1 / (1 + math.exp(-max(-50.0, min(50.0, sum(a * b for a, b in zip(w, x, strict=True)))))) - y)
-            for j, a in enumerate(x):
-                if a:
-                    g[j] += e * a
-        w = [a - 2.0 * b for a, b in zip(w, g, strict=True)]
-    return w
+def _features(votes: list[int], traits: list[int]) -> list[int]:
+    """Places of a span's features that are 1: a bias, the votes for and against, the levels of its traits."""
+    n = 1 + 2 * len(votes)
+    return [0, *(1 + 2 * j + (v < 0) for j, v in enumerate(votes) if v), *(n + LEVELS * j + x for j, x in enumerate(traits))]
+
+
+WIDTH = 1 + 2 * 4 + LEVELS * len(TRAITS)
+PATTERNS = len(KINDS) * 2 * 3**4 * LEVELS ** len(TRAITS)
+
+
+def train(patterns: list[tuple[int, bool, list[int], list[int], int]], steps: int = 200, decay: float = 1e-3) -> list[list[float]]:
+    """For each kind, weights of a logistic classifier of spans (kind, base, votes, traits, count), fitted to the soft labels by gradient steps."""
+    by_votes = Counter()
+    for k, base, v, _, c in patterns:
+        by_votes[k, base, tuple(v)] += c
+    soft = estimate([(k, base, list(v), c) for (k, base, v), c in sorted(by_votes.items())])
+    out = []
+    for kind in range(len(KINDS)):
+        own = [(_features(v, x), soft[k, base, tuple(v)], c) for k, base, v, x, c in patterns if k == kind]
+        w = np.zeros(WIDTH)
+        if own:
+            x = np.zeros((len(own), WIDTH))
+            for i, (places, _, _) in enumerate(own):
+                x[i, places] = 1.0
+            y, c = np.array([o[1] for o in own]), np.array([o[2] for o in own], float)
+            c /= c.sum()
+            for _ in range(steps):
+                e = c * (1 / (1 + np.exp(-np.clip(x @ w, -50, 50))) - y)
+                w -= 1.0 * (x.T @ e + decay * w)
+        out.append([float(a) for a in w])
+    return out
 
 
 def find_personal_data(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, base, added): arrays of spans (kind, start, end, base, votes), by kind and start.
+    """(doc_id, base, added): arrays of spans (kind, start, end, base, votes, traits), by kind and start.
 
     Starts and ends count code points, ends excluded.  A null text is empty
     and has no span.  Equal rows give equal results.  Other columns than
@@ -181,12 +235,11 @@ def find_personal_data(spark: SparkSession, docs: DataFrame, threshold: float =
     """
     s = Scratch(spark, "pii")
     found = s.table(candidates(docs), "found")
-    spans = found.select(F.explode(F.concat("base", "loose")).alias("x")).groupBy("x.kind", "x.base", "x.votes").agg(F.count(F.lit(1)))
+    spans = found.select(F.explode(F.concat("base", "loose")).alias("x")).groupBy("x.kind", "x.base", "x.votes", "x.traits").agg(F.count(F.lit(1)))
     w = train(sorted(tuple(r) for r in spans.collect()))
-    n = len(w) // len(KINDS)
-    by_kind = [w[k * n : (k + 1) * n] for k in range(len(KINDS))]
-    table = "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in r) + ")" for r in by_kind) + ")"
-    logit = f"aggregate(sequence(0, 3), {table}[x.kind][0], (s, j) -> s + if(x.votes[j] = 1, {table}[x.kind][2 * j + 1], if(x.votes[j] = -1, {table}[x.kind][2 * j + 2], 0D)))"
+    table = "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in r) + ")" for r in w) + ")"
+    votes = f"aggregate(sequence(0, 3), {table}[x.kind][0], (s, j) -> s + if(x.votes[j] = 1, {table}[x.kind][2 * j + 1], if(x.votes[j] = -1, {table}[x.kind][2 * j + 2], 0D)))"
+    logit = f"aggregate(sequence(0, {len(TRAITS) - 1}), {votes}, (s, j) -> s + {table}[x.kind][9 + {LEVELS} * j + x.traits[j]])"
     added = F.expr(f"filter(loose, x -> {logit} >= {math.log(threshold / (1 - threshold))!r}D)")
     return found.select("doc_id", "base", added.alias("added"))
 
