@@ -4,8 +4,11 @@ Candidates are long tokens of mixed characters, assigned values and private
 keys from their header to their END line (to the last line of the key where
 that is cut off).  Each gets features of its length, its character transitions, its
 coverage by a dictionary, its likeness to a path, and the words around it.  A
-random forest trained on labelled findings keeps or drops it.  Only DataFrame
-and SQL functions (and the DataFrame-based ML library) run here.
+random forest trained on labelled findings keeps or drops it.  For want of
+reviewed findings it learns from constructed ones: values that are secrets or
+look-alikes by the way they were made, not by any rule over the features, set
+into text and found there like any other.  Only DataFrame and SQL functions
+(and the DataFrame-based ML library) run here.
 """
 
 from __future__ import annotations
@@ -73,20 +76,52 @@ def candidates(docs: DataFrame) -> DataFrame:
     return df.withColumn("found", F.expr(f"transform(__at, y -> {span})")).drop("__at")
 
 
-def rule_labels(found: DataFrame) -> DataFrame:
-    """``found`` rows (m, f) with a label where one can be told: labelled findings for want of reviewed ones.
+# Constructed findings.  Each value is made from a row's random hex digits r and words; each stands behind one of the openings of its kind.
+NAMES = ("password", "passwd", "db_password", "secret", "client_secret", "token", "access_token", "auth_token", "api_key", "apikey", "API_KEY", "AWS_SECRET_ACCESS_KEY", "private_key", "credential")
+SECRETS = (
+    "substring(r, 1, 32)", "substring(r, 1, 40)", "r", "translate(base64(unhex(r)), '=', '')", "substring(translate(base64(unhex(r)), '+/=', ''), 1, 16 + n % 24)",
+    "concat(upper(substring(r, 1, 4)), '-', substring(translate(base64(unhex(r)), '+/=', ''), 1, 20))", "concat(substring(translate(base64(unhex(r)), '+/=', ''), 1, 10), '_', substring(r, 5, 8), '!')",
+    "concat(substring(translate(base64(unhex(r)), '+/=', ''), 1, 16), '.', substring(translate(base64(unhex(r)), '+/=', ''), 17, 20))",
+)
+LOOKALIKES = (
+    "concat(w[0], '/', w[1], '/', w[2], n % 9, '.', substring(w[3], 1, 3))", "concat('/', w[0], '/', w[1], '/', w[2], '/', n % 99, '/', w[3])", "concat(w[0], n % 9, '.', w[1], '.', w[2], '.com')", "concat(w[0], '_', w[1], '_', w[2], '_', n % 99)",
+    "concat(w[0], initcap(w[1]), initcap(w[2]), n % 9, initcap(w[3]))", "concat(w[0], '.', w[1], '.', w[2], '.', w[3], n % 9)", "concat('https/', w[0], '.', w[1], '.org/', w[2], '/', n % 999)", "concat('v', n % 9, '.', n % 7, '.', n % 31, '-', w[0], '.', w[1])",
+    "concat('20', 10 + n % 15, '-0', 1 + n % 9, '-1', n % 9, 'T1', n % 9, '.20.30Z')", "concat('your_', w[0], '_', w[1], '_here_', n % 9)", "concat(repeat('x', 16 + n % 9), n % 9)", "concat(w[0], repeat('-', 1), w[1], '-', w[2], '-', w[3], '-', n % 99)",
+)
+DIGESTS = ("substring(r, 1, 32)", "substring(r, 1, 40)", "r", "concat(substring(r, 1, 8), '-', substring(r, 9, 4), '-4', substring(r, 13, 3), '-a', substring(r, 16, 3), '-', substring(r, 20, 12))")
+PLAIN = ("", "see ", "in ", "file ", "at ", "from (", "open \"", "class ", "version: ", "name = \"", "path: ", "mail to a.b@")
+SUMS = ("commit ", "sha256: ", "sha1 ", "md5sum = \"", "checksum: ", "etag = \"", "id: ", "request ", "digest = '", "uuid = \"", "revision ", "hash (")
+
+
+def constructed(spark: SparkSession, rows: int = 6000, seed: int = 1) -> DataFrame:
+    """Labelled findings (m, f, label) of constructed texts: 1 for secrets, 0 for look-alikes.
 
-    A private key, a token of a known format or a long value assigned in
-    quotes to a name that speaks of secrets is one; a value made of dictionary
-    words or of a path, and a plain one that is neither assigned nor near such
-    a name, is none.  Nothing is told of one that looks random.
+    Secrets are random values assigned to, or sent under, names that speak of
+    them; look-alikes are paths, hosts, names, versions, times and
+    placeholders anywhere, under such names too, and digests under names of
+    their own.
     """
-    at = {k: f"f[{i}]" for i, k in enumerate(FEATURES)}
-    sure = f"{at['header']} = 1 or {at['known']} = 1"
-    yes = f"{sure} or ({at['keyword']} = 1 and {at['assigned']} = 1 and {at['quoted']} = 1 and length(m) >= 16 and {at['dictionary']} < 0.5 and {at['path']} = 0)"
-    random = f"(length(m) >= 20 and {at['dictionary']} < 0.3 and {at['path']} = 0 and {at['transitions']} >= 0.2)"
-    no = f"({at['keyword']} = 0 and {at['assigned']} = 0 and not {random}) or {at['dictionary']} >= 0.6 or ({at['path']} = 1 and {at['keyword']} < 1)"
-    return found.withColumn("label", F.expr(f"case when {yes} then 1D when {no} then 0D end")).where("label is not null")
+    text = lambda xs: "array(" + ", ".join("'" + x.replace("'", "\\'") + "'" for x in xs) + ")"
+    pick = lambda xs, k: f"element_at(array({', '.join(xs)}), cast(pmod(xxhash64(id, {k}), {len(xs)}) as int) + 1)"
+    words = ", ".join(f"element_at({text(DICTIONARY)}, cast(pmod(xxhash64(id, {k}), {len(DICTIONARY)}) as int) + 1)" for k in range(4, 8))
+    df = spark.range(seed * 10**9, seed * 10**9 + rows, 1, 8)
+    df = df.select("id", F.expr("sha2(cast(id as string), 256) as r"), F.expr("cast(pmod(xxhash64(id, 3), 1000) as int) as n"), F.expr(f"array({words}) as w"))
+    df = df.withColumn("__kind", F.expr("cast(pmod(xxhash64(id, 9), 20) as int)"))
+    name = f"element_at({text(NAMES)}, cast(pmod(xxhash64(id, 10), {len(NAMES)}) as int) + 1)"
+    assign = f"concat({name}, {pick([repr(x) for x in (' = ', '=', ': ', ' : ')], 11)}, {{q}})"
+    quote = "if(n % 4 > 0, '\"', if(n % 8 = 0, '\\'', ''))"
+    opened = assign.replace("{q}", quote)
+    bearer = pick(["'Authorization: Bearer '", "'x-api-key: '", "'bearer token '", "'curl -u admin:'"], 12)
+    value = f"case when __kind < 10 then {pick(list(SECRETS), 13)} when __kind < 13 then {pick(list(DIGESTS), 14)} else {pick(list(LOOKALIKES), 15)} end"
+    before = (
+        f"case when __kind < 8 then {opened} when __kind < 10 then {bearer} when __kind < 13 then element_at({text(SUMS)}, cast(pmod(xxhash64(id, 16), {len(SUMS)}) as int) + 1)"
+        f" when __kind < 16 then {opened} else element_at({text(PLAIN)}, cast(pmod(xxhash64(id, 17), {len(PLAIN)}) as int) + 1) end"
+    )
+    df = df.withColumn("__before", F.expr(f"concat(w[3], ' ', w[1], if(n % 2 = 0, '\n', ' '), {before})")).withColumn("__value", F.expr(value))
+    close = "case when __before like '%\"' then '\"' when __before like '%\\'' then '\\'' when __before like '%(' then ')' else '' end"
+    df = df.select(F.col("id").alias("doc_id"), F.expr("if(__kind < 10, 1D, 0D)").alias("label"), F.length("__before").alias("__from"), F.expr(f"concat(__before, __value, {close}, if(n % 3 = 0, '\n', ' '), w[2], ' ', w[0])").alias("text"))
+    found = candidates(df).select("label", "__from", F.explode("found").alias("x"))
+    return found.where(F.col("x.start") <= F.col("__from") + 2).where(F.col("x.end") > F.col("__from")).select("x.m", "x.f", "label")
 
 
 def _features(df: DataFrame) -> DataFrame:
@@ -99,12 +134,14 @@ def train(labelled: DataFrame, most: int = 20_000, trees: int = 24, depth: int =
 
     None where the findings hold only one label.
     """
-    counts = {r[0]: r[1] for r in labelled.groupBy("label").count().collect()}
+    findings = labelled.groupBy("m", "f", "label").agg(F.count(F.lit(1)).alias("times"))  # a value that is repeated is one row
+    counts = {r[0]: r[1] for r in findings.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
     share = F.lit(2**31) * F.when(F.col("label") == 1, min(1.0, most / 2 / counts[1.0])).otherwise(min(1.0, most / 2 / counts[0.0]))
-    rows = labelled.where(F.pmod(F.xxhash64("m"), F.lit(2**31)) < share)
-    even = F.when(F.col("label") == 1, 1.0).otherwise(counts[1.0] / counts[0.0] if counts[1.0] < counts[0.0] else 1.0)
+    rows = findings.where(F.pmod(F.xxhash64("m"), F.lit(2**31)) < share)
+    even = F.when(F.col("label") == 1, 1.0).otherwise(min(1.0, counts[1.0] / counts[0.0]))
+    # at most about ``most`` rows, so one task, whose order makes the forest the same each time
     rows = _features(rows.select("m", "f", "label", even.alias("weight"))).repartition(1).sortWithinPartitions("m", "f", "label")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, weightCol="weight").fit(rows)
 
@@ -112,26 +149,20 @@ def train(labelled: DataFrame, most: int = 20_000, trees: int = 24, depth: int =
 def scan(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(doc_id, h, n_candidates, spans): h hashes the text; spans (start, end, score) of the secrets found, by start.
 
-    Without ``labelled`` findings the rules of ``rule_labels`` provide them;
-    where these know one label only, the findings that the rules call secrets
-    are kept.  Private keys and tokens of a known format are kept in any case
-    then.  A null text is empty.  Equal rows count once.
+    Without ``labelled`` findings (m, f, label) the forest learns from
+    ``constructed`` ones; findings of one label only keep nothing.  Private
+    keys and tokens of a known format are kept in any case.  A null text is
+    empty.  Equal rows count once.
     """
     s = Scratch(spark, "secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
     found = candidates(docs.select("doc_id", text.alias("text"))).select("doc_id", F.xxhash64("text").alias("h"), "found")
     found = s.table(found, "found")
     rows = found.where("size(found) > 0").dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode("found").alias("x")).select("doc_id", "h", "x.*")
-    known = rule_labels(rows) if labelled is None else labelled
-    model = train(known)
-    if model is None:
-        scored = known.where("label = 1").withColumn("score", F.lit(1.0)) if labelled is None else rows.limit(0).withColumn("score", F.lit(0.0))
-    else:
-        scored = model.transform(_features(rows)).withColumn("score", vector_to_array("probability")[1])
-        if labelled is None:
-            sure = (F.col("f")[FEATURES.index("header")] == 1) | (F.col("f")[FEATURES.index("known")] == 1)
-            scored = scored.withColumn("score", F.when(sure, F.lit(1.0)).otherwise(F.col("score")))
-        scored = scored.where(F.col("score") >= KEEP)
+    model = train(constructed(spark) if labelled is None else labelled)
+    sure = (F.col("f")[FEATURES.index("header")] == 1) | (F.col("f")[FEATURES.index("known")] == 1)
+    scored = rows.withColumn("score", F.lit(0.0)) if model is None else model.transform(_features(rows)).withColumn("score", vector_to_array("probability")[1])
+    scored = scored.withColumn("score", F.when(sure, F.lit(1.0)).otherwise(F.col("score"))).where(F.col("score") >= KEEP)
     spans = scored.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "score"))).alias("spans"))
     every = found.select("doc_id", "h", F.size("found").cast("long").alias("n_candidates"))
     a, b = every.alias("a"), spans.alias("b")

@@ -11,6 +11,15 @@ def quoted(pattern: str) -> str:
     return pattern.replace("\\", "\\\\").replace("'", "\\'")
 
 
+def let(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` with ``name`` bound to ``value``, computed once.
+
+    A column that a lambda names may be computed anew for each element, where
+    the optimiser merges projections; an argument is not.
+    """
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def match_spans(df: DataFrame, text: str, pattern: str, into: str, context: int = 48, need: str = "true", across: int = 0) -> DataFrame:
     """``df`` with ``into``: array of (start, length, m, before, after) of the pattern's matches.
 
@@ -23,14 +32,17 @@ def match_spans(df: DataFrame, text: str, pattern: str, into: str, context: int
     none = "cast(array() as array<string>)"
     df = df.withColumn("__m", F.expr(f"if({need}, regexp_extract_all({text}, '{quoted(pattern)}', 0), {none})"))
     df = df.withColumn("__p", F.expr(f"if(size(__m) > 0, split({text}, '{quoted(pattern)}', -1), {none})"))
-    df = df.withColumn("__n", F.expr("transform(__m, (x, i) -> length(__p[i]) + length(x))"))
-    df = df.withColumn("__c", F.expr("if(size(__n) > 0, transform(sequence(0, (size(__n) - 1) div 128), j -> aggregate(slice(__n, j * 128 + 1, 128), 0, (s, x) -> s + x)), cast(array() as array<int>))"))
-    df = df.withColumn("__c", F.expr("transform(__c, (x, j) -> if(j = 0, 0, aggregate(slice(__c, 1, j), 0, (s, y) -> s + y)))"))
-    start = "__c[i div 128] + if(i % 128 = 0, 0, aggregate(slice(__n, (i div 128) * 128 + 1, i % 128), 0, (s, y) -> s + y)) + length(__p[i])"
-    before, after = f"right(__p[i], {context})", "left(__p[i + 1], 16)"
+    before, after = f"right(p[i], {context})", "left(p[i + 1], 16)"
     if across:
-        tail = f"array_join(transform(sequence(greatest(i - {across}, 0), i), k -> concat(if(k > 0, right(__m[k - 1], {context}), ''), right(__p[k], {context}))), '')"
-        head = f"array_join(transform(sequence(i + 1, least(i + {across}, size(__m))), k -> concat(left(__p[k], 16), if(k < size(__m), left(__m[k], 16), ''))), '')"
-        before, after = f"if(length(__p[i]) >= {context}, {before}, right({tail}, {context}))", f"if(length(__p[i + 1]) >= 16, {after}, left({head}, 16))"
-    df = df.withColumn(into, F.expr(f"transform(__m, (x, i) -> named_struct('start', {start}, 'length', length(x), 'm', x, 'before', {before}, 'after', {after}))"))
-    return df.drop("__m", "__p", "__n", "__c")
+        tail = f"array_join(transform(sequence(greatest(i - {across}, 0), i), k -> concat(if(k > 0, right(m[k - 1], {context}), ''), right(p[k], {context}))), '')"
+        head = f"array_join(transform(sequence(i + 1, least(i + {across}, size(m))), k -> concat(left(p[k], 16), if(k < size(m), left(m[k], 16), ''))), '')"
+        before, after = f"if(length(p[i]) >= {context}, {before}, right({tail}, {context}))", f"if(length(p[i + 1]) >= 16, {after}, left({head}, 16))"
+    plus = "(s, y) -> s + y"
+    runs = "transform(sequence(0, (size(n) - 1) div 128), j -> slice(n, j * 128 + 1, 128))"
+    until = let("c", f"transform(k, r -> aggregate(r, 0, {plus}))", f"transform(sequence(0, size(c) - 1), j -> if(j = 0, 0, aggregate(slice(c, 1, j), 0, {plus})))")
+    sums = f"flatten(transform(k, (r, j) -> transform(r, (x, i) -> u[j] + if(i = 0, 0, aggregate(slice(r, 1, i), 0, {plus})))))"
+    span = f"named_struct('start', b[i] + length(p[i]), 'length', length(x), 'm', x, 'before', {before}, 'after', {after})"
+    spans = let("n", "transform(m, (x, i) -> length(p[i]) + length(x))", let("k", runs, let("u", until, let("b", sums, f"transform(m, (x, i) -> {span})"))))
+    spans = let("m", "__m", let("p", "__p", spans))
+    kind = "array<struct<start: int, length: int, m: string, before: string, after: string>>"
+    return df.withColumn(into, F.expr(f"if(size(__m) = 0, cast(array() as {kind}), {spans})")).drop("__m", "__p")
