@@ -1,6 +1,7 @@
 """Operators against pandas, hand-made cases and the properties that causality asks for."""
 
 import math
+from datetime import timedelta
 
 import numpy as np
 import pandas as pd
@@ -242,3 +243,116 @@ def test_stream_equals_batch(spark, tmp_path):
     stream.writeStream.format("memory").queryName("bars_out").option("checkpointLocation", str(tmp_path / "c")).outputMode("complete").trigger(availableNow=True).start().awaitTermination(120)
     got = {tuple(r) for r in spark.table("bars_out").collect()}
     assert got == {tuple(r) for r in bars.ticks_to_bars(ticks, "1h").select("symbol", "ts", "open", "high", "low", "close", "volume").collect()}
+
+
+def test_battery_windows():
+    from tidemark.plans.studies import BATTERY
+
+    hours = {h.hid: (h.pred_window.zone, h.pred_window.start, h.pred_window.end, h.tgt_window.zone, h.tgt_window.start, h.tgt_window.end) for h in BATTERY}
+    new_york, london, tokyo, sydney = "America/New_York", "Europe/London", "Asia/Tokyo", "Australia/Sydney"
+    afternoon = (new_york, 12, 16)
+    want = {c: (*afternoon, tokyo, 9, 12) for c in ("A1", "A4", "E1")} | {c: (*afternoon, sydney, 8, 12) for c in ("A2", "A3", "A5")} | {c: (*afternoon, london, 8, 12) for c in ("B1", "B2", "B3", "E2")}
+    want |= {c: (*afternoon, new_york, 8, 12) for c in ("C1", "C2")} | {c: (tokyo, 9, 15, london, 8, 12) for c in ("D1", "D2", "D3")} | {c: (london, 8, 12, london, 8, 12) for c in ("F1", "F2")}
+    assert hours == want
+
+
+def test_running_over_spans(spark):
+    from tidemark.functions.axis import running
+
+    rng = np.random.default_rng(11)
+    n = 3000
+    x = pd.Series(rng.normal(0, 0.02, n))
+    x[[0, 5, 700, 2999]] = np.nan
+    p = pd.DataFrame({"symbol": "a", "ts": pd.date_range("2024-01-20", periods=n, freq="h"), "x": x.astype(object).where(x.notna(), None)})
+    df = spark.createDataFrame(p, "symbol string, ts timestamp, x double")
+    v = F.col("x")
+    for grain in ("month", "day"):
+        got = sorted_pandas(running(df, AXIS, {"s": ("sum", v), "m": ("max", v), "l": ("last", v), "p": ("prev", v)}, grain))
+        np.testing.assert_allclose(got["s"][1:], x.cumsum().ffill()[1:], atol=1e-12)
+        np.testing.assert_allclose(got["m"][1:], x.cummax().ffill()[1:])
+        np.testing.assert_allclose(got["l"][1:], x.ffill()[1:])
+        np.testing.assert_allclose(got["p"].astype(float), x.shift(1))
+        e = sorted_pandas(metrics.with_equity(df, AXIS, "x", {"was": "x"}, grain))
+        equity = (1 + x.fillna(0)).cumprod()
+        np.testing.assert_allclose(e["equity"], equity, rtol=1e-12)
+        np.testing.assert_allclose(e["drawdown"], equity / equity.cummax() - 1, atol=1e-12)
+        np.testing.assert_allclose(e["was"].astype(float), x.shift(1))
+
+
+def test_expanding_and_rolling_fold_sums(spark):
+    n = 500
+    y = np.random.default_rng(4).normal(size=n)
+    df = models.with_positions(spark.createDataFrame(pd.DataFrame({"symbol": "a", "ts": pd.date_range("2024-01-01", periods=n, freq="h"), "y": y})), AXIS)
+    for mode in ("expanding", "rolling"):
+        split = models.Splitter(100, 40, 3, mode, step=25)
+        got = {r["fold"]: r["s"] for r in models.fold_sums(df, AXIS, split, {"s": F.col("y")}).collect()}
+        assert sorted(got) == list(range(split.count(n)))
+        for k, s in got.items():
+            assert s == pytest.approx(y[k * 25 if mode == "rolling" else 0 : k * 25 + 100].sum(), abs=1e-9)
+
+
+def test_agreement_hours_and_families(spark):
+    df = spark.createDataFrame([(0.2, 0.9), (0.2, 0.6), (0.2, None)], "p double, a double")
+    assert [r[0] for r in df.select(costs.agreement_filter("p", "a", 0.75)).collect()] == [0.2, 0.0, 0.0]
+    with pytest.raises(ValueError):
+        costs.agreement_filter("p", "a", 0)
+    m = costs.CostModel.from_profile({6: 0.3, 12: 0.4, 21: 1.5})
+    assert m.expensive_hours() == [21] and m.cheap_hours() == [6, 12] and costs.CostModel().expensive_hours() == []
+    assert features.families(["f_ret_1", "f_rate_diff", "f_ccy_rank_base", "f_dollar_5", "y"]) == {"price": ["f_ret_1"], "carry": ["f_rate_diff"], "strength": ["f_ccy_rank_base", "f_dollar_5"]}
+
+
+def test_random_signal_repeats_itself(spark):
+    n = 400
+    p = pd.DataFrame({"symbol": "a", "ts": pd.date_range("2024-01-01", periods=n, freq="h"), "y": np.random.default_rng(1).normal(size=n)})
+    run = lambda seed: sorted_pandas(models.walk_forward(spark.createDataFrame(p), AXIS, models.Splitter(100, 100, 1), {"random": models.RandomSignal(seed)}))
+    a, b, c = run(0), run(0), run(1)
+    pd.testing.assert_frame_equal(a, b)
+    level = [np.abs(p["y"][: 100 + 100 * k]).mean() for k in a["fold"]]
+    np.testing.assert_allclose(a["prediction"].abs(), level)
+    assert 0.3 < (a["prediction"] > 0).mean() < 0.7 and not a["prediction"].equals(c["prediction"])
+    signs = [np.sign(g["prediction"]).tolist() for _, g in a.groupby("fold")]
+    assert signs[0] == signs[1]  # the same coin in each fold
+
+
+def test_streamed_fills_equal_batch(spark, tmp_path):
+    from tidemark.streaming.bars import stream_limit_fills
+
+    rng = np.random.default_rng(2)
+    t0 = pd.Timestamp("2024-01-02").to_pydatetime()
+    kind = "symbol string, ts timestamp, kind string, order_id string, side int, limit_price double, bid double, ask double"
+    quotes, orders = [], []
+    for s in ("a", "b"):
+        mid = 1 + np.cumsum(rng.normal(0, 0.01, 200))
+        quotes += [(s, t0 + timedelta(minutes=i + 1), "quote", None, None, None, float(m - 0.001), float(m + 0.001)) for i, m in enumerate(mid)]
+        orders += [(s, t0 + timedelta(minutes=int(k)), "order", f"{s}{k}", int(side), float(mid[0] + side * -0.02), None, None) for k, side in zip(range(0, 150, 15), rng.choice([-1, 1], 10), strict=True)]
+    src = str(tmp_path / "in")
+    spark.createDataFrame(orders + quotes, kind).coalesce(1).write.parquet(src)
+    stream = stream_limit_fills(spark.readStream.schema(kind).parquet(src))
+    stream.writeStream.format("memory").queryName("fills_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    got = {(r["order_id"], r["fill_ts"]) for r in spark.table("fills_out").collect()}
+    both = spark.read.parquet(src)
+    o = both.where("kind = 'order'").select("symbol", "order_id", "side", "limit_price", F.col("ts").alias("from_ts"), F.lit("2024-01-03").cast("timestamp").alias("until_ts"))
+    want = {(r["order_id"], r["fill_ts"]) for r in execution.limit_fills(o, both.where("kind = 'quote'").select("symbol", "ts", "bid", "ask")).where("filled").collect()}
+    assert got == want and want
+
+
+def test_incremental_pull(spark, tmp_path):
+    from datetime import date
+
+    from tidemark.sources import vendor
+
+    root, asked = str(tmp_path / "bars"), []
+
+    def client(symbol, timeframe, lo, hi, side):
+        days = pd.date_range(lo, hi, freq="D")
+        if symbol == "EMPTY":
+            return pd.DataFrame(columns=["ts", "open", "high", "low", "close", "volume", "spread", "timeframe", "side"])
+        return pd.DataFrame({"ts": days, "open": 1.0, "high": 1.0, "low": 1.0, "close": 1.0, "volume": 1.0, "spread": 0.0, "timeframe": timeframe, "side": side})
+
+    pull = lambda symbols, a, b: [tuple(r) for r in vendor.pull_bars(spark, client, root, symbols, "1D", a, b, "bid").collect()]
+    assert sorted(pull(["A", "B", "EMPTY"], date(2021, 3, 1), date(2022, 6, 30))) == [(s, y) for s in ("A", "B", "EMPTY") for y in (2021, 2022)]
+    got = tables.read_bars(spark, root, "A", "1D", "bid").agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
+    assert (got[0].date(), got[1].date(), got[2]) == (date(2021, 3, 1), date(2022, 6, 30), 487)
+    assert pull(["A", "B"], date(2021, 3, 1), date(2022, 6, 30)) == []  # covered: nothing is fetched again
+    assert pull(["A"], date(2021, 3, 1), date(2023, 6, 30)) == [("A", 2022), ("A", 2023)]
+    assert tables.read_bars(spark, root, "EMPTY", "1D", "bid").isEmpty() and not asked

@@ -5,6 +5,8 @@ positional operator builds its windows from one.  Series are few and long, so
 a window over a whole series would leave a large cluster idle.  ``number``
 gives rows their exact position in two levels, and ``in_chunks`` runs any
 operator of bounded memory on chunks of positions that overlap by a halo.
+``running`` gives sums, products, maxima and last values of all rows up to
+each one from those of spans of time and a slim table of what spans hand on.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import Window
 from pyspark.sql.window import WindowSpec
 
 CHUNK = 1 << 18
+GRAIN = "month"
 
 
 def col(x: str | Column) -> Column:
@@ -102,3 +105,52 @@ def in_chunks(df: DataFrame, axis: Axis, op: Callable[[DataFrame, Axis], DataFra
     done = op(dealt, Axis((*axis.keys, "__chunk"), "__pos"))
     done = done.where(~F.col("__guest")).drop("__chunk", "__guest")
     return done.withColumnRenamed("__pos", keep) if keep else done.drop("__pos")
+
+
+def hand_on(df: DataFrame, axis: Axis, ends: dict[str, Column], chain: Callable[[WindowSpec, WindowSpec], dict[str, Column]]) -> DataFrame:
+    """``df`` (with __span) joined with what its span is handed by those before.
+
+    ``ends`` sums a span up into a row; ``chain`` gets that slim table's
+    windows over the spans before and in order of spans, and says what is
+    handed on in columns that start with __in.
+    """
+    slim = df.groupBy(*axis.keys, "__span").agg(*(v.alias(k) for k, v in ends.items()))
+    order = Window.partitionBy(*axis.keys).orderBy(F.col("__span").asc_nulls_first())
+    for k, v in chain(order.rowsBetween(Window.unboundedPreceding, -1), order).items():
+        slim = slim.withColumn(k, v)
+    handed = slim.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(axis.keys)), F.col("__span").alias("__d"), *(c for c in slim.columns if c.startswith("__in")))
+    same = F.col("__span").eqNullSafe(F.col("__d"))
+    for i, k in enumerate(axis.keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return df.join(handed, same).drop("__d", *(f"__k{i}" for i in range(len(axis.keys))))
+
+
+def in_span(axis: Axis) -> WindowSpec:
+    """The rows of a series' span, in order."""
+    return Window.partitionBy(*axis.keys, "__span").orderBy(F.col(axis.ts).asc_nulls_first(), *axis.tie)
+
+
+def running(df: DataFrame, axis: Axis, into: dict[str, tuple[str, Column]], grain: str = GRAIN) -> DataFrame:
+    """``df`` with, for each (kind, x), the sum, product, max or last known value of x over all rows up to this one, or x of the row before ("prev").
+
+    No task sees more of a series than a ``grain`` of time.
+    """
+    whole = {"sum": F.sum, "product": F.product, "max": F.max}
+    join = {"sum": lambda a, b: F.coalesce(a + b, a, b), "product": lambda a, b: F.coalesce(a * b, a, b), "max": F.greatest, "last": lambda a, b: F.coalesce(b, a)}
+    df = df.withColumn("__span", F.date_trunc(grain, F.col(axis.ts))).withColumns({f"__x{i}": x for i, (_, x) in enumerate(into.values())})
+    kinds = [(i, name, kind, F.col(f"__x{i}")) for i, (name, (kind, _)) in enumerate(into.items())]
+    at = F.struct(axis.ts, *axis.tie)
+    known = {"last": lambda x: F.max_by(x, F.when(x.isNotNull(), at)), "prev": lambda x: F.max_by(x, at)} | whole
+    over = whole | {"last": lambda x: F.last(x, ignorenulls=True)}
+
+    def chain(before: WindowSpec, order: WindowSpec) -> dict[str, Column]:
+        return {f"__in{i}": F.lag(f"__e{i}").over(order) if kind == "prev" else over[kind](F.col(f"__e{i}")).over(before) for i, _, kind, _ in kinds}
+
+    df = hand_on(df, axis, {f"__e{i}": known[kind](x) for i, _, kind, x in kinds}, chain)
+    order = in_span(axis)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    out = {}
+    for i, name, kind, x in kinds:
+        handed = F.col(f"__in{i}")
+        out[name] = F.when(F.row_number().over(order) == 1, handed).otherwise(F.lag(x).over(order)) if kind == "prev" else join[kind](handed, over[kind](x).over(upto))
+    return df.withColumns(out).drop("__span", *(f"__x{i}" for i, *_ in kinds), *(f"__in{i}" for i, *_ in kinds))

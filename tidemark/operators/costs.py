@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.axis import Axis, col
+from ..functions.axis import Axis, col, running
 from ..functions.scalar import clip
+from ..session import cut
 
 
 @dataclass(frozen=True)
@@ -79,14 +80,16 @@ def apply_costs(df: DataFrame, model: CostModel, axis: Axis = Axis(), gross: str
     position before earns it and no flat swap is charged.
     """
     pos = F.coalesce(F.col(position), F.lit(0.0))
-    df = df.withColumn("__pos", pos)
-    df = df.withColumn("spread_cost", turnover(axis, "__pos") * model.per_unit_at(axis.ts))
+    lagged = {"__was": ("prev", pos)}
+    if carry_annual is not None:
+        lagged["__rate"] = ("last", F.col(carry_annual))
+    df = running(df, axis, lagged).withColumn("__was", F.coalesce("__was", F.lit(0.0)))
+    df = df.withColumn("spread_cost", F.abs(pos - F.col("__was")) * model.per_unit_at(axis.ts))
     if carry_annual is None:
-        df = df.withColumn("swap_cost", F.abs("__pos") * model.swap_per_bar).withColumn("carry", F.lit(0.0))
+        df = df.withColumn("swap_cost", F.abs(pos) * model.swap_per_bar).withColumn("carry", F.lit(0.0))
     else:
-        rate = F.coalesce(F.last(carry_annual, ignorenulls=True).over(axis.wall), F.lit(0.0)) / 100 / model.bars_per_year
-        df = df.withColumn("swap_cost", F.lit(0.0)).withColumn("carry", F.coalesce(axis.lag("__pos"), F.lit(0.0)) * rate)
-    return df.withColumn("net", F.col(gross) - F.col("spread_cost") - F.col("swap_cost") + F.col("carry")).drop("__pos")
+        df = df.withColumn("swap_cost", F.lit(0.0)).withColumn("carry", F.col("__was") * F.coalesce("__rate", F.lit(0.0)) / 100 / model.bars_per_year)
+    return df.withColumn("net", F.col(gross) - F.col("spread_cost") - F.col("swap_cost") + F.col("carry")).drop("__was", "__rate")
 
 
 @dataclass(frozen=True)
@@ -123,10 +126,10 @@ def agreement_filter(prediction: str, agreement: str, least: float = 0.75) -> Co
     return F.when(F.coalesce(F.col(agreement), F.lit(0.0)) >= least, F.col(prediction)).otherwise(0.0)
 
 
-def freeze_outside(axis: Axis, hours: list[int], position: str = "position") -> Column:
-    """The position of the last allowed hour; 0 before the first."""
+def freeze_outside(df: DataFrame, axis: Axis, hours: list[int], position: str = "position") -> DataFrame:
+    """``df`` whose position is that of the last allowed hour; 0 before the first."""
     kept = F.when(F.hour(axis.ts).isin(hours), F.col(position))
-    return F.coalesce(F.last(kept, ignorenulls=True).over(axis.wall), F.lit(0.0))
+    return running(df, axis, {"__kept": ("last", kept)}).withColumn(position, F.coalesce("__kept", F.lit(0.0))).drop("__kept")
 
 
 def lagged_vol(axis: Axis, ret: str = "market", n: int = 96) -> Column:
@@ -138,16 +141,17 @@ def drawdown_throttle(df: DataFrame, axis: Axis, position: str, realized: str, l
     """``df`` with positions scaled down while the drawdown up to the bar before exceeds the limit."""
     from .metrics import with_equity
 
-    df = with_equity(df, axis, realized)
-    deep = F.coalesce(axis.lag("drawdown") <= -limit, F.lit(False))
-    return df.withColumn(into, F.when(deep, F.col(position) * throttle).otherwise(F.col(position))).drop("equity", "drawdown")
+    df = running(with_equity(cut(df), axis, realized), axis, {"__deep": ("prev", F.col("drawdown") <= -limit)})
+    deep = F.coalesce("__deep", F.lit(False))
+    return df.withColumn(into, F.when(deep, F.col(position) * throttle).otherwise(F.col(position))).drop("equity", "drawdown", "__deep")
 
 
 def mean_holding(df: DataFrame, axis: Axis, prediction: str) -> DataFrame:
     """(keys, holding_bars): bars with a sign over runs of one sign, at least 1."""
-    s = df.where(F.col(prediction).isNotNull()).withColumn("__s", F.signum(prediction))
-    s = s.withColumn("__new", (axis.lag("__s").isNull()) | (axis.lag("__s") != F.col("__s")))
-    live = F.col("__s") != 0
+    s = df.where(F.col(prediction).isNotNull()).withColumn("__sign", F.signum(prediction))
+    s = running(s, axis, {"__was": ("prev", F.col("__sign"))})
+    s = s.withColumn("__new", F.col("__was").isNull() | (F.col("__was") != F.col("__sign")))
+    live = F.col("__sign") != 0
     agg = s.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias("__n"), F.count_if(live).alias("__live"), F.count_if(live & F.col("__new")).alias("__runs"))
     held = F.when((F.col("__n") < 2) | (F.col("__runs") == 0), 1.0).otherwise(F.greatest(F.lit(1.0), F.col("__live") / F.nullif(F.col("__runs"), F.lit(0))))
     return agg.select(*axis.keys, held.alias("holding_bars"))

@@ -61,7 +61,7 @@ def with_rsi(df: DataFrame, axis: Axis, pos: str, n: int = 14) -> DataFrame:
     return df.withColumn(f"f_rsi_{n}", 1 - 1 / (1 + divide("up__", "down__"))).drop("gain__", "loss__", "up__", "down__")
 
 
-def price_features(bars: DataFrame, timeframe: str, axis: Axis = Axis(), momentum: tuple[int, ...] = (4, 12, 48), vol: tuple[int, ...] = (24, 96), chunked: bool = False, horizon: int = 0) -> DataFrame:
+def price_features(bars: DataFrame, timeframe: str, axis: Axis = Axis(), momentum: tuple[int, ...] = (4, 12, 48), vol: tuple[int, ...] = (24, 96), chunked: bool = True, horizon: int = 0) -> DataFrame:
     """``bars`` (closes known) with 16 feature columns named f_*.
 
     With ``chunked``, a series is worked on in overlapping chunks of rows, so
@@ -89,7 +89,7 @@ def complete_cases(df: DataFrame, target: str = "y") -> DataFrame:
     return df.dropna(how="any", subset=[*feature_columns(df), target])
 
 
-def assemble_dataset(bars: DataFrame, timeframe: str, axis: Axis = Axis(), horizon: int = 1, macro: DataFrame | None = None, macro_lag_days: int = 1, chunked: bool = False) -> DataFrame:
+def assemble_dataset(bars: DataFrame, timeframe: str, axis: Axis = Axis(), horizon: int = 1, macro: DataFrame | None = None, macro_lag_days: int = 1, chunked: bool = True) -> DataFrame:
     """Features, target ``y`` and one-bar ``market`` return of the rows where all of them are known."""
     df = price_features(bars, timeframe, axis, chunked=chunked, horizon=horizon)
     if macro is not None:

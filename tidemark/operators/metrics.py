@@ -8,15 +8,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.axis import Axis, number
+from ..functions.axis import GRAIN, Axis, hand_on, in_span, number
 from ..functions.scalar import divide
 
 
-def with_equity(df: DataFrame, axis: Axis, ret: str) -> DataFrame:
-    """``df`` with equity (product of 1 + r, nulls earn nothing) and drawdown from its peak."""
-    grown = F.product(F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0))).over(axis.wall)
-    df = df.withColumn("equity", grown)
-    return df.withColumn("drawdown", F.col("equity") / F.max("equity").over(axis.wall) - 1)
+def with_equity(df: DataFrame, axis: Axis, ret: str, also: dict[str, str] | None = None, grain: str = GRAIN) -> DataFrame:
+    """``df`` with equity (product of 1 + r, nulls earn nothing) and drawdown from its peak.
+
+    ``also`` names further columns whose value in the row before is wanted.
+    Growth and peak of a span of time are its own, times the growth it is
+    handed, so no task sees a whole series.
+    """
+    also = also or {}
+    df = df.withColumn("__span", F.date_trunc(grain, F.col(axis.ts)))
+    order = in_span(axis)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("__g", F.product(F.lit(1.0) + F.coalesce(F.col(ret), F.lit(0.0))).over(upto))
+    df = df.withColumns({"__hi": F.max("__g").over(upto), "__lo": F.min("__g").over(upto)})
+    at = F.struct(axis.ts, *axis.tie)
+    ends = {"__eg": F.max_by("__g", at), "__ehi": F.max("__g"), "__elo": F.min("__g"), **{f"__e{i}": F.max_by(x, at) for i, x in enumerate(also.values())}}
+
+    def chain(before, spans):
+        last = {f"__in{i}": F.lag(f"__e{i}").over(spans) for i in range(len(also))}
+        return {"__in_g": F.coalesce(F.product("__eg").over(before), F.lit(1.0)), "__peak": F.greatest(F.col("__in_g") * F.col("__ehi"), F.col("__in_g") * F.col("__elo")), "__in_p": F.max("__peak").over(before), **last}
+
+    df = hand_on(df, axis, ends, chain)
+    peak = F.greatest(F.col("__in_p"), F.col("__in_g") * F.col("__hi"), F.col("__in_g") * F.col("__lo"))
+    df = df.withColumn("equity", F.col("__in_g") * F.col("__g")).withColumn("drawdown", F.col("equity") / peak - 1)
+    lagged = {into: F.when(F.row_number().over(order) == 1, F.col(f"__in{i}")).otherwise(F.lag(x).over(order)) for i, (into, x) in enumerate(also.items())}
+    return df.withColumns(lagged).drop("__span", "__g", "__hi", "__lo", "__in_g", "__in_p", *(f"__in{i}" for i in range(len(also))))
 
 
 def sharpe(r: str, bars_per_year: int) -> Column:
@@ -31,10 +51,9 @@ def sortino(r: str, bars_per_year: int) -> Column:
 def summarize(df: DataFrame, axis: Axis, ret: str, bars_per_year: int, position: str | None = None) -> DataFrame:
     """Ten figures for each series of returns; rows without return are left out."""
     df = df.where(F.col(ret).isNotNull())
-    df = with_equity(df, axis, ret)
     held = F.coalesce(F.col(position), F.lit(0.0)) if position else F.lit(None).cast("double")
-    df = df.withColumn("__p", held)
-    df = df.withColumn("__t", F.abs(F.col("__p") - F.coalesce(axis.lag("__p"), F.lit(0.0))))
+    df = with_equity(df.withColumn("__p", held), axis, ret, {"__before": "__p"})
+    df = df.withColumn("__t", F.abs(F.col("__p") - F.coalesce("__before", F.lit(0.0))))
     out = df.groupBy(*axis.keys).agg(
         F.count(F.lit(1)).alias("n_bars"), (F.max_by("equity", axis.ts) - 1).alias("total_return"), (F.stddev_samp(ret) * math.sqrt(bars_per_year)).alias("ann_vol"),
         sharpe(ret, bars_per_year).alias("sharpe"), sortino(ret, bars_per_year).alias("sortino"), F.min("drawdown").alias("max_drawdown"),

@@ -1,8 +1,8 @@
 """Walk-forward folds and models fitted from sums.
 
 A fold's training range is an interval of positions.  Rows are summed once
-into the segments between all fold boundaries, and a fold adds up the segments
-inside its range; no row is copied for each fold.  Models that need only
+into the segments between all fold boundaries, and folds are running sums over
+these; no row is copied for each fold.  Models that need only
 moments (slopes, ridge) are fitted from those sums, for all folds and series
 at once.
 """
@@ -73,14 +73,22 @@ def with_positions(df: DataFrame, axis: Axis) -> DataFrame:
 
 
 def fold_sums(df: DataFrame, axis: Axis, splitter: Splitter, sums: dict[str, Column]) -> DataFrame:
-    """(keys, fold, ...): each sum over the fold's training rows; ``df`` has pos and n."""
-    lo = F.floor(F.col("pos") / splitter.by) if splitter.mode == "rolling" else F.lit(0).cast("long")
-    hi = F.greatest(F.lit(-1).cast("long"), F.floor((F.col("pos") - splitter.train) / splitter.by))
-    seg = df.groupBy(*axis.keys, lo.alias("__lo"), hi.alias("__hi")).agg(*(F.sum(v).alias(k) for k, v in sums.items()))
-    folds = splitter.folds(df.groupBy(*axis.keys).agg(F.max("n").alias("n"))).select(*axis.keys, "fold")
-    # a segment before the boundary of its fold and, when rolling, not before the fold's start
-    inside = (F.col("__hi") < F.col("fold")) & ((F.col("__lo") >= F.col("fold")) if splitter.mode == "rolling" else F.lit(True))
-    return folds.join(seg, list(axis.keys)).where(inside).groupBy(*axis.keys, "fold").agg(*(F.sum(k).alias(k) for k in sums))
+    """(keys, fold, ...): each sum over the fold's training rows; ``df`` has pos and n.
+
+    Rows are summed by the first fold that trains on them and, when rolling,
+    by the first that no longer does.  A fold's sum is then a running sum over
+    these slim segments, in fold order: no fold meets the segments of others.
+    """
+    keys = list(axis.keys)
+    enter = F.greatest(F.lit(0).cast("long"), F.floor((F.col("pos") - splitter.train) / splitter.by) + 1)
+    seg = df.groupBy(*keys, enter.alias("fold")).agg(*(F.sum(v).alias(k) for k, v in sums.items()))
+    if splitter.mode == "rolling":
+        leave = F.floor(F.col("pos") / splitter.by) + 1
+        seg = seg.unionByName(df.groupBy(*keys, leave.alias("fold")).agg(*((-F.sum(v)).alias(k) for k, v in sums.items())))
+    folds = splitter.folds(df.groupBy(*keys).agg(F.max("n").alias("n"))).select(*keys, F.col("fold").cast("long").alias("fold"), *(F.lit(0.0).alias(k) for k in sums), F.lit(1).alias("__is"))
+    rows = seg.withColumn("__is", F.lit(0)).unionByName(folds)
+    until = Window.partitionBy(*keys).orderBy("fold", "__is").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(*keys, "fold", "__is", *(F.sum(k).over(until).alias(k) for k in sums)).where("__is = 1").drop("__is")
 
 
 def test_rows(df: DataFrame, splitter: Splitter) -> DataFrame:

@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.axis import Axis
+from ..functions.axis import Axis, in_chunks
 from ..functions.scalar import divide
+from ..session import cut
 from .ewm import ewm_mean
 
 # Base and quote currency of each pair.
 PAIR_LEGS = {"EURUSD": ("EUR", "USD"), "GBPUSD": ("GBP", "USD"), "AUDUSD": ("AUD", "USD"), "NZDUSD": ("NZD", "USD"), "USDJPY": ("USD", "JPY"), "USDCHF": ("USD", "CHF"), "USDCAD": ("USD", "CAD")}
-CURRENCIES = ("USD", "EUR", "GBP", "JPY", "AUD", "CHF", "CAD", "NZD")
+CURRENCIES = tuple(sorted({c for legs in PAIR_LEGS.values() for c in legs}))  # any order gives the same values
 
 
 def touched(pairs: list[str]) -> list[str]:
@@ -67,7 +68,7 @@ def strength_ratings(ccy_returns: DataFrame, halflife: float, value: str = "r",
 def strength_features(pair_returns: DataFrame, pairs: list[str], target: str = "EURUSD", halflives: tuple[int, ...] = (5, 20, 60)) -> DataFrame:
     """(ts, f_ccy_*, f_dollar_*): a row for each time, for the target pair."""
     base, quote = PAIR_LEGS[target]
-    ccy = currency_returns(pair_returns, pairs)
+    ccy = cut(currency_returns(pair_returns, pairs))  # read for ranks and for ratings
     at = Window.partitionBy("ts")
     tied = Window.partitionBy("ts", "r")
     rank = (F.rank().over(at.orderBy("r")) + (F.count("r").over(tied) - 1) / 2.0) / F.count("r").over(at)
@@ -80,12 +81,12 @@ def strength_features(pair_returns: DataFrame, pairs: list[str], target: str = "
         cols += [(of(base, s) - of(quote, s)).alias(f"f_ccy_diff_{h}"), of(base, s).alias(f"f_ccy_base_{h}"), of(quote, s).alias(f"f_ccy_quote_{h}"), of("USD", s).alias(f"f_dollar_{h}"), F.stddev_samp(s).alias(f"f_ccy_dispersion_{h}")]
     wide = rated.groupBy("ts").agg(*cols)
     legs = ranked.groupBy("ts").agg(of(base, "rank").alias("f_ccy_rank_base"), of(quote, "rank").alias("f_ccy_rank_quote"))
-    wide = wide.join(legs, "ts", "left").withColumn("target", F.lit(target))
-    axis = Axis(("target",))
+    wide = wide.join(legs, "ts", "left").withColumn("pair", F.lit(target))
     from .features import zscore
 
-    z = {f"f_ccy_diff_z_{h}": zscore(axis, f"f_ccy_diff_{h}", max(20, 4 * h), max(20, 4 * h) // 2) for h in halflives}
-    return wide.withColumns(z).withColumnRenamed("target", "pair")
+    rows = {h: max(20, 4 * h) for h in halflives}
+    z = lambda d, a: d.withColumns({f"f_ccy_diff_z_{h}": zscore(a, f"f_ccy_diff_{h}", n, n // 2) for h, n in rows.items()})
+    return in_chunks(wide, Axis(("pair",)), z, back=max(rows.values()))
 
 
 def cross_sectional_scores(ratings: DataFrame, value: str = "rating", into: str = "score") -> DataFrame:

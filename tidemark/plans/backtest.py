@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.axis import Axis
+from ..functions.axis import Axis, in_chunks, running
 from ..operators.costs import CostModel, Kelly, agreement_filter, apply_costs, freeze_outside, lagged_vol, mean_holding, size_positions
 from ..operators.metrics import bootstrap_sharpe, summarize
 from ..operators.models import Model, Splitter, ensemble, first_fold, walk_forward
@@ -33,7 +33,8 @@ def positions_to_returns(df: DataFrame, axis: Axis, cost: CostModel, carry_annua
     Rows without a position before are left out, and costs are taken on what
     remains, so the first of them pays for its whole position.
     """
-    held = df.withColumn("gross", axis.lag("position") * F.col("market")).where("gross is not null")
+    df = cut(df)
+    held = running(df, axis, {"__was": ("prev", F.col("position"))}).withColumn("gross", F.col("__was") * F.col("market")).where("gross is not null").drop("__was")
     return apply_costs(held, cost, axis, carry_annual=carry_annual)
 
 
@@ -47,7 +48,7 @@ def run_backtest(
     fewer than ``min_agreement`` of them agree.  Without a least edge in
     ``kelly`` the hurdle is the round trip over each model's mean holding.
     """
-    data = data.withColumn("vol", lagged_vol(axis, "market", vol_window))
+    data = in_chunks(data, axis, lambda d, a: d.withColumn("vol", lagged_vol(a, "market", vol_window)), back=vol_window)
     raw = walk_forward(data, axis, splitter, models) if models else None
     if members:
         each = walk_forward(data, axis, splitter, members)
@@ -68,7 +69,7 @@ def run_backtest(
     else:
         sized = pred.withColumn("min_edge", F.lit(kelly.min_edge)).withColumn("position", size_positions("prediction", "vol", kelly))
     if allowed_hours is not None:
-        sized = sized.withColumn("position", freeze_outside(own, allowed_hours))
+        sized = freeze_outside(sized, own, allowed_hours)
     returns = cut(positions_to_returns(sized, own, cost, carry_annual))
     gross = summarize(returns, own, "gross", bars_per_year, "position")
     net = summarize(returns, own, "net", bars_per_year, "position")

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.axis import Axis
+from ..functions.axis import Axis, in_chunks
 from ..functions.scalar import LN2, clip, log_loss, normal_cdf_sql, probability_up, utc
 from ..operators import asof, bars, calendar, costs, execution, features, macro, metrics, models, quality, scoring, strength
+from ..session import cut
 from . import backtest, governance, studies
 
 PAIRS = {"click": "EURUSD", "view": "GBPUSD", "purchase": "USDJPY", "signup": "AUDUSD", "error": "USDCHF"}
@@ -21,6 +22,7 @@ PAIR_LIST = sorted(PAIRS.values())
 AXIS = Axis()
 COST = costs.CostModel(bars_per_year=6200, profile={h: 0.3 + 0.1 * (h % 6) for h in range(22)})
 BPY = 6200
+MORNING = calendar.SessionWindow(calendar.LONDON, 8, 11, "London morning")
 SPLIT = models.Splitter(train=200, test=80, embargo=1)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,14 +194,14 @@ data AS (SELECT * FROM x WHERE f_z_close_96 IS NOT NULL AND f_rsi_14 IS NOT NULL
 FEATURE_NAMES = ["f_ret_1", *(f"f_{k}_{n}" for n in (4, 12, 48) for k in ("mom", "pos_in_range")), *(f"f_{k}_{n}" for n in (24, 96) for k in ("vol", "z_close")), "f_atr_14", "f_rsi_14", "f_hour_sin", "f_hour_cos", "f_dayofweek"]
 
 
-def dataset(spark, d, chunked=False):
+def dataset(spark, d):
     keep = ["symbol", "ts", "close", *FEATURE_NAMES, "y", "market"]
-    return features.assemble_dataset(hourly(spark, d), "1h", chunked=chunked).select(*keep)
+    return features.assemble_dataset(hourly(spark, d), "1h").select(*keep)
 
 
 @query(f"WITH {_FEATURES} SELECT symbol, {SEC}, " + ", ".join(f"{R(c, 7)} AS {c}" for c in ["close", *FEATURE_NAMES, "y", "market"]) + " FROM data")
 def price_features(spark, d):
-    return rounded(dataset(spark, d, chunked=True), 7)
+    return rounded(dataset(spark, d), 7)
 
 
 def _local(zone: str) -> str:
@@ -236,7 +238,7 @@ def _session_sql(name: str, source: str, zone: str, a: int, b: int, where: str =
 
 @query(f"WITH {HOURS}, {_session_sql('s', 'h', calendar.LONDON, 8, 11)} SELECT symbol, CAST(session_date AS VARCHAR) AS session_date, CAST(epoch(start_utc) AS BIGINT) AS start_utc, CAST(epoch(end_utc) AS BIGINT) AS end_utc, {R('ret')} AS ret FROM s")
 def session_frame(spark, d):
-    return rounded(calendar.session_frame(hourly(spark, d), studies.LONDON_OPEN))
+    return rounded(calendar.session_frame(hourly(spark, d), MORNING))
 
 
 _LEAD = f"{HOURS}, {_session_sql('p', 'h', calendar.NEW_YORK, 12, 16, chr(39).join(['symbol = ', 'click', '']))}, {_session_sql('t', 'h', calendar.LONDON, 8, 11, chr(39).join(['symbol = ', 'view', '']))}"
@@ -246,7 +248,7 @@ _LEAD = f"{HOURS}, {_session_sql('p', 'h', calendar.NEW_YORK, 12, 16, chr(39).jo
 SELECT CAST(session_date AS VARCHAR) AS session_date, CAST(epoch(pred_end) AS BIGINT) AS pred_end, {R('pred_ret')} AS pred_ret, CAST(epoch(tgt_start) AS BIGINT) AS tgt_start, {R('tgt_ret')} AS tgt_ret, {R('CAST(gap_hours AS DOUBLE)')} AS gap_hours FROM j WHERE gap_hours <= 84""")
 def session_lead(spark, d):
     h = hourly(spark, d)
-    pred, tgt = calendar.session_frame(h.where("symbol = 'click'"), studies.US_PM), calendar.session_frame(h.where("symbol = 'view'"), studies.LONDON_OPEN)
+    pred, tgt = calendar.session_frame(h.where("symbol = 'click'"), studies.US_PM), calendar.session_frame(h.where("symbol = 'view'"), MORNING)
     return rounded(asof.pair_lead(pred, tgt))
 
 
@@ -254,7 +256,7 @@ def session_lead(spark, d):
 SELECT CAST(p.session_date AS VARCHAR) AS session_date, CAST(epoch(p.end_utc) AS BIGINT) AS pred_end, {R('p.ret')} AS pred_ret, CAST(epoch(t.start_utc) AS BIGINT) AS tgt_start, {R('t.ret')} AS tgt_ret, 0.0::DOUBLE AS gap_hours FROM p JOIN t USING (session_date)""")
 def session_contemporaneous(spark, d):
     h = hourly(spark, d)
-    pred, tgt = (calendar.session_frame(h.where(f"symbol = '{s}'"), studies.LONDON_OPEN) for s in ("click", "view"))
+    pred, tgt = (calendar.session_frame(h.where(f"symbol = '{s}'"), MORNING) for s in ("click", "view"))
     return rounded(asof.pair_contemporaneous(pred, tgt))
 
 
@@ -390,9 +392,8 @@ def ridge_predictions(spark, d):
 
 def _signal(spark, d):
     """Hourly returns with a size between -1 and 1 from four-bar momentum."""
-    h = hourly(spark, d).withColumn("market", bars.log_return(AXIS))
-    mom = AXIS.rolling(F.sum, "market", 4)
-    h = h.withColumn("mom", mom).withColumn("vol", costs.lagged_vol(AXIS, "market", 24))
+    look = lambda h, a: h.withColumn("market", bars.log_return(a)).withColumns({"mom": a.rolling(F.sum, "market", 4), "vol": costs.lagged_vol(a, "market", 24)})
+    h = in_chunks(hourly(spark, d), AXIS, look, back=26)
     return h.withColumn("position", costs.size_positions("mom", "vol", costs.Kelly(0.25, 1.0, 0.05)))
 
 
@@ -407,8 +408,7 @@ def kelly_positions(spark, d):
 
 @query(f"WITH {_SIGNAL} SELECT symbol, {SEC}, {R('coalesce(last_value(CASE WHEN hour(ts) IN (8, 9, 10, 11) THEN position END IGNORE NULLS) OVER (' + WALL + '), 0)')} AS position FROM sg")
 def frozen_positions(spark, d):
-    df = _signal(spark, d)
-    return rounded(df.select("symbol", "ts", costs.freeze_outside(AXIS, [8, 9, 10, 11]).alias("position")))
+    return rounded(costs.freeze_outside(_signal(spark, d), AXIS, [8, 9, 10, 11]).select("symbol", "ts", "position"))
 
 
 _UNIT = "(CASE " + " ".join(f"WHEN hour(ts) = {h} THEN {s!r}::DOUBLE" for h, s in COST.profile.items()) + f" ELSE {COST.spread_pips!r}::DOUBLE END / 2 + {COST.slippage_pips!r}::DOUBLE) * 0.0001"
@@ -432,7 +432,7 @@ sm AS (SELECT symbol, count(*) AS n_bars, arg_max(equity, ts) - 1 AS total_retur
 @query(f"WITH {_COSTED}, {_SUMMARY} SELECT symbol, n_bars, " + ", ".join(f"{R(c, 6)} AS {c}" for c in ("total_return", "ann_vol", "sharpe", "sortino", "max_drawdown", "hit_rate", "turnover")) + " FROM sm")
 def momentum_summary(spark, d):
     """The flagship: events to bars, momentum, sizing, costs and ten figures for each symbol."""
-    s = metrics.summarize(_returns(spark, d), AXIS, "net", BPY, "position")
+    s = metrics.summarize(cut(_returns(spark, d)), AXIS, "net", BPY, "position")
     return rounded(s.select("symbol", "n_bars", "total_return", "ann_vol", "sharpe", "sortino", "max_drawdown", "hit_rate", "turnover"), 6)
 
 
@@ -613,7 +613,7 @@ def strength_screen(spark, d):
 
 def _cells():
     H = studies.Hypothesis
-    return [H("X1", "click", studies.US_PM, "view", studies.TOKYO_OPEN, 1), H("X2", "purchase", studies.US_PM, "error", studies.LONDON_OPEN, -1), H("X3", "signup", studies.LONDON_OPEN, "click", studies.LONDON_OPEN, 1, tradeable=False)]
+    return [H("X1", "click", studies.US_PM, "view", studies.TOKYO_OPEN, 1), H("X2", "purchase", studies.US_PM, "error", MORNING, -1), H("X3", "signup", MORNING, "click", MORNING, 1, tradeable=False)]
 
 
 @query(f"""WITH {HOURS}, {_session_sql('p1', 'h', calendar.NEW_YORK, 12, 16)}, {_session_sql('t1', 'h', calendar.TOKYO, 9, 12)}, {_session_sql('l1', 'h', calendar.LONDON, 8, 11)},
@@ -631,10 +631,10 @@ def _tests(spark, d):
     return read(spark, d, "customer").select(c.alias("id"), ((c * 37 % 1009) / 1009.0 * ((c % 7) / 7.0)).alias("p"))
 
 
-@query("""WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 1009) / 1009.0::DOUBLE * ((c_custkey % 7) / 7.0::DOUBLE) AS p FROM customer WHERE c_custkey <= 150), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p), c AS (SELECT max(CASE WHEN p <= k / m::DOUBLE * 0.1 THEN p END) AS cut FROM k)
+@query("""WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 1009) / 1009.0::DOUBLE * ((c_custkey % 7) / 7.0::DOUBLE) AS p FROM customer), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p), c AS (SELECT max(CASE WHEN p <= k / m::DOUBLE * 0.1 THEN p END) AS cut FROM k)
 SELECT id, coalesce(p <= cut, false) AS rejected FROM p, c""")
 def benjamini_hochberg(spark, d):
-    return scoring.benjamini_hochberg(_tests(spark, d).where("id <= 150")).select("id", "rejected")
+    return scoring.benjamini_hochberg(_tests(spark, d)).select("id", "rejected")
 
 
 @query("""WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 1009) / 1009.0::DOUBLE * ((c_custkey % 7) / 7.0::DOUBLE) AS p FROM customer), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS k, count(*) OVER () AS m FROM p), c AS (SELECT max(CASE WHEN p <= k / m::DOUBLE * 0.1 THEN p END) AS cut FROM k)

@@ -78,37 +78,37 @@ class Hypothesis:
     tgt_window: SessionWindow
     sign: int
     group: str = ""
-    mechanism: str = ""
     tradeable: bool = True
     pred_weekday: int | None = None
 
 
+# Local hours of each market's session.
 US_PM = SessionWindow(NEW_YORK, 12, 16, "US afternoon")
 TOKYO_OPEN = SessionWindow(TOKYO, 9, 12, "Tokyo open")
-SYDNEY_OPEN = SessionWindow(SYDNEY, 8, 11, "Sydney open")
-LONDON_OPEN = SessionWindow(LONDON, 8, 11, "London open")
-NY_OPEN = SessionWindow(NEW_YORK, 8, 11, "New York open")
+SYDNEY_OPEN = SessionWindow(SYDNEY, 8, 12, "Sydney open")
+LONDON_OPEN = SessionWindow(LONDON, 8, 12, "London open")
+NY_OPEN = SessionWindow(NEW_YORK, 8, 12, "New York open")
 ASIA_COMMODITY = SessionWindow(TOKYO, 9, 15, "Asian commodity session")
 
 # Which market's session is held against which pair's next one, and the sign expected.
 BATTERY = [
-    Hypothesis("A1", "SP500", US_PM, "USDJPY", TOKYO_OPEN, 1, "A", "appetite for risk sells the funding yen"),
-    Hypothesis("A2", "SP500", US_PM, "AUDUSD", SYDNEY_OPEN, 1, "A", "appetite for risk buys AUD"),
-    Hypothesis("A3", "SP500", US_PM, "NZDUSD", SYDNEY_OPEN, 1, "A", "appetite for risk buys NZD"),
-    Hypothesis("A4", "NASDAQ", US_PM, "USDJPY", TOKYO_OPEN, 1, "A", "technology shares stand for risk, yen sold"),
-    Hypothesis("A5", "NASDAQ", US_PM, "AUDUSD", SYDNEY_OPEN, 1, "A", "technology shares stand for risk, AUD bought"),
-    Hypothesis("B1", "SP500", US_PM, "USDCHF", LONDON_OPEN, 1, "B", "the haven franc is sold"),
-    Hypothesis("B2", "SP500", US_PM, "EURUSD", LONDON_OPEN, 1, "B", "dollar a little softer"),
-    Hypothesis("B3", "SP500", US_PM, "GBPUSD", LONDON_OPEN, 1, "B", "sterling up on risk"),
-    Hypothesis("C1", "WTI", US_PM, "USDCAD", NY_OPEN, -1, "C", "oil up, CAD up"),
-    Hypothesis("C2", "BRENT", US_PM, "USDCAD", NY_OPEN, -1, "C", "oil up, CAD up"),
-    Hypothesis("D1", "COPPER", ASIA_COMMODITY, "AUDUSD", LONDON_OPEN, 1, "D", "copper up, AUD up"),
-    Hypothesis("D2", "COPPER", ASIA_COMMODITY, "NZDUSD", LONDON_OPEN, 1, "D", "copper up, NZD up"),
-    Hypothesis("D3", "GOLD", ASIA_COMMODITY, "AUDUSD", LONDON_OPEN, 1, "D", "gold up, AUD up"),
-    Hypothesis("E1", "SP500", US_PM, "USDJPY", TOKYO_OPEN, 1, "E", "Friday's mood on Monday in Tokyo", pred_weekday=4),
-    Hypothesis("E2", "SP500", US_PM, "EURUSD", LONDON_OPEN, 1, "E", "Friday's mood on Monday in London", pred_weekday=4),
-    Hypothesis("F1", "SP500", LONDON_OPEN, "EURUSD", LONDON_OPEN, 1, "F", "control: same window", tradeable=False),
-    Hypothesis("F2", "GOLD", LONDON_OPEN, "EURUSD", LONDON_OPEN, 1, "F", "control: same window", tradeable=False),
+    Hypothesis("A1", "SP500", US_PM, "USDJPY", TOKYO_OPEN, 1, "A"),
+    Hypothesis("A2", "SP500", US_PM, "AUDUSD", SYDNEY_OPEN, 1, "A"),
+    Hypothesis("A3", "SP500", US_PM, "NZDUSD", SYDNEY_OPEN, 1, "A"),
+    Hypothesis("A4", "NASDAQ", US_PM, "USDJPY", TOKYO_OPEN, 1, "A"),
+    Hypothesis("A5", "NASDAQ", US_PM, "AUDUSD", SYDNEY_OPEN, 1, "A"),
+    Hypothesis("B1", "SP500", US_PM, "USDCHF", LONDON_OPEN, 1, "B"),
+    Hypothesis("B2", "SP500", US_PM, "EURUSD", LONDON_OPEN, 1, "B"),
+    Hypothesis("B3", "SP500", US_PM, "GBPUSD", LONDON_OPEN, 1, "B"),
+    Hypothesis("C1", "WTI", US_PM, "USDCAD", NY_OPEN, -1, "C"),
+    Hypothesis("C2", "BRENT", US_PM, "USDCAD", NY_OPEN, -1, "C"),
+    Hypothesis("D1", "COPPER", ASIA_COMMODITY, "AUDUSD", LONDON_OPEN, 1, "D"),
+    Hypothesis("D2", "COPPER", ASIA_COMMODITY, "NZDUSD", LONDON_OPEN, 1, "D"),
+    Hypothesis("D3", "GOLD", ASIA_COMMODITY, "AUDUSD", LONDON_OPEN, 1, "D"),
+    Hypothesis("E1", "SP500", US_PM, "USDJPY", TOKYO_OPEN, 1, "E", pred_weekday=4),
+    Hypothesis("E2", "SP500", US_PM, "EURUSD", LONDON_OPEN, 1, "E", pred_weekday=4),
+    Hypothesis("F1", "SP500", LONDON_OPEN, "EURUSD", LONDON_OPEN, 1, "F", tradeable=False),
+    Hypothesis("F2", "GOLD", LONDON_OPEN, "EURUSD", LONDON_OPEN, 1, "F", tradeable=False),
 ]
 
 

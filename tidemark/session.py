@@ -12,6 +12,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
@@ -24,9 +25,12 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and its lineage cut, by a checkpoint in the folder that the cluster shares.
 
     That folder is the session's spark.checkpoint.dir; only where it is unset
-    (tests, a single machine) is a temporary one used.
+    and the master is local (tests, a single machine) is a temporary one used.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()

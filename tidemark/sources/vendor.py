@@ -58,3 +58,35 @@ def fetch(spark: SparkSession, client: Fetch, symbols: list[str], timeframe: str
 
     table = spark.createDataFrame(jobs, "symbol string, lo date, hi date")
     return table.repartition(max(1, len(jobs))).mapInPandas(run, schema)
+
+
+def pull_bars(spark: SparkSession, client: Fetch, root: str, symbols: list[str], timeframe: str, start: date, end: date, side: str, retry: Retry = Retry()) -> DataFrame:
+    """Fetch the years in [start, end] that what is stored under ``root`` does not span, and store them; returns (symbol, year) fetched.
+
+    Years are clamped to the range.  Covered ones are not asked for again, and
+    a year without rows is not written.  A year's new rows replace its
+    partition, so a pull that was cut off is repeated without harm.
+    """
+    if side not in ("bid", "ask", "mid"):
+        raise ValueError("side must be bid, ask or mid")
+    from .tables import BARS, missing_ranges, write_bars
+
+    # a row for each symbol and year
+    jobs = missing_ranges(spark, root, symbols, timeframe, side, str(start), str(end)).select("symbol", "year", "want_start", "want_end").orderBy("symbol", "year").collect()
+    done = spark.createDataFrame([(r["symbol"], r["year"]) for r in jobs], "symbol string, year int")
+    if not jobs:
+        return done
+    schema = BARS.removesuffix(", year int")
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for s, _, lo, hi in b.itertuples(index=False):
+                got = retry(lambda s=s, lo=lo, hi=hi: client(s, timeframe, lo, hi, side))
+                if len(got):
+                    yield got.assign(symbol=s, timeframe=timeframe, side=side)[columns]
+
+    table = spark.createDataFrame([tuple(r) for r in jobs], "symbol string, year int, want_start date, want_end date")
+    rows = table.repartition(len(jobs)).mapInPandas(run, schema)
+    write_bars(rows, root)
+    return done
