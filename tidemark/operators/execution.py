@@ -99,7 +99,7 @@ def execution_study(ticks: DataFrame, days: DataFrame, rule: OpenRule = OpenRule
 
 def sample_days(days: DataFrame, n: int, seed: int = 0, day: str = "day") -> DataFrame:
     """``n`` weekdays drawn by a seeded hash, in order."""
-    return days.where(F.weekday(day) < 5).orderBy(F.xxhash64(day, F.lit(seed)), day).limit(n).orderBy(day)
+    return days.where(F.weekday(day) < 5).orderBy(F.md5(F.concat_ws(":", F.col(day).cast("string"), F.lit(str(seed)))), day).limit(n).orderBy(day)
 
 
 def decompose_trades(trades: DataFrame, commission: Commission, production_lots: float = 1.0) -> DataFrame:

@@ -164,10 +164,11 @@ def quality_metrics(spark, d):
     return quality.quality_metrics(_daily(spark, d), "1D")
 
 
-@query(f"""WITH {_DAYS}, g AS (SELECT symbol, ts, CAST(epoch(ts) - epoch(lag(ts) OVER ({W})) AS BIGINT) AS gap_s FROM days)
+@query(f"""WITH o AS (SELECT CAST(o_custkey AS VARCHAR) AS symbol, o_orderdate AS ts FROM orders), g AS (SELECT symbol, ts, CAST(epoch(ts) - epoch(lag(ts) OVER ({W})) AS BIGINT) AS gap_s FROM o)
 SELECT symbol, {SEC}, gap_s FROM g WHERE gap_s > 49 * 3600 ORDER BY gap_s DESC, symbol, g.ts LIMIT 5""")
 def worst_gaps(spark, d):
-    return rounded(quality.worst_gaps(_daily(spark, d)))
+    o = read(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("symbol"), utc("o_orderdate").alias("ts"))
+    return rounded(quality.worst_gaps(o))
 
 
 @query(f"""WITH s AS (SELECT event_type AS symbol, CAST(hour(ts) AS INT) AS hour, median((1 + value / 1000 + (1 + event_id % 5) * 0.00005 - (1 + value / 1000 - (1 + event_id % 5) * 0.00005)) / 0.0001) AS spread_pips FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY 1, 2)
@@ -355,7 +356,9 @@ def portfolio_returns(spark, d):
     return rounded(strength.portfolio_returns(strength.cross_sectional_book(panel, PAIR_LIST)[0], panel))
 
 
-@query()
+@query(f"""WITH {_BOOK}, inc(pair, ccy, a) AS (VALUES {_VALUES(strength.incidence(PAIR_LIST, _CCY).T, _CCY)}), ach AS (SELECT ts, ccy, sum(a * position) AS achieved FROM ps JOIN inc ON ps.symbol = inc.pair GROUP BY 1, 2), bo AS (SELECT cw.ts, cw.ccy, w, coalesce(achieved, 0) AS achieved FROM cw LEFT JOIN ach ON cw.ts = ach.ts AND cw.ccy = ach.ccy),
+bt AS (SELECT ts, max(abs(achieved - w)) AS residual, sum(abs(w)) AS gross_ccy, abs(sum(achieved)) AS net, abs(sum(CASE WHEN ccy = 'USD' THEN achieved END)) AS usd FROM bo GROUP BY ts), gp AS (SELECT ts, sum(abs(position)) AS gross_pair FROM ps GROUP BY ts)
+SELECT {R('max(residual)', 6)} AS max_replication_residual, {R('avg(gross_pair)', 6)} AS mean_gross_pair_exposure, {R('avg(gross_ccy)', 6)} AS mean_gross_ccy_exposure, {R('max(net)', 6)} AS max_abs_net_exposure, {R('avg(usd)', 6)} AS mean_abs_usd_exposure, {R('avg(gross_pair) / greatest(avg(gross_ccy), 1e-12)', 6)} AS netting_ratio FROM bt JOIN gp ON bt.ts = gp.ts""")
 def portfolio_diagnostics(spark, d):
     positions, weights = strength.cross_sectional_book(pair_panel(spark, d), PAIR_LIST)
     return rounded(strength.portfolio_diagnostics(positions, weights, PAIR_LIST), 6)
@@ -474,14 +477,23 @@ def backtest_leaderboard(spark, d):
     return rounded(backtest.leaderboard(r, AXIS).select("symbol", "model", "n_bars", F.round("net_sharpe", 6).alias("net_sharpe"), F.round("gross_sharpe", 6).alias("gross_sharpe"), "hit_rate"))
 
 
-@query()
+_FOLD = "PARTITION BY symbol, model, fold ORDER BY ts"
+_FOLDS = f"""{_BTSQL}, fs AS (SELECT pd.symbol, pd.model, pd.fold, pd.ts, pd.market, coalesce(CASE WHEN vol IS NOT NULL THEN least(greatest(prediction / pow(greatest(vol, 1e-6), 2) * 0.25, -1), 1) END, 0) AS position FROM pd JOIN vl ON pd.symbol = vl.symbol AND pd.ts = vl.ts),
+fg AS (SELECT *, lag(position) OVER ({_FOLD}) * market AS gross FROM fs), fk AS (SELECT * FROM fg WHERE gross IS NOT NULL), fn AS (SELECT *, gross - abs(position - coalesce(lag(position) OVER ({_FOLD}), 0)) * {_CPU.per_unit!r} - abs(position) * {_CPU.swap_per_bar!r} AS net FROM fk),
+fm AS (SELECT symbol, model, fold, CASE WHEN stddev_samp(gross) > 0 THEN avg(net) / nullif(stddev_samp(net), 0) * sqrt({BPY}) END AS sharpe, CASE WHEN stddev_samp(gross) > 0 THEN product(1 + net) - 1 END AS net_return, CASE WHEN stddev_samp(gross) > 0 THEN avg(CASE WHEN net > 0 THEN 1.0::DOUBLE ELSE 0 END) END AS hit_rate FROM fn GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_FOLDS} SELECT symbol, model, metric, {R('avg(value)', 6)} AS mean, {R('stddev_samp(value)', 6)} AS std, {R('min(value)', 6)} AS min, {R('max(value)', 6)} AS max FROM fm UNPIVOT INCLUDE NULLS (value FOR metric IN (sharpe, net_return, hit_rate)) GROUP BY 1, 2, 3")
 def backtest_folds(spark, d):
     return rounded(metrics.fold_spread(run(spark, d).folds, ["symbol", "model"], ["sharpe", "net_return", "hit_rate"]), 6)
 
 
-@query()
+@query(f"""WITH {_FOLDS}, tr AS (SELECT *, abs(position - coalesce(lag(position) OVER (PARTITION BY symbol, model ORDER BY ts), 0)) AS traded FROM nn), ne AS (SELECT symbol, model, count(*) AS n_bars, sum(traded) / (count(*) / {BPY}.0::DOUBLE) AS turnover, avg(CASE WHEN position <> 0 THEN 1.0::DOUBLE ELSE 0 END) AS active FROM tr GROUP BY 1, 2),
+sp AS (SELECT symbol, model, count(sharpe) AS finite, stddev_samp(sharpe) AS fold_std FROM fm GROUP BY 1, 2)
+SELECT ne.symbol, ne.model, concat_ws('; ', CASE WHEN coalesce(turnover, 0) < 1 THEN 'turnover below 1 a year' END, CASE WHEN active < 0.01 THEN 'active in less than 1 % of bars' END, CASE WHEN coalesce(finite, 0) < 3 THEN 'fewer than 3 folds with a Sharpe ratio' END, CASE WHEN fold_std IS NULL THEN 'no spread between folds' END, CASE WHEN n_bars < 100 THEN 'fewer than 100 bars' END) AS reasons
+FROM ne LEFT JOIN sp ON ne.symbol = sp.symbol AND ne.model = sp.model""")
 def backtest_degeneracy(spark, d):
-    return run(spark, d).degeneracy
+    return run(spark, d).degeneracy.select("symbol", "model", F.concat_ws("; ", "reasons").alias("reasons"))
 
 
 @query()
@@ -679,7 +691,15 @@ def quotes_around(spark, d):
     return rounded(w.select("symbol", F.col("at").alias("instant"), "n_ticks", "spread_at", "spread_median", "spread_p90", "drift_mean", "mid_range"), 5)
 
 
-@query()
+_LEG = lambda leg, x: f"max(CASE WHEN leg = '{leg}' THEN {x} END)"
+
+
+@query(f"""WITH {_Q}, dy AS (SELECT DISTINCT symbol, CAST(ts AS DATE) AS day FROM q), i AS (SELECT symbol, day, leg, timezone('UTC', timezone('Europe/London', day + h * INTERVAL 1 HOUR)) AS av FROM dy, (VALUES ('in', 9), ('out', 13)) l(leg, h) WHERE isodow(day) < 6),
+s AS (SELECT i.*, q.bid AS b0, q.ask AS a0, q.ts AS t0 FROM i ASOF JOIN q ON i.symbol = q.symbol AND i.av >= q.ts), k AS (SELECT * FROM s WHERE CAST(t0 AS DATE) = CAST(av AS DATE)),
+w AS (SELECT k.symbol, k.day, k.leg, k.av, b0, a0, q.ts, q.bid, q.ask FROM k JOIN q ON k.symbol = q.symbol AND q.ts BETWEEN k.av - INTERVAL 1 HOUR AND k.av + INTERVAL 1 HOUR),
+st AS (SELECT symbol, day, leg, any_value(b0) AS b, any_value(a0) AS a, count(*) AS n, any_value(a0 - b0) / 0.0001 AS spread_at, avg(CASE WHEN ts > av THEN ((ask + bid) / 2 - (a0 + b0) / 2) / 0.0001 END) AS drift, (max((ask + bid) / 2) - min((ask + bid) / 2)) / 0.0001 AS mid_range FROM w GROUP BY 1, 2, 3)
+SELECT symbol, CAST(day AS VARCHAR) AS day, {R(_LEG('in', 'spread_at'), 4)} AS spread_entry, {R(_LEG('out', 'spread_at'), 4)} AS spread_exit, {R(_LEG('in', 'drift'), 4)} AS entry_drift_mean, {R(_LEG('in', 'mid_range'), 4)} AS entry_range, CAST({_LEG('in', 'n')} AS BIGINT) AS n_ticks_entry,
+{R('-(' + _LEG('out', 'a') + ' - ' + _LEG('in', 'b') + ') / 0.0001', 4)} AS pnl_aggressive, {R('-(' + _LEG('out', '(a + b) / 2') + ' - ' + _LEG('in', '(a + b) / 2') + ') / 0.0001', 4)} AS pnl_mid, {R('-(' + _LEG('out', 'b') + ' - ' + _LEG('in', 'a') + ') / 0.0001', 4)} AS pnl_passive FROM st GROUP BY symbol, day HAVING count(*) = 2""")
 def execution_study(spark, d):
     days = quotes(spark, d).select("symbol", F.to_date("ts").alias("day")).distinct()
     return rounded(execution.execution_study(quotes(spark, d).select("symbol", "ts", "bid", "ask"), days, window_s=3600), 4)
@@ -723,7 +743,7 @@ def ensemble_agreement(spark, d):
     return rounded(models.ensemble(each, ["symbol", "ts"]), 9)
 
 
-@query()
+@query("SELECT CAST(day AS VARCHAR) AS day FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE isodow(o_orderdate) < 6 ORDER BY md5(CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ':0'), day LIMIT 40)")
 def sampled_days(spark, d):
     days = read(spark, d, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     return rounded(execution.sample_days(days, 40))
