@@ -15,12 +15,15 @@ Only DataFrame and SQL functions (and the DataFrame-based ML library) run here.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .scratch import Scratch
 
@@ -117,7 +120,8 @@ def fit_rates(weighed: DataFrame, targets: dict[str, float], ridge: float = 1e-3
 
     ``targets`` are multiples of each domain's own expected total; ``ridge``
     weighs the squared changes of rates against the squared misses, both as
-    parts of all tokens.
+    parts of all tokens.  Where ``rounds`` steps leave a gradient above the
+    tolerance, a warning says so and the rates of the last step stand.
     """
     k = range(len(DOMAINS))
     natural = weighed.agg(*(F.coalesce(F.sum(F.col("tokens") * F.col("p")[d]), F.lit(0.0)) for d in k)).first()
@@ -136,17 +140,39 @@ def fit_rates(weighed: DataFrame, targets: dict[str, float], ridge: float = 1e-3
             break
         g = [[row[n + n * d + e] / all_ + (ridge if d == e else 0.0) for e in k] for d in k]
         total = [x + y for x, y in zip(total, _solve(g, slope), strict=True)]
+    else:
+        warnings.warn(f"rates had not settled after {rounds} steps", stacklevel=2)
     return _rate(total), reached, goal
 
 
+def copies(rated: DataFrame, rows: int, most: int = 1000) -> DataFrame:
+    """``rated`` (doc_id, h, tokens, p, rate) with ``copies``, a whole number whose expectation is the rate.
+
+    Documents of one likeliest domain and about one size are taken in the
+    order of a hash, and each gets the whole numbers that the sum of rates
+    passes, from a start drawn by a hash.  So the copies of every such cell
+    add up to its rates but for one, and the token totals stay close to those
+    of the rates.  A cell holds about ``most`` rows at most.
+    """
+    u = lambda *x: F.pmod(F.xxhash64(*x), F.lit(2**31)) / float(2**31)
+    cell = [
+        F.expr("array_position(p, array_max(p))").alias("__d"), F.floor(F.log2(F.col("tokens") + 1)).alias("__s"),
+        F.pmod(F.xxhash64("doc_id", "h", F.lit(23)), F.lit(rows // most + 1)).alias("__b"),
+    ]
+    order = Window.partitionBy("__d", "__s", "__b").orderBy(F.xxhash64("doc_id", "h", F.lit(17)), "doc_id", "h")
+    df = rated.select("*", *cell).withColumn("__sum", F.sum("rate").over(order.rowsBetween(Window.unboundedPreceding, 0)) + u("__d", "__s", "__b"))
+    before = F.coalesce(F.lag("__sum").over(order), u("__d", "__s", "__b"))
+    return df.withColumn("copies", (F.floor("__sum") - F.floor(before)).cast("int")).drop("__d", "__s", "__b", "__sum")
+
+
 def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """(doc_id, h, tokens, p_clean, p_low, p_toxic, rate, copies) for every row of ``docs``.
 
-    ``tokens`` counts words of letters and digits; ``h`` hashes the text;
-    ``copies`` is the rate rounded up or down by a hash of doc_id and text, so
-    that its expectation is the rate; rates within 0.05 of a whole number are
-    rounded to it.  Null and empty texts have no tokens and weigh nothing.
-    Labelled documents that are not among ``docs`` teach nothing.
+    ``tokens`` counts words between white space; ``h`` hashes the text;
+    ``copies`` is a whole number whose expectation is the rate.  Null and
+    empty texts have no tokens and weigh nothing.  Labelled documents that are
+    not among ``docs`` teach nothing; without any, all is clean.  Of equal
+    posteriors the first domain counts as the likeliest.
     """
     s = Scratch(spark, "mixing")
     model = fit_domains(docs.select("doc_id", "text"), labels)
@@ -155,10 +181,7 @@ def mix(spark: SparkSession, docs: DataFrame, labels: DataFrame, targets: dict[s
     base = docs.select("doc_id", "text", F.xxhash64(text).alias("h"), F.when(text == "", 0).otherwise(tokens).cast("long").alias("tokens"))
     slim = s.table(posteriors(base, model, ["doc_id", "h", "tokens"]), "posteriors")
     rate, _, _ = fit_rates(slim, targets)
-    u = F.pmod(F.xxhash64("doc_id", "h", F.lit(17)), F.lit(2**31)) / float(2**31)
-    near = F.round("rate")
-    copies = F.when(F.abs(F.col("rate") - near) <= 0.05, near).otherwise(F.floor(F.col("rate") + u)).cast("int")
-    rated = slim.withColumn("rate", rate).withColumn("copies", copies)
+    rated = copies(slim.withColumn("rate", rate), slim.count())
     out = s.table(rated.select("doc_id", "h", "tokens", *(F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)), "rate", "copies"), "out")
     s.close("out")
     return out
