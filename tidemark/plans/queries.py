@@ -6,6 +6,7 @@ price), orders for a macro series, labels for binary outcomes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.axis import Axis, in_chunks
 from ..functions.scalar import LN2, clip, log_loss, normal_cdf_sql, probability_up, utc
 from ..operators import asof, bars, calendar, costs, execution, features, macro, metrics, models, quality, scoring, strength
-from ..session import cut
+from ..session import cut, shared_dir
+from ..sources import tables
 from . import backtest, governance, studies
 
 PAIRS = {"click": "EURUSD", "view": "GBPUSD", "purchase": "USDJPY", "signup": "AUDUSD", "error": "USDCHF"}
@@ -145,6 +147,52 @@ def holdout_split(spark, d):
     return a.agg(F.count(F.lit(1)).alias("research")).crossJoin(b.agg(F.count(F.lit(1)).alias("holdout")))
 
 
+# --- stored tables ----------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    """A fresh folder where driver and executors share files."""
+    return f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {HOURS} SELECT symbol, {SEC}, {OHLC} FROM h WHERE symbol = 'click'")
+def stored_bars(spark, d):
+    """Bars written by symbol, timeframe, side and year, and one symbol's read back."""
+    root = _folder(spark)
+    b = hourly(spark, d)
+    for side in ("mid", "bid"):
+        tables.write_bars(b.withColumns({"timeframe": F.lit("1h"), "side": F.lit(side), "spread": F.lit(0.0)}), root)
+    return rounded(tables.read_bars(spark, root, "click", "1h", "mid").select("symbol", "ts", "open", "high", "low", "close", "volume"))
+
+
+@query("SELECT event_type AS symbol, CAST(epoch_us(ts) AS BIGINT) AS us, " + R("1 + value / 1000 - (1 + event_id % 5) * 0.00005") + " AS bid, " + R("1 + value / 1000 + (1 + event_id % 5) * 0.00005") + " AS ask FROM events WHERE event_type = 'view' AND CAST(ts AS DATE) = DATE '2024-01-05'")
+def stored_ticks(spark, d):
+    """Ticks written by symbol and day, and one day of one symbol read back."""
+    root = _folder(spark)
+    tables.write_ticks(quotes(spark, d).select("symbol", "ts", "bid", "ask"), root)
+    return rounded(tables.read_ticks(spark, root, "view", "2024-01-05").select("symbol", F.unix_micros("ts").alias("us"), "bid", "ask"))
+
+
+@query(f"SELECT CAST(epoch(o_orderdate) AS BIGINT) AS obs_date, {R('avg(o_totalprice)', 4)} AS value FROM orders GROUP BY o_orderdate HAVING isodow(o_orderdate) < 6")
+def macro_csv(spark, d):
+    """A macro series written as CSV with dots for missing values, and read back."""
+    root = _folder(spark)
+    day = _orders_daily(spark, d)
+    day.select(F.date_format("obs_date", "yyyy-MM-dd").alias("DATE"), F.when(F.weekday("obs_date") < 5, F.col("value").cast("string")).otherwise(".").alias("VALUE")).write.option("header", True).csv(root)
+    return rounded(tables.read_macro_csv(spark, root), 4)
+
+
+@query("""SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS INT) AS direction, (o_orderkey % 5 + 1) / 10.0::DOUBLE AS lots, o_orderkey % 7 <> 0 AS filled, o_orderpriority AS note FROM orders, (VALUES (1), (2)) twice(i) WHERE i = 1 OR o_orderkey % 2 = 0""")
+def stored_trades(spark, d):
+    """Trades appended twice to a ledger of JSON lines, and read back."""
+    root = _folder(spark)
+    k = F.col("o_orderkey")
+    t = read(spark, d, "orders").select(F.to_date("o_orderdate").cast("string").alias("day"), F.when(k % 2 == 0, 1).otherwise(-1).alias("direction"), ((k % 5 + 1) / 10.0).alias("lots"), (k % 7 != 0).alias("filled"), F.col("o_orderpriority").alias("note"))
+    tables.append_trades(t, root)
+    tables.append_trades(t.where("direction = 1"), root)
+    return tables.read_trades(spark, root).select("day", "direction", "lots", "filled", "note")
+
+
 # --- quality ----------------------------------------------------------------
 
 _DAYS = "days AS (SELECT l_returnflag AS symbol, l_shipdate AS ts, min(l_extendedprice) AS low, max(l_extendedprice) AS high, max(l_extendedprice) - l_orderkey_max % 7 AS open, min(l_extendedprice) - 1 AS close, CASE WHEN count(*) % 2 = 0 THEN 0.0 ELSE 1.0 END AS volume FROM (SELECT *, max(l_orderkey) OVER (PARTITION BY l_returnflag, l_shipdate) AS l_orderkey_max FROM lineitem) GROUP BY l_returnflag, l_shipdate, l_orderkey_max)"
@@ -617,10 +665,33 @@ def feature_screen(spark, d):
     return rounded(s.select("feature", "n_effective", "mean_signed_return", F.round("t_stat", 6).alias("t_stat")))
 
 
-@query()
+def _hourly_pairs(spark, d):
+    r = bars.pair_returns(hourly(spark, d), symbols=list(PAIRS))
+    table = F.create_map(*(F.lit(x) for kv in PAIRS.items() for x in kv))
+    return r.select("ts", F.element_at(table, F.col("symbol")).alias("pair"), "r")
+
+
+_HPANEL = _PANEL.replace(FOURS, f"{HOURS}, f AS (SELECT * FROM h)")
+_STRENGTHS = [f"f_ccy_{k}_{h}" for h in (5, 20, 60) for k in ("diff", "base", "quote", "dispersion", "diff_z")] + [f"f_dollar_{h}" for h in (5, 20, 60)] + ["f_ccy_rank_base", "f_ccy_rank_quote"]
+
+
+@query(f"""WITH {_HPANEL}, x AS (SELECT * FROM ({ORACLES["strength_features"].replace(FOURS, f"{HOURS}, f AS (SELECT * FROM h)")})), fw AS (SELECT CAST(epoch(ts) AS BIGINT) AS ts, lead(r) OVER (ORDER BY ts) AS fwd FROM pp WHERE pair = 'EURUSD'),
+wd2 AS (SELECT CAST(make_timestamp(x.ts * 1000000) AS DATE) AS day, fwd, {', '.join(_STRENGTHS)} FROM x JOIN fw ON x.ts = fw.ts WHERE fwd IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in _STRENGTHS)}),
+u AS (UNPIVOT (SELECT day, fwd, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _STRENGTHS)} FROM wd2) ON {', '.join(_STRENGTHS)} INTO NAME feature VALUE value), live AS (SELECT feature, count(*) AS n_rows FROM u GROUP BY feature HAVING count(*) >= 200 AND stddev_samp(value) > 0),
+bl AS (SELECT feature, day, avg(sign(value) * fwd) AS pnl FROM u SEMI JOIN live USING (feature) GROUP BY 1, 2), m AS (SELECT feature, count(*) AS n_effective, avg(pnl) AS mean, stddev_samp(pnl) AS sd, avg(abs(pnl)) AS ab FROM bl GROUP BY 1), t AS (SELECT feature, {_TEST} FROM m)
+SELECT 'strength' AS family, '1h' AS timeframe, t.feature, n_rows, n_effective, {R('mean', 6)} AS mean_signed_return, {R('t', 4)} AS t_stat FROM t JOIN live ON t.feature = live.feature""")
 def strength_screen(spark, d):
-    s = studies.screen(studies.strength_panel(pair_panel(spark, d), PAIR_LIST, ["EURUSD"], "4h"))
-    return rounded(s.select("family", "timeframe", "feature", "n_rows", "t_stat", "p_value", "passes"), 6)
+    s = studies.screen(studies.strength_panel(_hourly_pairs(spark, d), PAIR_LIST, ["EURUSD"], "1h"))
+    return rounded(s.select("family", "timeframe", "feature", "n_rows", "n_effective", F.round("mean_signed_return", 6).alias("mean_signed_return"), F.round("t_stat", 4).alias("t_stat")))
+
+
+@query()
+def full_screen(spark, d):
+    """Price at two timeframes, strength and carry, under one threshold."""
+    daily = macro.rate_differential(_orders_daily(spark, d, "o_orderstatus = 'F'"), _orders_daily(spark, d, "o_orderstatus = 'O'"))
+    panels = [*(studies.price_panel(hourly(spark, d), AXIS, tf) for tf in ("1h", "4h")), studies.strength_panel(_hourly_pairs(spark, d), PAIR_LIST, ["EURUSD"], "1h"), studies.carry_panel(_daily(spark, d), daily, AXIS, "1D")]
+    s = studies.full_screen([cut(p) for p in panels])
+    return rounded(s.select("family", "timeframe", "feature", "n_rows", "n_tests", "t_stat", "p_value", "threshold", "passes"), 8)
 
 
 def _cells():

@@ -67,6 +67,14 @@ def screen(panel: DataFrame, extra_tests: int = 84, alpha: float = 0.05) -> Data
     return out.withColumn("passes", F.coalesce(F.col("p_value") < F.col("threshold"), F.lit(False))).orderBy(F.desc_nulls_last(F.abs("t_stat")), *keys)
 
 
+def full_screen(panels: list[DataFrame], extra_tests: int = 84, alpha: float = 0.05) -> DataFrame:
+    """One screen of several families and timeframes: the threshold counts the tests of all panels together."""
+    out = panels[0]
+    for p in panels[1:]:
+        out = out.unionByName(p)
+    return screen(out, extra_tests, alpha)
+
+
 @dataclass(frozen=True)
 class Hypothesis:
     """A cell of a battery, fixed before any data is looked at."""

@@ -21,16 +21,28 @@ def session(app: str = "tidemark", master: str | None = None, **conf: str) -> Sp
     return (builder.master(master) if master else builder).getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and its lineage cut, by a checkpoint in the folder that the cluster shares.
+_own: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares: the session's spark.checkpoint.dir.
 
-    That folder is the session's spark.checkpoint.dir; only where it is unset
-    and the master is local (tests, a single machine) is a temporary one used.
+    Only where that is unset and the master is local (tests, a single machine)
+    is a temporary one made and used.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
+    if not _own:
+        _own.append("file://" + tempfile.mkdtemp(prefix="tidemark-"))
+    return _own[0]
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and its lineage cut, by a checkpoint in the folder that the cluster shares."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that driver and executors share")
-        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
