@@ -1,16 +1,19 @@
 """Nearest neighbours by a hierarchical k-means tree, best bin first.
 
-The tree is fitted to a bounded sample; every vector is then indexed under the
-leaf that greedy descent reaches.  A query walks the tree through a priority
-queue of node distances and meets the leaves best first.  How many leaves it
-visits is calibrated: for a set of sample queries the true neighbours among
-all vectors are found by brute force, and visits are widened until the
-wanted recall is reached.
+The upper tree is fitted to a bounded sample.  The tree grows with the data:
+leaves of more than about the square root of all vectors are split by subtrees
+fitted on executors, each to a bounded sample of its own leaf's vectors.  Every
+vector is then indexed under the leaf that greedy descent reaches.  A query
+walks the tree through a priority queue of node distances and meets the leaves
+best first.  How many leaves it visits is calibrated: for a set of sample
+queries the true neighbours among all vectors are found by brute force, and
+visits are widened until the wanted recall is reached.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +27,9 @@ from pyspark.sql import Window
 from .ranges import pick
 from .scratch import Scratch
 
-SAMPLE = 20_000  # vectors that the tree is fitted to
+SAMPLE = 20_000  # vectors that the upper tree, and each subtree, is fitted to
+BYTES = 64 << 20  # of a sample on the driver, and of all centers, which every task holds
+LEAF = 256  # vectors below which no leaf is split
 QUERIES = 256  # of them, for the calibration
 CHUNK = 4096  # vectors of a leaf, or queries at a leaf, in one task
 
@@ -124,10 +129,9 @@ def _assigner(tree: Tree):
     return run
 
 
-def nearest(ids: np.ndarray, x: np.ndarray, q_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the k nearest to q and their distances, ties to the smaller id; q's own row is left out."""
+def nearest(ids: np.ndarray, x: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the k nearest to q and their distances, ties to the smaller id."""
     d = np.sqrt(((x - q) ** 2).sum(axis=1))
-    d[ids == q_id] = np.inf
     if len(d) > k:
         rows = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
     else:
@@ -137,16 +141,16 @@ def nearest(ids: np.ndarray, x: np.ndarray, q_id: int, q: np.ndarray, k: int) ->
     return rows, d[rows]
 
 
-def _truth(q_ids: np.ndarray, q: np.ndarray, k: int):
-    """The nearest of a task's rows to each calibration query."""
+def _truth(q: np.ndarray, k: int):
+    """The nearest of a task's rows to each calibration query, itself included."""
 
     def run(batches):
-        best: list[list[tuple[float, int, int]]] = [[] for _ in q_ids]
+        best: list[list[tuple[float, int, int]]] = [[] for _ in q]
         for b in batches:
             ids, x, leaf = b.column(0).to_numpy(), _matrix(b.column(1)), b.column(2).to_numpy()
-            for i, (q_id, v) in enumerate(zip(q_ids, q, strict=True)):
-                rows, d = nearest(ids, x, q_id, v, k) if len(ids) else ([], [])
-                best[i] = heapq.nsmallest(k, best[i] + [(float(s), int(ids[r]), int(leaf[r])) for r, s in zip(rows, d, strict=True)])
+            for i, v in enumerate(q):
+                rows, d = nearest(ids, x, v, k + 1) if len(ids) else ([], [])
+                best[i] = heapq.nsmallest(k + 1, best[i] + [(float(s), int(ids[r]), int(leaf[r])) for r, s in zip(rows, d, strict=True)])
         flat = [(i, *t) for i, ts in enumerate(best) for t in ts]
         kinds = [pa.int32(), pa.float64(), pa.int64(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in flat], t) for j, t in enumerate(kinds)], names=["q", "d", "vec_id", "leaf"])
@@ -154,11 +158,12 @@ def _truth(q_ids: np.ndarray, q: np.ndarray, k: int):
     return run
 
 
-def calibrate(index: DataFrame, tree: Tree, q_ids: np.ndarray, q: np.ndarray, k: int, recall: float) -> int:
+def calibrate(index: DataFrame, tree: Tree, q: np.ndarray, k: int, recall: float) -> int:
     """The fewest leaf visits by which the sample queries reach the recall, against all vectors."""
-    near = index.mapInArrow(_truth(q_ids, q, k), "q int, d double, vec_id long, leaf int")
+    near = index.mapInArrow(_truth(q, k), "q int, d double, vec_id long, leaf int")
     best = Window.partitionBy("q").orderBy("d", "vec_id")
-    truth = near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("q", "leaf").collect()
+    # each query's first is itself
+    truth = near.withColumn("r", F.row_number().over(best)).where(F.col("r").between(2, k + 1)).select("q", "leaf").collect()
     at = {i: {leaf: n for n, leaf in enumerate(tree.order(v))} for i, v in enumerate(q)}
     met = np.sort([at[i][leaf] + 1 for i, leaf in truth])
     return int(met[min(len(met) - 1, int(np.ceil(recall * len(met))) - 1)]) if len(met) else tree.leaves
@@ -189,37 +194,94 @@ def _compare(k: int):
         if len(queries) and len(vectors):
             ids, x = vectors["vec_id"].to_numpy(), np.stack(vectors["v"].to_numpy())
             for q_id, q in zip(queries["query_id"].to_numpy(), queries["q"], strict=True):
-                rows, d = nearest(ids, x, q_id, np.asarray(q), k)
+                rows, d = nearest(ids, x, np.asarray(q), k + 1)
                 out += [(q_id, int(ids[r]), float(s)) for r, s in zip(rows, d, strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
     return run
 
 
+def sample(v: DataFrame, n: int, most: int, seed: int) -> np.ndarray:
+    """About ``most`` of the ``n`` vectors (vec_id, v), by a hash of vec_id; in the hash's order, so it is the same each time."""
+    share = min(1.0, most / max(n, 1))
+    drawn = v.where(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(2**31)) < int(share * 2**31) + 1)
+    return _matrix(drawn.orderBy(F.xxhash64("vec_id", F.lit(seed + 1)), "vec_id", "v").limit(2 * most).select("v").toArrow()["v"].combine_chunks())
+
+
+def _splitter(goal: int):
+    """A leaf's subtree as (leaf, centers, children), with leaves of about ``goal`` of the leaf's vectors."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        x, held = np.stack(rows["v"].to_numpy()), rows["held"].iloc[0]
+        sub = fit_tree(x, leaf_size=max(8, int(len(x) * goal / held)))
+        return pd.DataFrame({"leaf": [rows["leaf"].iloc[0]], "centers": [sub.centers.tobytes()], "children": [[list(map(int, c)) for c in sub.children]]})
+
+    return run
+
+
+def grow(index: DataFrame, tree: Tree, held: list[int], goal: int, most: int) -> Tree:
+    """``tree`` with every leaf of more than twice ``goal`` vectors split by a subtree, as long as all centers number ``most`` at most.
+
+    A subtree is fitted to at most about ``SAMPLE`` of its leaf's vectors, taken by a hash.
+    """
+    room = most - len(tree.centers)
+    big = []
+    for leaf, n in sorted(enumerate(held), key=lambda x: -x[1]):
+        room -= 2 * n // goal
+        if n <= 2 * goal or room < 0:
+            break
+        big.append(leaf)
+    if not big:
+        return tree
+    share = [min(2**31, int(SAMPLE / max(n, 1) * 2**31) + 1) for n in held]
+    own = index.where(F.col("leaf").isin(big)).where(F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(2**31)) < pick(share, "leaf"))
+    own = own.select("leaf", "v", pick(held, "leaf").alias("held"))
+    subs = own.groupBy("leaf").applyInPandas(_splitter(goal), "leaf int, centers binary, children array<array<int>>").collect()
+    centers, children = [tree.centers], [list(c) for c in tree.children]
+    at = {leaf: node for node, leaf in enumerate(tree.leaf) if leaf >= 0}
+    for leaf, flat, kids in sorted(subs):
+        base, node = len(children), at[leaf]
+        # the subtree's root is the leaf itself; its other nodes follow
+        children[node] = [base + c - 1 for c in kids[0]]
+        children += [[base + c - 1 for c in k] for k in kids[1:]]
+        centers.append(np.frombuffer(flat).reshape(len(kids), -1)[1:])
+    number = iter(range(len(children)))
+    return Tree(np.concatenate(centers), children, [-1 if c else next(number) for c in children])
+
+
 def search(spark: SparkSession, vectors: DataFrame, is_query: str, k: int = 10, recall: float = 0.97, vec: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's nearest found, by Euclidean distance in double precision.
 
-    ``is_query`` is an SQL condition on vec_id.  A row is no candidate for the
-    query of its own vec_id.  Repeated rows are candidates each, ties go to
+    ``is_query`` is an SQL condition on vec_id.  Rows that share a query's
+    vec_id are one query, by the least of their vectors; all of them but that
+    row itself are candidates.  Repeated rows are candidates each, ties go to
     the smaller vec_id.  With k candidates or fewer, all are returned.
     """
     s = Scratch(spark, "ann")
     v = s.table(usable(vectors, vec), "vectors")
     n = v.count()
-    share = min(1.0, SAMPLE / max(n, 1))
-    drawn = v.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(2**31)) < int(share * 2**31) + 1).orderBy(F.xxhash64("vec_id", F.lit(4)), "vec_id").limit(2 * SAMPLE).collect()
-    x = np.array([r[1] for r in drawn]) if drawn else np.zeros((0, 1))
+    size = len(v.first()[1]) if n else 1
+    x = sample(v, n, min(SAMPLE, BYTES // (16 * size)), 3)
     tree = fit_tree(x)
-    index = s.table(v.mapInArrow(_assigner(tree), "vec_id long, v array<double>, leaf int"), "index")
-    visits = calibrate(index, tree, np.array([r[0] for r in drawn[:QUERIES]]), x[:QUERIES], k, recall)
-    held = [0] * tree.leaves
-    for leaf, count in index.groupBy("leaf").count().collect():  # leaves are bounded by the sample
-        held[leaf] = count
-    asked = s.table(v.where(is_query).mapInArrow(_visitor(tree, visits, held, k + 1), "query_id long, q array<double>, leaf int"), "asked")
-    at_leaf = [0] * tree.leaves
-    for leaf, count in asked.groupBy("leaf").count().collect():
-        at_leaf[leaf] = count
-    parts, q_parts = ([-(-c // CHUNK) or 1 for c in counts] for counts in (held, at_leaf))
+
+    def counts(df: DataFrame, leaves: int) -> list[int]:
+        out = [0] * leaves
+        for leaf, count in df.groupBy("leaf").count().collect():  # leaves are bounded by BYTES
+            out[leaf] = count
+        return out
+
+    for turn in range(3):  # a leaf that came out too large because its sample was uneven is split again
+        index = s.table(v.mapInArrow(_assigner(tree), "vec_id long, v array<double>, leaf int"), f"index{turn}")
+        held = counts(index, tree.leaves)
+        grown = grow(index, tree, held, max(LEAF, math.isqrt(n)), BYTES // (8 * size)) if turn < 2 else tree
+        if grown is tree:
+            break
+        tree = grown
+    visits = calibrate(index, tree, x[:QUERIES], k, recall)
+    queries = v.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = s.table(queries.mapInArrow(_visitor(tree, visits, held, k + 1), "query_id long, q array<double>, leaf int"), "asked")
+    at_leaf = counts(asked, tree.leaves)
+    parts, q_parts = ([-(-c // CHUNK) or 1 for c in c_] for c_ in (held, at_leaf))
     deal = lambda df, key, own, other: (
         df.withColumn(own[0], F.pmod(F.xxhash64(key, F.lit(9)), pick(own[1], "leaf")).cast("int"))
         .withColumn(other[0], F.explode(F.sequence(F.lit(0), (pick(other[1], "leaf") - 1).cast("int"))))
@@ -227,8 +289,10 @@ def search(spark: SparkSession, vectors: DataFrame, is_query: str, k: int = 10,
     left = deal(asked, "query_id", ("qc", q_parts), ("vc", parts)).groupBy("leaf", "qc", "vc")
     right = deal(index, "vec_id", ("vc", parts), ("qc", q_parts)).groupBy("leaf", "qc", "vc")
     found = left.cogroup(right).applyInPandas(_compare(k), "query_id long, vec_id long, score double")
+    own = (F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0)
+    found = found.withColumn("own", own).withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "own").orderBy("score", "vec_id")))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    out = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    out = found.where(~(F.col("own") & (F.col("nth") == 1))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     out = s.table(out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "out")
     s.close("out")
     return out
