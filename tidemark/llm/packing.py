@@ -27,6 +27,7 @@ from .ranges import pick
 from .scratch import Scratch
 
 END = 2
+MOST_RUNS = 500_000  # that are broadcast
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,7 @@ class Capacity:
     tokens: int = 1024
     documents: int | None = None
     cost: int | None = None
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.1, 0.1)
     rule: str = "norm"  # or "dot"
 
     def limits(self) -> np.ndarray:
@@ -108,6 +109,7 @@ def _pieces(ranks_path: str, json_path: str, tokens: int, with_ids: bool):
                     out.append(pa.array(ids_of, pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        enc.clear()
 
     return run
 
@@ -122,7 +124,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, json_path: str, tokens: int =
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_pieces(ranks_path, json_path, tokens, with_ids), schema)
 
 
-def pack(spark: SparkSession, pieces: DataFrame, capacity: Capacity = Capacity(), rows_per_bucket: int = 5000) -> DataFrame:
+def pack(spark: SparkSession, pieces: DataFrame, capacity: Capacity = Capacity(), rows_per_bucket: int = 1000) -> DataFrame:
     """``pieces`` (at least doc_id, piece, start, length) with sequence_id and offset.
 
     Offsets are gapless from 0 in each sequence.  Pieces longer than the
@@ -140,8 +142,8 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: Capacity = Capacity()
     inside = Window.partitionBy("length", "__b").orderBy("doc_id", "piece", "start")
     p = p.withColumn("__r", F.row_number().over(inside) - 1).join(sizes, ["length", "__b"]).withColumn("__rank", F.col("__before") + F.col("__r"))
     table = spark.createDataFrame(runs or [(0, 0, 0, 0, 0)], "l long, lo long, hi long, first long, offset long")
-    # the plan has a few runs per length at most, whatever the number of pieces
-    q = p.join(F.broadcast(table), (F.col("length") == F.col("l")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
+    # runs split where a length meets another room, not with the number of pieces; their number is looked at all the same
+    q = p.join(F.broadcast(table) if len(runs) <= MOST_RUNS else table, (F.col("length") == F.col("l")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
     out = s.table(q.select(*pieces.columns, (F.col("first") + F.col("__rank") - F.col("lo")).alias("sequence_id"), F.col("offset")), "out")
     s.close("out")
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 SHARDS = 16
 SEQUENCE = 1024
+WEIGHTS = (1.0, 0.1, 0.1)  # of room left for tokens, documents and attention cost
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,9 +47,9 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .spotsigs import edit_report
+    from .spotsigs import linked_report
 
-    return edit_report(spark, read(spark, sf_dir, "documents"))
+    return linked_report(spark, read(spark, sf_dir, "documents"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import Capacity, pack, token_pieces
 
     pieces = token_pieces(read(spark, sf_dir, "documents"), *vocabulary(), SEQUENCE)
-    return pack(spark, pieces, Capacity(SEQUENCE))
+    return pack(spark, pieces, Capacity(SEQUENCE, weights=WEIGHTS))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,9 +16,10 @@ import tiktoken
 from .hashing import U, mix, powers
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
+# Fixed value: the public vocabulary's pattern of words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SLOTS, SHIFT, PROBES = 1 << 22, U(42), 12
-FULL = 2_000_000  # words kept at a time in a worker
+SLOTS, SHIFT, PROBES = 1 << 20, U(44), 12
+FULL = 400_000  # words kept at a time
 
 
 def _classes() -> np.ndarray:
@@ -73,9 +74,10 @@ class Encoder:
         self.json_path, self.special = json_path, special
         self.cls = _classes()
         self._other = None
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
+        """Forget the words, so that a worker between tasks holds the vocabulary alone."""
         self.keys = np.zeros(SLOTS, U)  # open addressing, at most PROBES steps
         self.at = np.zeros(SLOTS, np.int64)
         self.count = np.zeros(SLOTS, np.int32)
@@ -143,7 +145,7 @@ class Encoder:
         np.cumsum((c.astype(U) + U(1)) * power[: len(c)], out=h[1:])
         key = mix((h[end] - h[start]) * inverse[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
         if self.words > FULL:
-            self._clear()
+            self.clear()
         slot = self._find(key)
         at, n = self.at[slot], self.count[slot].astype(np.int64)
         new = np.flatnonzero(slot < 0)
@@ -175,7 +177,7 @@ class Encoder:
                 continue
             some.append(i)
             held += len(t)
-            if held > 1_000_000:
+            if held > 300_000:
                 flush()
         flush()
         return out
