@@ -54,7 +54,7 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return o.astype(np.int64), d
 
 
-def slices(off: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(off: np.ndarray, most: int = 500_000) -> Iterator[tuple[int, int]]:
     """Runs of rows of about ``most`` bytes; a longer row comes alone."""
     i, n = 0, len(off) - 1
     while i < n:

@@ -56,7 +56,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-        self._names: set[str] = set()
+        self.names: set[str] = set()
         self._turn = 0
 
     def path(self, name: str) -> str:
@@ -66,7 +66,7 @@ class Scratch:
         """Write ``df`` once and return a reader of what was written."""
         self._turn += 1
         name = name or f"t{self._turn}"
-        self._names.add(name)
+        self.names.add(name)
         with small_batches(self.spark):
             df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
@@ -80,11 +80,11 @@ class Scratch:
         for name in names:
             fs, p = self._fs(self.path(name))
             fs.delete(p, True)
-            self._names.discard(name)
+            self.names.discard(name)
 
     def close(self, *keep: str) -> None:
         """Remove every table but ``keep``; those go when the application ends."""
-        self.drop(*(self._names - set(keep)))
+        self.drop(*(self.names - set(keep)))
         fs, p = self._fs(self.root)
         if keep:
             fs.deleteOnExit(p)
