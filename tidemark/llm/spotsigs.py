@@ -2,8 +2,11 @@
 
 Text is lowered and cut into words.  Every common word (anchor) that stands
 right before a content word starts a chain: the anchor-free sequence of the
-next content words.  A document's fingerprint is its set of chain hashes.
-Only DataFrame and SQL functions run here.
+next content words, as many as the chain's length or all that are left.  The
+start of a text counts as an anchor.  A document's fingerprint is its set of
+chain hashes.  Near fingerprints are found among sets of close lengths only,
+by each set's rarest signatures, and compared with Jaccard where lengths
+allow.  Only DataFrame and SQL functions run here.
 """
 
 from __future__ import annotations
@@ -12,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .ranges import range_index
-from .scratch import Scratch
+from .ranges import literal, range_index
+from .scratch import Scratch, if_small
 
 # Frequent function words of English, German, French and Spanish.
 ANCHORS = (
@@ -23,40 +26,36 @@ ANCHORS = (
     "al como con del el ella era esta este los las lo más me mi no nos para pero por su sus también una y ya o "
 ).split()
 CHAIN = 3
-FEW = 12
 MARK = "\x01"
+RANGES = 100_000  # of doc_ids, at most; their bounds are part of the plan
+BUCKETS = 1 << 16  # of signatures, whose counts order them from rare to frequent
+CELL = 128
+WORDS = 8  # of a parity sketch, 64 bits each; a power of two
+LEAST = 8  # signatures of a class that the first look at its cells knows
 
 
 def _marked(words: str) -> str:
-    """Content words only, each with a mark in front if an anchor stood right before it.
-
-    Anchors are replaced one by one and runs of marks merged after, as a
-    repeated group would recurse once for every anchor of a long run.
-    """
-    each = f"regexp_replace({words}, '(?<= )(?:{'|'.join(sorted(set(ANCHORS)))}) ', '{MARK}')"
-    return f"regexp_replace({each}, '{MARK}+', '{MARK}')"
+    """Content words only, each with a mark in front if an anchor stood right before it."""
+    anchors = ", ".join(f"'{a}'" for a in sorted(set(ANCHORS)))
+    each = f"array_join(transform(split({words}, ' '), x -> if(x in ({anchors}), '{MARK}', x)), ' ')"
+    return f"regexp_replace(replace({each}, '{MARK} ', '{MARK}'), '{MARK}+', '{MARK}')"
 
 
 def signatures(marked: str, chain: int = CHAIN) -> str:
     """The distinct chain hashes of marked content words, sorted."""
     word = rf"[^ {MARK}]++"
-    pattern = rf"{MARK}(?=({word}(?: {MARK}?{word}){{{chain - 1}}}) )"
+    pattern = rf"{MARK}(?=({word}(?: {MARK}?{word}){{0,{chain - 1}}}) )"
     return f"array_sort(array_distinct(transform(regexp_extract_all({marked}, '{pattern}', 1), x -> xxhash64(translate(x, '{MARK}', '')))))"
 
 
 def fingerprint(df: DataFrame, text: str, into: str, chain: int = CHAIN) -> DataFrame:
     """``df`` with an array of signature hashes of the column ``text``.
 
-    Where fewer than ``FEW`` chains start at anchors (short texts, tables),
-    chains also start at every word, and in a text of few words each word
-    counts too.  A text without any word has no signature.
+    A text without any word, or of anchors alone, has no signature.
     """
-    df = df.withColumn("__words", F.expr(f"concat(' ', regexp_replace(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' '), ' ')"))
-    df = df.withColumn("__marked", F.expr(_marked("__words"))).withColumn(into, F.expr(signatures("__marked", chain)))
-    every = f"regexp_extract_all(__words, '(?<= )(?=([^ ]++(?: [^ ]++){{{chain - 1}}}) )', 1)"
-    single = f"if(length(__words) - length(translate(__words, ' ', '')) <= {FEW} + 2, regexp_extract_all(__words, '[^ ]+', 0), cast(array() as array<string>))"
-    more = f"array_sort(array_distinct(concat({into}, transform(concat({every}, {single}), x -> xxhash64(x)))))"
-    return df.withColumn(into, F.when(F.size(into) >= FEW, F.col(into)).otherwise(F.expr(more))).drop("__marked", "__words")
+    words = f"concat(' {MARK} ', ltrim(regexp_replace(lower({text}), '[^\\\\p{{L}}\\\\p{{N}}]+', ' ')), ' ')"
+    df = df.withColumn("__marked", F.expr(_marked(words)))
+    return df.withColumn(into, F.expr(signatures("__marked", chain))).drop("__marked")
 
 
 def as_text(sigs: str) -> Column:
@@ -69,22 +68,23 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1D when least(size({a}), size({b})) = 0 then 0D else {both} / cast(size({a}) + size({b}) - {both} as double) end")
 
 
-def with_next(spark: SparkSession, docs: DataFrame, range_bytes: int = 8 << 20, sample: int = 20_000) -> DataFrame:
-    """(doc_id, text, next_text): the next document in descending doc_id order; the first follows the last.
+def with_next(spark: SparkSession, docs: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
+    """(doc_id, text, sigs, next_text, next_sigs): a document, its fingerprint, and those of the next in descending doc_id order; the first follows the last.
 
     Ranges of doc_id between sampled ids are sorted on their own; the first
     document of each range is also dealt to the range before it, where it ends
-    the order.  Rows that share a doc_id are ordered by their texts; null
-    doc_ids come last.
+    the order.  A range holds about ``range_bytes``, or from ``RANGES`` ranges
+    on their share of all (1 GB of 100 TB).  Rows that share a doc_id are
+    ordered by their texts; null doc_ids come last.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size, rows, top = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1)), F.max("k")).first()
     if not rows:
-        return docs.select("doc_id", "text", F.col("text").alias("next_text"))
-    n = max(1, min(size // range_bytes, sample // 4))
+        return fingerprint(docs, "text", "sigs").select("doc_id", "text", "sigs", F.col("text").alias("next_text"), F.col("sigs").alias("next_sigs"))
+    n = max(1, min(size // range_bytes, RANGES))
     bounds: list[int] = []
     if n > 1:
-        part = F.pmod(F.xxhash64("k"), F.lit(2**31)) < int(min(1.0, sample / rows) * 2**31)
+        part = F.pmod(F.xxhash64("k"), F.lit(2**31)) < int(min(1.0, max(20_000, 4 * n) / rows) * 2**31)
         ids = docs.where(part).agg(F.sort_array(F.collect_set("k"))).first()[0]
         bounds = sorted({ids[len(ids) * q // n] for q in range(1, n)}) if ids else []
         bounds = [b for b in bounds if b < top]
@@ -97,11 +97,13 @@ def with_next(spark: SparkSession, docs: DataFrame, range_bytes: int = 8 << 20,
     ghost = F.struct(F.when(at == 0, F.lit(last)).otherwise(at - 1).alias("r"), F.lit(1).alias("ghost"))
     dealt = docs.withColumn("p", F.explode(F.when(head, F.array(place, ghost)).otherwise(F.array(place)))).select("k", "doc_id", "text", "p.r", "p.ghost")
     order = Window.partitionBy("r").orderBy("ghost", F.desc("k"), F.xxhash64("text"), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("ghost = 0").select("doc_id", "text", "next_text")
+    # texts are shuffled without their fingerprints, and each is fingerprinted once for both of its places
+    dealt = fingerprint(dealt.repartition("r"), "text", "sigs")
+    return dealt.withColumns({"next_text": F.lead("text").over(order), "next_sigs": F.lead("sigs").over(order)}).where("ghost = 0").select("doc_id", "text", "sigs", "next_text", "next_sigs")
 
 
 def edited_next(df: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text) with n_chars and the edited text.
+    """``df`` (with text, next_text) with n_chars and the edited text.
 
     The edit replaces the last floor(n_chars/3) code points by the first as
     many (or all) of the next document.
@@ -111,48 +113,105 @@ def edited_next(df: DataFrame) -> DataFrame:
     return df.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {cut}), substring(next_text, 1, {cut}))"))
 
 
-def edit_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def edit_report(spark: SparkSession, docs: DataFrame, also: list[Column] | None = None) -> DataFrame:
     """Fingerprints of whole texts and of their edits, and how alike they are.
 
     Null texts are empty; equal texts have equal fingerprints; two fingerprints
     without signatures have likeness 1, one without and one with have 0.
     """
-    df = edited_next(with_next(spark, docs))
-    for text, into in (("text", "own"), ("edited", "new"), ("next_text", "after")):
-        df = fingerprint(df, text, into)
+    df = fingerprint(edited_next(with_next(spark, docs)), "edited", "new")
     return df.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text("own").alias("fingerprint"), as_text("new").alias("edited_fingerprint"),
-        likeness("own", "new").alias("near_edited"), likeness("own", "after").alias("near_next"),
+        as_text("sigs").alias("fingerprint"), as_text("new").alias("edited_fingerprint"),
+        likeness("sigs", "new").alias("near_edited"), likeness("sigs", "next_sigs").alias("near_next"), *(also or []),
     )
 
 
-def near_pairs(spark: SparkSession, docs: DataFrame, threshold: float = 0.8, step: float | None = None) -> DataFrame:
-    """(a, b, likeness): pairs of classes of equal fingerprints, each named by its least doc_id.
+NAMES = ["n", "h1", "h2"]  # what tells fingerprints apart in joins
+
+
+def named(sigs: str) -> list[Column]:
+    return [F.size(sigs).alias("n"), F.xxhash64(sigs).alias("h1"), F.xxhash64(sigs, F.lit(1)).alias("h2")]
 
-    Signature sets are partitioned by their number of signatures, so that only
-    equal or neighbouring partitions can reach the threshold.  In a partition
-    a set is probed by its rarest signatures only, as many as leave no way to
-    reach the threshold without one of them; pairs whose sizes are too far
-    apart are pruned before their sets are compared.
+
+def class_links(s: Scratch, docs: DataFrame, num: int = 80, den: int = 100, cell: int = CELL) -> DataFrame:
+    """(n, h1, h2, class_id, links) of every class of equal fingerprints with signatures, as a written table.
+
+    ``class_id`` is the class's least doc_id; ``links`` counts the other
+    classes whose fingerprints have ``num / den`` of all their signatures in
+    common with it, all of them.  Rows with a null doc_id are in no class.
+
+    Classes are partitioned by their number of signatures, so that a link
+    stays inside a partition or leads to the next.  In a partition a class is
+    entered under its rarest signatures, as many as leave no way to reach the
+    threshold without one of them.  Classes under one signature meet in cells
+    of bounded size; a cell returns sums for each class, never its pairs.  A
+    first look prunes pairs by length, by the Hamming distance of parity
+    sketches (a lower bound of the sets' difference), and where they share one
+    of a few least signatures that they are entered under.  Only classes that
+    have a pair left there bring their sets to the second, which counts each
+    link under the least signature that both are entered under.
+    """
+    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    live = s.table(fingerprint(text, "text", "sigs").select("doc_id", *named("sigs"), "sigs").where("n > 0"), "sets")
+    seen = live.select(F.explode("sigs").alias("x")).groupBy(F.pmod("x", F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
+    often = [0] * BUCKETS
+    for b, c in seen:
+        often[b] = c
+    # any one order of signatures leaves no link out; rare ones first leave few classes under each
+    rare = f"transform(array_sort(transform(sigs, x -> struct(element_at({literal(often)}, cast(pmod(x, {BUCKETS}) as int) + 1) as c, x))), y -> y.x)"
+    need = f"cast(n - ((n * {num} + {den} - 1) div {den}) + 1 as int)"
+    # bit w * 64 + b of a sketch is the parity of the signatures that fall on it
+    bit = "shiftleft(1L, cast(x & 63 as int))"
+    sketch = f"transform(sequence(0, {WORDS - 1}), w -> aggregate(sigs, 0L, (s, x) -> if(((x >> 6) & {WORDS - 1}) = w, s ^ {bit}, s)))"
+    entered = live.select(*NAMES, "doc_id", F.expr(f"array_sort(slice({rare}, 1, {need}))").alias("under"), F.expr(sketch).alias("sketch"))
+    classes = s.table(entered.groupBy(*NAMES).agg(F.min("doc_id").alias("id"), F.first("under").alias("under"), F.first("sketch").alias("sketch")), "classes")
+    part = F.floor(F.log("n") / F.log(F.lit(den / num)) + 1e-9).cast("int")
+    homes = F.explode(F.array(F.struct(part.alias("part"), F.lit(True).alias("own")), F.struct((part - 1).alias("part"), F.lit(False).alias("own"))))
+    rows = classes.select(*NAMES, homes.alias("home"), "under").select(*NAMES, "home.*", F.explode("under").alias("sig"))
+    held = rows.groupBy("part", "sig").agg(F.count_if("own").alias("owns"), F.count(F.lit(1)).alias("size")).where("owns > 0 and size > 1")
+    held = s.table(held.select("part", "sig", F.ceil(F.col("size") / cell).cast("int").alias("chunks")), "held")
+    dealt = rows.join(if_small(held, 96), ["part", "sig"]).withColumn("chunk", F.pmod(F.xxhash64("h1", F.lit(7)), "chunks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = s.table(dealt.select("part", "sig", "own", *NAMES, "chunk", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj")), "dealt")
+    place = ["part", "sig", "ci", "cj"]
+    may = (
+        f"(x.own or y.own) and (x.h1 <> y.h1 or x.h2 <> y.h2 or x.n <> y.n) and (ci = cj or x.chunk <> y.chunk) and least(x.n, y.n) * {den} >= greatest(x.n, y.n) * {num}"
+        f" and aggregate(sequence(0, {WORDS - 1}), 0, (s, w) -> s + bit_count(x.sketch[w] ^ y.sketch[w])) * {den + num} <= (x.n + y.n) * {den - num}"
+    )
+    first = "not arrays_overlap(x.few, y.few)"
+    short = classes.select(*NAMES, "sketch", F.slice("under", 1, LEAST).alias("least"))
+    look = dealt.join(short, NAMES).withColumn("few", F.expr("filter(least, u -> u < sig)"))
+    x = F.struct("own", "chunk", *NAMES, "sketch", "few").alias("x")
+    look = look.groupBy(*place).agg(F.collect_list(x).alias("xs")).where("size(xs) > 1")
+    left = look.select(*place, F.explode(F.expr(f"filter(xs, x -> exists(xs, y -> {may} and {first}))")).alias("x")).select(*place, "x.own", "x.chunk", *(f"x.{c}" for c in NAMES), "x.sketch")
+    left = s.table(left, "left")
+    # the sets of classes that are left, once for each class
+    names = s.table(left.select(*NAMES).distinct(), "names")
+    wanted = s.table(classes.join(if_small(names, 64), NAMES).select(F.col("id").alias("doc_id"), *NAMES, "under"), "wanted")
+    full = live.join(if_small(wanted.select("doc_id", *NAMES), 64), ["doc_id", *NAMES]).dropDuplicates(NAMES)
+    full = s.table(full.join(wanted.drop("doc_id"), NAMES).select(*NAMES, "sigs", "under"), "full")
+    x = F.struct("own", "chunk", *NAMES, "sketch", "under", "sigs").alias("x")
+    cells = left.join(full, NAMES).groupBy(*place).agg(F.collect_list(x).alias("xs"))
+    both = "size(array_intersect(x.sigs, y.sigs))"
+    linked = f"{may} and array_min(array_intersect(x.under, y.under)) = sig and {both} * {den} >= (x.n + y.n - {both}) * {num}"
+    each = ", ".join(f"x.{c} as {c}" for c in NAMES)
+    sums = cells.select(F.explode(F.expr(f"transform(xs, x -> struct({each}, cast(size(filter(xs, y -> {linked})) as bigint) as links))")).alias("r")).select("r.*").where("links > 0")
+    links = s.table(sums.groupBy(*NAMES).agg(F.sum("links").alias("links")), "links")
+    return s.table(classes.join(links, NAMES, "left").select(*NAMES, F.col("id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "of")
+
+
+def linked_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The edit report with each document's ``class_id`` and its ``links``.
+
+    A fingerprint without signatures links with nothing: its class is the
+    document itself.  Rows with a null doc_id that share a fingerprint with
+    others show their class and links, but count in neither.
     """
     s = Scratch(spark, "spotsigs")
-    sets = fingerprint(docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")), "text", "sigs").where("size(sigs) > 0")
-    classes = s.table(sets.groupBy(F.xxhash64("sigs").alias("h"), F.size("sigs").alias("n")).agg(F.min("doc_id").alias("id"), F.first("sigs").alias("sigs")), "classes")
-    base = 1 / threshold if step is None else step
-    part = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(base))).cast("int")
-    one = classes.select("id", "n", part.alias("part"), F.explode("sigs").alias("sig"))
-    freq = one.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    rank = Window.partitionBy("id").orderBy("df", "sig")
-    need = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    probe = one.join(freq, "sig").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= need).select("id", "n", "part", "sig")
-    probe = s.table(probe, "probe")
-    left = probe.select(F.col("id").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array(F.col("part"), F.col("part") + 1)).alias("part"))
-    right = probe.select(F.col("id").alias("b"), F.col("n").alias("nb"), "sig", "part")
-    near = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["part", "sig"]).where(near & (F.col("na") >= threshold * F.col("nb") - 1e-9)).select("a", "b").distinct()
-    wa, wb = classes.select(F.col("id").alias("a"), F.col("sigs").alias("wa")), classes.select(F.col("id").alias("b"), F.col("sigs").alias("wb"))
-    out = pairs.join(wa, "a").join(wb, "b").withColumn("likeness", likeness("wa", "wb")).where(F.col("likeness") >= threshold)
-    out = s.table(out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness"), "out")
+    of = class_links(s, docs)
+    s.drop(*(s.names - {"of"}))
+    df = edit_report(spark, docs, also=named("sigs")).join(if_small(of, 128), NAMES, "left").drop(*NAMES)
+    out = s.table(df.withColumns({"class_id": F.coalesce("class_id", "doc_id"), "links": F.coalesce("links", F.lit(0).cast("long"))}), "out")
     s.close("out")
     return out
