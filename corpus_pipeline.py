@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, ngram_join, packing, secrets
-from tidemark.llm.queries import read, vocabulary
+from tidemark.llm.queries import WEIGHTS, read, vocabulary
 from tidemark.llm.scratch import Scratch
 
-SEQUENCE = 1024
+SEQUENCE, DOCUMENTS = 1024, 64  # tokens and documents of a sequence, at most
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,8 +82,9 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens in best-fit packed sequences."""
-    return packing.pack(spark, packing.token_pieces(docs, *vocabulary(), SEQUENCE), packing.Capacity(SEQUENCE))
+    """Pieces of at most 1024 tokens in best-fit packed sequences of at most 64 documents."""
+    capacity = packing.Capacity(SEQUENCE, documents=DOCUMENTS, cost=SEQUENCE**2, weights=WEIGHTS)
+    return packing.pack(spark, packing.token_pieces(docs, *vocabulary(), SEQUENCE), capacity)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -94,7 +95,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("pack", pack),
 ]
 
-#: SQL can express neither the models nor the tokenizer; tests hold the stages against brute force.
+#: SQL can express neither the models nor the tokenizer; tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
