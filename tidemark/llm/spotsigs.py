@@ -168,7 +168,9 @@ def class_links(s: Scratch, docs: DataFrame, num: int = 80, den: int = 100, cell
     classes = s.table(entered.groupBy(*NAMES).agg(F.min("doc_id").alias("id"), F.first("under").alias("under"), F.first("sketch").alias("sketch")), "classes")
     part = F.floor(F.log("n") / F.log(F.lit(den / num)) + 1e-9).cast("int")
     homes = F.explode(F.array(F.struct(part.alias("part"), F.lit(True).alias("own")), F.struct((part - 1).alias("part"), F.lit(False).alias("own"))))
-    rows = classes.select(*NAMES, homes.alias("home"), "under").select(*NAMES, "home.*", F.explode("under").alias("sig"))
+    each = classes.select(*NAMES, F.explode("under").alias("sig"))
+    shared = s.table(each.groupBy("sig").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("sig"), "shared")
+    rows = each.join(if_small(shared, 48), "sig").select(*NAMES, "sig", homes.alias("home")).select(*NAMES, "home.*", "sig")
     held = rows.groupBy("part", "sig").agg(F.count_if("own").alias("owns"), F.count(F.lit(1)).alias("size")).where("owns > 0 and size > 1")
     held = s.table(held.select("part", "sig", F.ceil(F.col("size") / cell).cast("int").alias("chunks")), "held")
     dealt = rows.join(if_small(held, 96), ["part", "sig"]).withColumn("chunk", F.pmod(F.xxhash64("h1", F.lit(7)), "chunks").cast("int"))
@@ -195,8 +197,8 @@ def class_links(s: Scratch, docs: DataFrame, num: int = 80, den: int = 100, cell
     cells = left.join(full, NAMES).groupBy(*place).agg(F.collect_list(x).alias("xs"))
     both = "size(array_intersect(x.sigs, y.sigs))"
     linked = f"{may} and array_min(array_intersect(x.under, y.under)) = sig and {both} * {den} >= (x.n + y.n - {both}) * {num}"
-    each = ", ".join(f"x.{c} as {c}" for c in NAMES)
-    sums = cells.select(F.explode(F.expr(f"transform(xs, x -> struct({each}, cast(size(filter(xs, y -> {linked})) as bigint) as links))")).alias("r")).select("r.*").where("links > 0")
+    name = ", ".join(f"x.{c} as {c}" for c in NAMES)
+    sums = cells.select(F.explode(F.expr(f"transform(xs, x -> struct({name}, cast(size(filter(xs, y -> {linked})) as bigint) as links))")).alias("r")).select("r.*").where("links > 0")
     links = s.table(sums.groupBy(*NAMES).agg(F.sum("links").alias("links")), "links")
     return s.table(classes.join(links, NAMES, "left").select(*NAMES, F.col("id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links")), "of")
 
