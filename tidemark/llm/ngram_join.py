@@ -175,10 +175,13 @@ def _set_maker(width: int):
 
 
 def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, fp1, words): sorted shingle hashes of the documents whose id and set are in ``ids``."""
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    """(id, fp1, words): sorted shingle hashes of the documents whose id and set are in the written table ``ids``, a row for each.
+
+    While ``ids`` can be broadcast, no text is shuffled.
+    """
+    wanted = docs.select("doc_id", "text").join(if_small(ids.select(F.col("id").alias("doc_id")), 48), "doc_id", "left_semi")
     sets = wanted.select("doc_id", "text").mapInArrow(_set_maker(width), "id long, fp1 long, words array<long>")
-    return sets.join(ids.select("id", "fp1").distinct(), ["id", "fp1"], "left_semi").dropDuplicates(["id", "fp1"])
+    return sets.join(if_small(ids, 64), ["id", "fp1"], "left_semi").dropDuplicates(["id", "fp1"])
 
 
 def close_pairs(n: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +361,8 @@ def _links(s: Scratch, docs: DataFrame, groups: DataFrame, sketches: DataFrame,
     # two sets that share one of their few least keys count there; whether others share a lesser key is seen where the sets are
     dealt = lambda df: df.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
     maybe = s.table(dealt(cells).mapInArrow(_cells(num, den, False), CELLS).select("id", "fp1", "key", "ci", "cj"), "maybe")
-    sets = s.table(shingle_table(docs, maybe.select("id", "fp1"), width), "sets")
+    wanted = s.table(maybe.select("id", "fp1").distinct(), "wanted")
+    sets = s.table(shingle_table(docs, wanted, width), "sets")
     full = cells.drop("lesser").join(maybe, ["id", "fp1", "key", "ci", "cj"]).join(sets, ["id", "fp1"]).join(own.select("id", "fp1", "own"), ["id", "fp1"])
     full = full.withColumn("lesser", F.expr("filter(own, x -> x < key)")).select("key", "ci", "cj", "chunk", "id", "fp1", "n", "sketch", "lesser", "words")
     return dealt(full).mapInArrow(_cells(num, den, True), CELLS).select("id", "fp1", "links", "up")
