@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, ngram_join, packing, secrets
 from tidemark.llm.queries import WEIGHTS, read, vocabulary
-from tidemark.llm.scratch import Scratch
+from tidemark.llm.scratch import Scratch, if_small
 
 SEQUENCE, DOCUMENTS = 1024, 64  # tokens and documents of a sequence, at most
 
@@ -44,7 +44,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     h = F.xxhash64("text")
     twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min(h).alias("lo"), F.max(h).alias("hi")).where("n > 1")
     twice = s.table(twice, "twice")
-    s.close("twice")
     several = twice.where("lo <> hi").select(F.col("doc_id").alias("__several"))
     df = docs.withColumn("__id", F.col("doc_id"))
     if not several.isEmpty():
@@ -57,9 +56,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         named = groups.join(df.select("__id", "doc_id").distinct(), "__id")
         least = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__id")).alias("least"))
         gone = named.join(least, "component_id").where(F.col("__id") != F.col("least.__id")).select("__id")
-    kept = df.join(gone, "__id", "left_anti").select("__id", *docs.columns)
-    once = kept.join(twice, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns))
+    # what goes is broadcast while it is counted small, and then no text is shuffled
+    gone = s.table(gone, "gone")
+    s.close("twice", "gone")
+    kept = df.join(if_small(gone, 48), "__id", "left_anti").select("__id", *docs.columns)
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    again = if_small(twice.select("doc_id"), 48)
+    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +81,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rated = mixing.mix(spark, docs, read(spark, sf_dir, "labels"))
     # equal rows have equal rates
     copies = rated.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.max("copies").alias("__copies"))
-    df = docs.join(copies, F.expr("doc_id <=> __id and xxhash64(coalesce(text, '')) = __h")).where("__copies > 0")
+    s = Scratch(spark, "copies")
+    copies = s.table(copies.where("__copies > 0"), "copies")
+    s.close("copies")
+    df = docs.join(if_small(copies, 96), F.expr("doc_id <=> __id and xxhash64(coalesce(text, '')) = __h")).where("__copies > 0")
     many = F.explode(F.sequence(F.lit(1), F.col("__copies")))
     return df.withColumn("__i", many).select(*docs.columns)
 
