@@ -86,5 +86,16 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("h")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_sharding, op4_ann, op5_spotsigs, op6_secrets, op7_packing, op8_language_id, op9_warc, op10_mixing)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loops planted in one document of ten, and all periodic runs of all whole texts."""
+    from .runs import digest, periodic_runs, with_loops
+    from .scratch import Scratch
+
+    s = Scratch(spark, "runs")
+    out = s.table(digest(periodic_runs(with_loops(read(spark, sf_dir, "documents")), ["doc_id"])), "out")
+    s.close("out")
+    return out
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_sharding, op4_ann, op5_spotsigs, op6_secrets, op7_packing, op8_language_id, op9_warc, op10_mixing, op13_periodic_runs)}
 ORACLES: dict[str, str] = {}
