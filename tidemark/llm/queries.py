@@ -86,6 +86,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("h")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged by a fixed rule, and the cheapest repair of each."""
+    from .repair import repaired_report
+
+    return repaired_report(spark, read(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loops planted in one document of ten, and all periodic runs of all whole texts."""
     from .runs import digest, periodic_runs, with_loops
@@ -97,5 +104,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_sharding, op4_ann, op5_spotsigs, op6_secrets, op7_packing, op8_language_id, op9_warc, op10_mixing, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_pii, op3_sharding, op4_ann, op5_spotsigs, op6_secrets, op7_packing, op8_language_id, op9_warc, op10_mixing, op12_conversation_repair, op13_periodic_runs)}
 ORACLES: dict[str, str] = {}
