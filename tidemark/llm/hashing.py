@@ -14,6 +14,7 @@ import pyarrow as pa
 U = np.uint64
 _P = 0x9E3779B97F4A7C15
 _K = U(0xD6E8FEB86659FD93)
+SPACES = (32, 9, 10, 11, 12, 13)
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -90,6 +91,24 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return w, np.searchsorted(s, o).astype(np.int64)
 
 
+def word_runs(data: np.ndarray, off: np.ndarray, most: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes and word offsets of slices of rows of about ``most`` bytes; a longer row is hashed in parts that end at white space."""
+    for i, j in slices(off, most):
+        a, b = int(off[i]), int(off[j])
+        if b - a <= 2 * most:
+            yield word_hashes(data, off[i : j + 1])
+            continue
+        parts = []
+        while a < b:
+            c = min(a + most, b)
+            while c < b and data[c] not in SPACES:
+                c += 1
+            parts.append(word_hashes(data, np.array([a, c]))[0])
+            a = c
+        w = np.concatenate(parts)
+        yield w, np.array([0, len(w)])
+
+
 def shingle_sets(w: np.ndarray, wo: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each row, one after another, and offsets.
 
