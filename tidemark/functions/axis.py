@@ -14,8 +14,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window
 from pyspark.sql.window import WindowSpec
 
@@ -107,6 +110,74 @@ def in_chunks(df: DataFrame, axis: Axis, op: Callable[[DataFrame, Axis], DataFra
     return done.withColumnRenamed("__pos", keep) if keep else done.drop("__pos")
 
 
+def rolling_extremes(df: DataFrame, axis: Axis, into: dict[str, tuple[str, str]], n: int, least: int | None = None) -> DataFrame:
+    """``df`` with ("min" or "max", x) over ``n`` trailing rows; null unless ``least`` (by default all) of them are not null.
+
+    A bounded frame of a minimum costs Spark n steps a row.  Here rows stand in
+    blocks of n: a window ends in one block and starts in it or the one
+    before, so its extreme is that of the block's head up to the row and of
+    the tail of the block before, both running.  Work for a row does not
+    depend on n.
+    """
+    least = n if least is None else least
+    keys, order = list(axis.keys), [axis.ts, *axis.tie]
+    known = {f"__n_{x}": F.count(x).over(axis.wall) for _, x in into.values()}
+    df = df.withColumn("__row", F.row_number().over(axis.ordered) - 1).withColumns(known)
+    df = df.withColumn("__block", F.floor(F.col("__row") / n))
+    head = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    tail = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    how = {"min": (F.min, F.least), "max": (F.max, F.greatest)}
+    df = df.withColumns({f"__h_{c}": how[kind][0](x).over(head) for c, (kind, x) in into.items()})
+    df = df.withColumns({f"__t_{c}": how[kind][0](x).over(tail) for c, (kind, x) in into.items()})
+    out = {}
+    for c, (kind, x) in into.items():
+        held = F.col(f"__n_{x}") - F.coalesce(F.lag(f"__n_{x}", n).over(axis.ordered), F.lit(0))
+        out[c] = F.when(held >= least, how[kind][1](F.col(f"__h_{c}"), F.lag(f"__t_{c}", n - 1).over(axis.ordered)))
+    return df.withColumns(out).drop("__row", "__block", *known, *(f"__{p}_{c}" for p in "ht" for c in into))
+
+
+def trailing_below(df: DataFrame, axis: Axis, x: str, n: int, into: str) -> DataFrame:
+    """``df`` with how many of the ``n`` trailing rows hold less than the row's own ``x``; nulls are below nothing and have none below.
+
+    Values become ranks, and a merge-sort tree over a series counts the
+    smaller ones before any row: log2 of the series' length lookups a row,
+    whatever n is.  Use it inside ``in_chunks``, which bounds the series.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField(into, T.LongType())])
+    order = [axis.ts, *axis.tie]
+
+    def count(t: pa.Table) -> pa.Table:
+        t = t.sort_by([(c, "ascending") for c in order])
+        v = t.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False)
+        return t.append_column(into, pa.array(smaller_trailing(v, n)))
+
+    return df.groupBy(*axis.keys).applyInArrow(count, schema)
+
+
+def smaller_trailing(v: np.ndarray, n: int) -> np.ndarray:
+    """For each i how many of v[i-n+1 .. i] are below v[i]; NaN is below nothing."""
+    m = len(v)
+    rank = np.full(m, m, np.int64)
+    real = ~np.isnan(v)
+    rank[real] = np.unique(v[real], return_inverse=True)[1]
+    upto = np.arange(m)
+
+    def before(end: np.ndarray) -> np.ndarray:
+        """How many of the first ``end`` values are below each row's own."""
+        got = np.zeros(m, np.int64)
+        for k in range(int(m).bit_length()):
+            here = (end >> k) & 1 == 1  # a sorted block of 2**k values ends where the higher bits of ``end`` do
+            if here.any():
+                block = (end[here] >> (k + 1)) << 1
+                at = np.searchsorted(levels[k], block * (m + 1) + rank[here])
+                got[here] += at - (block << k)
+        return got
+
+    levels = [np.sort((upto >> k) * (m + 1) + rank) for k in range(int(m).bit_length())]
+    below = before(upto) - before(np.maximum(upto - n + 1, 0))
+    return np.where(real, below, 0)
+
+
 def hand_on(df: DataFrame, axis: Axis, ends: dict[str, Column], chain: Callable[[WindowSpec, WindowSpec], dict[str, Column]]) -> DataFrame:
     """``df`` (with __span) joined with what its span is handed by those before.
 

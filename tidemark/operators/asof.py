@@ -4,6 +4,13 @@ An as-of join is a union and a window, not a range join: both sides are cut
 into spans of time, inside a span the last right row seen so far is carried,
 and what earlier spans leave behind comes from a slim table with a row for
 each span.  A single long series is therefore spread over many tasks.
+
+A series that all symbols look up (rates, weekly reports) has no key that
+would spread the left rows.  While its counted rows are few it becomes a
+broadcast step function: a row for each stretch of time with the steps inside,
+searched by halves, so the left side is not shuffled at all.  Beyond that the
+left rows are dealt over hash buckets of each span and the series is repeated
+for each bucket.
 """
 
 from __future__ import annotations
@@ -13,11 +20,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.axis import col
+from ..session import cut
 
 DAY = 86_400
+STEPS = 1 << 18  # rows of a series that is broadcast, at most
+PARTS = 1 << 16  # stretches of time of a broadcast series, at most
+INSIDE = 256  # steps inside a stretch, at most
+DEALT = 64  # hash buckets of each span's left rows, for a longer series
 
 
-def _asof(left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_t: Column, right_t: Column, carry: list[str], into: str, sign: int, span_s: int) -> DataFrame:
+def _asof(left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_t: Column, right_t: Column, carry: list[str], into: str, sign: int, span_s: int, deal: int = 1) -> DataFrame:
+    """``deal``: each span's left rows are dealt over so many buckets by hash, and the right rows repeated for each."""
     names = left.columns
     micros = lambda t: F.unix_micros(t.cast("timestamp")) * sign
     r = right.select(*keys, micros(right_t).alias("__t"), *carry).where("__t is not null")
@@ -26,6 +39,9 @@ def _asof(left: DataFrame, right: DataFrame, keys: tuple[str, ...], left_t: Colu
     l = left.select(*keys, micros(left_t).alias("__t"), row.alias("__row"), F.lit(1).alias("__side"))
     rows = l.unionByName(r, allowMissingColumns=True).withColumn("__span", F.floor(F.col("__t") / (span_s * 1_000_000)))
     inside = Window.partitionBy(*keys, "__span").orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
+    if deal > 1:
+        rows = rows.withColumn("__deal", F.explode(F.when(F.col("__side") == 1, F.array(F.pmod(F.xxhash64(F.col("__row")), F.lit(deal)))).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long")))))
+        inside = Window.partitionBy(*keys, "__span", "__deal").orderBy("__t", "__side", "__v").rowsBetween(Window.unboundedPreceding, 0)
     spans = rows.groupBy(*keys, "__span").agg(F.max("__v").alias("__v"))
     before = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
     carried = spans.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__span").alias("__s"), F.last("__v", ignorenulls=True).over(before).alias("__c"))
@@ -50,6 +66,55 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = (),
     return _asof(left, right, keys, col(left_ts), stamp, carry, into, 1, span_days * DAY)
 
 
+def _steps(series: DataFrame, lo: int, width: int, parts: int) -> DataFrame:
+    """(part, steps): for each of ``parts`` stretches of time the sorted steps inside it, after the last one before."""
+    part = F.expr(f"cast((t - {lo}) div {width} as int)")
+    inside = series.groupBy(part.alias("part")).agg(F.array_sort(F.collect_list(F.struct("t", "v"))).alias("inside"))
+    every = series.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # of at most PARTS rows
+    filled = every.join(inside, "part", "left").withColumn("last", F.last(F.try_element_at("inside", F.lit(-1)), True).over(before))
+    return filled.select("part", F.filter(F.concat(F.array("last"), F.coalesce("inside", F.expr("filter(array(last), x -> false)"))), lambda x: x.isNotNull()).alias("steps"))
+
+
+def _step_at(steps: str, t: str) -> Column:
+    """The last of the sorted ``steps`` at or before ``t``, searched by halves."""
+    mid = "cast((s.a + s.b) div 2 as int)"
+    halve = f"if({steps}[{mid}].t <= {t}, named_struct('a', {mid} + 1, 'b', s.b), named_struct('a', s.a, 'b', {mid}))"
+    # a: steps known to be at or before t; b: as many at most
+    found = f"aggregate(sequence(0, cast(log2(size({steps}) + 1) as int)), named_struct('a', 0, 'b', size({steps})), (s, i) -> if(s.a < s.b, {halve}, s), s -> s.a)"
+    return F.expr(f"if({t} is null, null, get({steps}, {found} - 1))")
+
+
+def asof_series(left: DataFrame, series: DataFrame, left_ts: str = "ts", right_ts: str = "ts", carry: list[str] | None = None, lag_days: int = 0, into: str = "matched", most: int = STEPS, deal: int = DEALT, span_days: int = 32) -> DataFrame:
+    """``asof_backward`` to one series that rows of all keys look up.
+
+    Of rows with the same stamp the one with the largest values counts, as in
+    ``asof_backward``.  ``series`` is computed once and counted; up to ``most``
+    rows, if no short stretch of time holds very many of them, it is broadcast
+    as a step function.
+    """
+    stamp = F.timestamp_seconds(F.unix_seconds(col(right_ts).cast("timestamp")) + lag_days * DAY) if lag_days else col(right_ts)
+    carry = [c for c in series.columns if c != right_ts] if carry is None else carry
+    series = cut(series.select(F.unix_micros(stamp.cast("timestamp")).alias("t"), F.struct(*carry).alias("v")).where("t is not null"))
+    n, lo, hi = series.agg(F.count(F.lit(1)), F.min("t"), F.max("t")).first()
+    if not n:
+        kind = series.schema["v"].dataType
+        fields = [F.lit(None).cast("timestamp").alias("ts"), *(F.lit(None).cast(kind[c].dataType).alias(c) for c in carry)]
+        return left.withColumn(into, F.when(F.lit(False), F.struct(*fields)))
+    parts = min(PARTS, n)
+    width = (hi - lo) // parts + 1
+    if n <= most and series.groupBy(F.expr(f"(t - {lo}) div {width}")).count().agg(F.max("count")).first()[0] <= INSIDE:
+        steps = F.broadcast(_steps(series, lo, width, parts))
+        t = F.unix_micros(col(left_ts).cast("timestamp"))
+        part = F.expr(f"cast(least(greatest((__t - {lo}) div {width}, 0), {parts - 1}) as int)")
+        out = left.withColumn("__t", t).withColumn("__part", part).join(steps.withColumnRenamed("part", "__own"), F.col("__part") == F.col("__own"), "left")
+        got = out.withColumn("__got", _step_at("steps", "__t"))
+        fields = [F.timestamp_micros("__got.t").alias("ts"), *(F.col(f"__got.v.{c}").alias(c) for c in carry)]
+        return got.select(*left.columns, F.when(F.col("__got").isNotNull(), F.struct(*fields)).alias(into))
+    right = series.select(F.timestamp_micros("t").alias("__at"), "v.*")
+    return _asof(left, right, (), col(left_ts), F.col("__at"), carry, into, 1, span_days * DAY, deal)
+
+
 def asof_forward(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = (), left_ts: str = "ts", right_ts: str = "ts", carry: list[str] | None = None, tolerance_hours: float | None = None, into: str = "matched", span_days: int = 32) -> DataFrame:
     """``left`` with the first right row at or after each row, null beyond the tolerance."""
     carry = [c for c in right.columns if c not in (*keys, right_ts)] if carry is None else carry
@@ -64,7 +129,7 @@ def align_macro(bars: DataFrame, series: DataFrame, lag_days: int = 1, value: st
     """``bars`` with the value published by then: a day's value counts ``lag_days`` days later."""
     if lag_days < 1:
         raise ValueError("a day's value is not known on the day: lag_days must be at least 1")
-    out = asof_backward(bars, series, (), ts, "obs_date", [value], lag_days, "__macro")
+    out = asof_series(bars, series, ts, "obs_date", [value], lag_days, "__macro")
     return out.withColumn(into, F.col(f"__macro.{value}")).drop("__macro")
 
 
@@ -73,7 +138,7 @@ def align_positioning(bars: DataFrame, cot: DataFrame, currency: str, release_la
     if release_lag_days < 4:
         raise ValueError("reports come out on the Friday after: release_lag_days must be at least 4")
     own = cot.where(F.col("currency") == currency).drop("currency")
-    return asof_backward(bars, own, (), ts, "report_date", None, release_lag_days, into)
+    return asof_series(bars, own, ts, "report_date", None, release_lag_days, into)
 
 
 def pair_lead(pred: DataFrame, tgt: DataFrame, keys: tuple[str, ...] = (), max_gap_hours: float = 84) -> DataFrame:
