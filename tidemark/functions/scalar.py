@@ -20,6 +20,14 @@ def clip(x: str | Column, low: float, high: float) -> Column:
     return F.when(col(x).isNotNull(), F.least(F.greatest(col(x), F.lit(low)), F.lit(high)))
 
 
+def held_upto(values: str, x: str, field: str = "") -> str:
+    """How many of the sorted array ``values`` (or of a field of its structs) are at most ``x``, searched by halves: an SQL expression."""
+    mid = "cast((s.a + s.b) div 2 as int)"
+    halve = f"if({values}[{mid}]{field} <= {x}, named_struct('a', {mid} + 1, 'b', s.b), named_struct('a', s.a, 'b', {mid}))"
+    # a: values known to be at most x; b: as many at most
+    return f"aggregate(sequence(0, cast(log2(size({values}) + 1) as int)), named_struct('a', 0, 'b', size({values})), (s, i) -> if(s.a < s.b, {halve}, s), s -> s.a)"
+
+
 def flag(condition: Column) -> Column:
     """1.0 where the condition holds, else 0.0."""
     return F.when(condition, 1.0).otherwise(0.0)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.axis import col
+from ..functions.scalar import held_upto
 from ..session import cut
 
 DAY = 86_400
@@ -76,15 +77,6 @@ def _steps(series: DataFrame, lo: int, width: int, parts: int) -> DataFrame:
     return filled.select("part", F.filter(F.concat(F.array("last"), F.coalesce("inside", F.expr("filter(array(last), x -> false)"))), lambda x: x.isNotNull()).alias("steps"))
 
 
-def _step_at(steps: str, t: str) -> Column:
-    """The last of the sorted ``steps`` at or before ``t``, searched by halves."""
-    mid = "cast((s.a + s.b) div 2 as int)"
-    halve = f"if({steps}[{mid}].t <= {t}, named_struct('a', {mid} + 1, 'b', s.b), named_struct('a', s.a, 'b', {mid}))"
-    # a: steps known to be at or before t; b: as many at most
-    found = f"aggregate(sequence(0, cast(log2(size({steps}) + 1) as int)), named_struct('a', 0, 'b', size({steps})), (s, i) -> if(s.a < s.b, {halve}, s), s -> s.a)"
-    return F.expr(f"if({t} is null, null, get({steps}, {found} - 1))")
-
-
 def asof_series(left: DataFrame, series: DataFrame, left_ts: str = "ts", right_ts: str = "ts", carry: list[str] | None = None, lag_days: int = 0, into: str = "matched", most: int = STEPS, deal: int = DEALT, span_days: int = 32) -> DataFrame:
     """``asof_backward`` to one series that rows of all keys look up.
 
@@ -108,7 +100,7 @@ def asof_series(left: DataFrame, series: DataFrame, left_ts: str = "ts", right_t
         t = F.unix_micros(col(left_ts).cast("timestamp"))
         part = F.expr(f"cast(least(greatest((__t - {lo}) div {width}, 0), {parts - 1}) as int)")
         out = left.withColumn("__t", t).withColumn("__part", part).join(steps.withColumnRenamed("part", "__own"), F.col("__part") == F.col("__own"), "left")
-        got = out.withColumn("__got", _step_at("steps", "__t"))
+        got = out.withColumn("__got", F.expr(f"if(__t is null, null, get(steps, {held_upto('steps', '__t', '.t')} - 1))"))
         fields = [F.timestamp_micros("__got.t").alias("ts"), *(F.col(f"__got.v.{c}").alias(c) for c in carry)]
         return got.select(*left.columns, F.when(F.col("__got").isNotNull(), F.struct(*fields)).alias(into))
     right = series.select(F.timestamp_micros("t").alias("__at"), "v.*")

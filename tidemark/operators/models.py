@@ -9,6 +9,7 @@ at once.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
@@ -23,6 +24,7 @@ from pyspark.sql import Window
 from ..functions.axis import Axis, number
 from ..functions.scalar import divide
 from ..session import cut
+from .isotonic import fit_isotonic, interpolate
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,10 @@ class Splitter:
         out = out.withColumn("train_lo", F.lit(0).cast("long") if self.mode == "expanding" else start)
         return out.withColumn("test_lo", F.col("train_hi") + self.embargo).withColumn("test_hi", F.col("test_lo") + self.test)
 
+    def first_training(self, pos: Column) -> Column:
+        """The first fold that learns from a position."""
+        return F.greatest(F.lit(0).cast("long"), F.floor((pos - self.train) / self.by) + 1)
+
     def test_folds(self, pos: str = "pos", n: str = "n") -> Column:
         """The folds that test a position, as an array."""
         at = F.col(pos) - (self.train + self.embargo)
@@ -66,6 +72,39 @@ class Splitter:
         return F.when((at >= 0) & (last >= first), F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
 
 
+@dataclass(frozen=True)
+class Held(Splitter):
+    """The folds of a splitter that learn from all but the last ``share`` of their training range."""
+
+    def __init__(self, of: Splitter, share: float):
+        for k in ("train", "test", "embargo", "mode", "step"):
+            object.__setattr__(self, k, getattr(of, k))
+        object.__setattr__(self, "share", share)
+
+    def held(self, fold: Column) -> Column:
+        """Rows of a fold's training range that are held back."""
+        size = F.lit(self.train) + (fold * self.by if self.mode == "expanding" else 0)
+        return F.floor(size * self.share)
+
+    def end(self, fold: Column) -> Column:
+        """The first position that is held back."""
+        return fold * self.by + self.train - self.held(fold)
+
+    def first_training(self, pos: Column) -> Column:
+        if self.mode == "rolling":
+            return F.greatest(F.lit(0).cast("long"), F.floor((pos - (self.train - math.floor(self.train * self.share))) / self.by) + 1)
+        # a range's end less its share is within one row of (1 - share) of it
+        least = F.greatest(F.lit(0).cast("long"), F.floor(((pos - 1) / (1 - self.share) - self.train) / self.by))
+        near = F.sequence(least, least + (math.ceil(2 / ((1 - self.share) * self.by)) + 2))
+        return F.try_element_at(F.filter(near, lambda f: self.end(f) > pos), F.lit(1))
+
+    def held_folds(self, pos: str = "pos", n: str = "n") -> Column:
+        """The folds that hold a position back, as an array."""
+        first = Splitter.first_training(self, F.col(pos))
+        last = F.least(self.first_training(F.col(pos)) - 1, F.floor((F.col(n) - (self.train + self.embargo + self.test)) / self.by))
+        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+
 def with_positions(df: DataFrame, axis: Axis) -> DataFrame:
     """``df`` with pos and the series' size n."""
     df = number(df, axis, "pos")
@@ -80,7 +119,7 @@ def fold_sums(df: DataFrame, axis: Axis, splitter: Splitter, sums: dict[str, Col
     these slim segments, in fold order: no fold meets the segments of others.
     """
     keys = list(axis.keys)
-    enter = F.greatest(F.lit(0).cast("long"), F.floor((F.col("pos") - splitter.train) / splitter.by) + 1)
+    enter = splitter.first_training(F.col("pos"))
     seg = df.groupBy(*keys, enter.alias("fold")).agg(*(F.sum(v).alias(k) for k, v in sums.items()))
     if splitter.mode == "rolling":
         leave = F.floor(F.col("pos") / splitter.by) + 1
@@ -205,7 +244,42 @@ class Ridge:
         return joined.withColumn("prediction", y).drop("beta")
 
 
-BASELINES: dict[str, Model] = {"buy_and_hold": BuyAndHold(), "random": RandomSignal(), "naive_momentum": Slope(), "mean_reversion": Slope("f_z_close_96", "mean_reversion"), "ridge": Ridge()}
+@dataclass(frozen=True)
+class Calibrated:
+    """A model whose predictions pass through an isotonic map of its own, fold by fold.
+
+    The model learns from the earlier part of a fold's training range and the
+    map from the last ``share`` of it, never from a test row.  A fold whose
+    last part has fewer than ``min_rows`` rows learns from all of it and has no
+    map.
+    """
+
+    base: Model
+    share: float = 0.3
+    min_rows: int = 50
+    name: str = "calibrated"
+
+    def __post_init__(self):
+        if not 0 < self.share < 1:
+            raise ValueError("share must be above 0 and below 1")
+
+    def fit(self, df, axis, splitter):
+        keys = [*axis.keys, "fold"]
+        early = Held(splitter, self.share)
+        enough = early.held(F.col("fold")) >= self.min_rows
+        params = self.base.fit(df, axis, early).where(enough).unionByName(self.base.fit(df, axis, splitter).where(~enough))
+        params = cut(params)  # read for the maps and for the predictions
+        last = df.withColumn("fold", F.explode(early.held_folds())).where(enough)
+        maps = fit_isotonic(self.base.predict(last, params, axis), keys, "prediction", "y", self.min_rows)
+        return params.join(maps.select(*keys, F.col("xs").alias("__x"), F.col("ys").alias("__y")), keys, "left")
+
+    def predict(self, rows, params, axis):
+        keys = [*axis.keys, "fold"]
+        raw = self.base.predict(rows, params.drop("__x", "__y"), axis)
+        return raw.join(params.select(*keys, "__x", "__y"), keys).withColumn("prediction", interpolate("__x", "__y", "prediction")).drop("__x", "__y")
+
+
+BASELINES: dict[str, Model] = {"buy_and_hold": BuyAndHold(), "random": RandomSignal(), "naive_momentum": Slope(), "mean_reversion": Slope("f_z_close_96", "mean_reversion"), "ridge": Ridge(), "calibrated_momentum": Calibrated(Slope(), name="calibrated_momentum"), "calibrated_ridge": Calibrated(Ridge(), name="calibrated_ridge")}
 
 
 def walk_forward(df: DataFrame, axis: Axis, splitter: Splitter, models: dict[str, Model]) -> DataFrame:
@@ -248,13 +322,9 @@ def isotonic(spark: SparkSession, known: DataFrame, new: DataFrame, prediction:
 
     With fewer than ``min_rows`` known rows the prediction stays as it is.
     """
-    from pyspark.ml.regression import IsotonicRegression
-
-    known = known.where(F.col(prediction).isNotNull() & F.col(realized).isNotNull())
-    if known.count() < min_rows:
-        return new.withColumn("calibrated", F.col(prediction))
-    model = IsotonicRegression(featuresCol=prediction, labelCol=realized, predictionCol="calibrated", isotonic=True).fit(known.select(prediction, realized))
-    return model.transform(new.where(F.col(prediction).isNotNull())).unionByName(new.where(F.col(prediction).isNull()).withColumn("calibrated", F.lit(None).cast("double")))
+    fitted = fit_isotonic(known, [], prediction, realized, min_rows).select(F.col("xs").alias("__x"), F.col("ys").alias("__y"))
+    # one row
+    return new.join(F.broadcast(fitted), how="left").withColumn("calibrated", interpolate("__x", "__y", prediction)).drop("__x", "__y")
 
 
 def calibration_split(df: DataFrame, share: float = 0.3, pos: str = "pos", end: str = "n") -> DataFrame:

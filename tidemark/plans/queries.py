@@ -435,6 +435,29 @@ def baseline_predictions(spark, d):
     return rounded(out.select("symbol", "ts", F.col("fold").cast("long").alias("fold"), "model", "prediction"))
 
 
+#: Isotonic fits by the max-min formula: of knots (g, i, x, w, s) numbered from 1 in order of x, the fit of knot i is the largest over a <= i of the least mean of a .. b over b >= i.
+_MAXMIN = """cu AS (SELECT *, sum(w) OVER (PARTITION BY g ORDER BY i) AS cw, sum(s) OVER (PARTITION BY g ORDER BY i) AS cs FROM kn),
+ab AS (SELECT a.g, a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM cu a JOIN cu b ON a.g = b.g AND a.i <= b.i),
+am AS (SELECT g, a, b AS i, min(m) OVER (PARTITION BY g, a ORDER BY b DESC) AS m FROM ab), iso AS (SELECT am.g, am.i, kn.x, max(am.m) AS y FROM am JOIN kn ON kn.g = am.g AND kn.i = am.i GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {_POS}, he AS (SELECT *, CAST(floor(train_hi * 0.3::DOUBLE) AS BIGINT) AS held FROM fo), sl AS (SELECT he.symbol, he.fold, covar_samp(f_mom_12, y) / var_pop(f_mom_12) AS slope FROM he JOIN dp ON he.symbol = dp.symbol AND dp.pos < train_hi - held GROUP BY 1, 2),
+ca AS (SELECT he.symbol, he.fold, slope * f_mom_12 AS x, y FROM he JOIN dp ON he.symbol = dp.symbol AND dp.pos >= train_hi - held AND dp.pos < train_hi JOIN sl ON sl.symbol = he.symbol AND sl.fold = he.fold),
+kx AS (SELECT symbol || ':' || fold AS g, x, CAST(count(*) AS DOUBLE) AS w, sum(y) AS s FROM ca GROUP BY 1, 2), kn AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY x) AS i FROM kx), {_MAXMIN},
+te AS (SELECT he.symbol, he.fold, ts, he.symbol || ':' || he.fold AS g, slope * f_mom_12 AS raw FROM he JOIN dp ON he.symbol = dp.symbol AND dp.pos >= test_lo AND dp.pos < test_hi JOIN sl ON sl.symbol = he.symbol AND sl.fold = he.fold),
+lo AS (SELECT te.*, iso.x AS x0, iso.y AS y0 FROM te ASOF LEFT JOIN iso ON te.g = iso.g AND te.raw >= iso.x), bo AS (SELECT lo.*, iso.x AS x1, iso.y AS y1 FROM lo ASOF LEFT JOIN iso ON lo.g = iso.g AND lo.raw <= iso.x)
+SELECT symbol, {SEC}, CAST(fold AS BIGINT) AS fold, {R('raw')} AS raw, {R('CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x1 = x0 THEN y0 ELSE y0 + (raw - x0) * (y1 - y0) / (x1 - x0) END')} AS calibrated FROM bo""")
+def calibrated_predictions(spark, d):
+    """Momentum calibrated inside each fold, beside what the same slopes predict without the maps."""
+    df = models.with_positions(cut(dataset(spark, d)), AXIS)
+    rows, model = models.test_rows(df, SPLIT), models.BASELINES["calibrated_momentum"]
+    params = cut(model.fit(df, AXIS, SPLIT))
+    done = model.predict(rows, params, AXIS)
+    raw = model.base.predict(rows, params.drop("__x", "__y"), AXIS).select("symbol", "pos", "fold", F.col("prediction").alias("raw"))
+    out = done.join(raw, ["symbol", "pos", "fold"])
+    return rounded(out.select("symbol", "ts", F.col("fold").cast("long").alias("fold"), "raw", F.col("prediction").alias("calibrated")))
+
+
 @query()
 def ridge_predictions(spark, d):
     out = models.walk_forward(dataset(spark, d), AXIS, SPLIT, {k: models.BASELINES[k] for k in ("ridge", "random")})
@@ -600,7 +623,8 @@ def calibration_report(spark, d):
     return rounded(models.calibration_report(_forecasts(spark, d), "p", "y"))
 
 
-@query()
+@query(f"""WITH {_FC}, kx AS (SELECT 0 AS g, p AS x, CAST(count(*) AS DOUBLE) AS w, CAST(sum(y) AS DOUBLE) AS s FROM fc GROUP BY p), kn AS (SELECT *, row_number() OVER (ORDER BY x) AS i FROM kx), {_MAXMIN}
+SELECT doc_id, {R('p', 6)} AS p, {R('iso.y', 6)} AS calibrated FROM fc JOIN iso ON fc.p = iso.x""")
 def isotonic_calibration(spark, d):
     f = _forecasts(spark, d)
     return rounded(models.isotonic(spark, f, f, "p", "y").select("doc_id", "p", "calibrated"), 6)
