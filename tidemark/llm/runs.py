@@ -28,8 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIMES = (2_147_483_647, 2_147_483_629)
-PAIRS = 1 << 20
-SLICE = 2_000_000
+PAIRS = 1 << 18
+SLICE = 500_000
 RUN = "struct<start:bigint,length:bigint,period:bigint>"
 WORD = r"[\x20\x09-\x0D]+"
 
