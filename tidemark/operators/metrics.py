@@ -10,6 +10,7 @@ from pyspark.sql import Window
 
 from ..functions.axis import GRAIN, Axis, hand_on, in_span, number
 from ..functions.scalar import divide
+from ..session import cut
 
 
 def with_equity(df: DataFrame, axis: Axis, ret: str, also: dict[str, str] | None = None, grain: str = GRAIN) -> DataFrame:
@@ -72,32 +73,64 @@ def fold_spread(folds: DataFrame, keys: list[str], metrics: list[str]) -> DataFr
     return long.groupBy(*keys, "metric").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
 
 
-def bootstrap_sharpe(df: DataFrame, axis: Axis, ret: str, bars_per_year: int, block: int = 96, resamples: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
-    """(keys, lo, hi): circular block bootstrap interval of the Sharpe ratio.
+def sharpe_of(bars_per_year: int) -> Column:
+    """The Sharpe ratio from a resample's number, sum and sum of squares."""
+    mean = F.col("s1") / F.col("n")
+    var = (F.col("s2") - F.col("n") * mean * mean) / (F.col("n") - 1)
+    return F.when(var > 1e-30, mean / F.sqrt(var)) * math.sqrt(bars_per_year)
+
+
+#: What a stretch of returns r is summed up into: how rows are taken in, and how two stretches merge.
+STATES = {"s1": (lambda r: F.sum(r), lambda a, b: a + b), "s2": (lambda r: F.sum(r * r), lambda a, b: a + b), "growth": (lambda r: F.product(1 + r), lambda a, b: a * b)}
+
+
+def _stretches(ring: DataFrame, keys: list[str], length: Column) -> DataFrame:
+    """(keys, pos, states): the states of the ``length`` returns from each position on.
 
-    A resample needs only the sums of its blocks, and those are moving sums
-    known for every start; so a resample joins one row for each block drawn,
-    not each return.  Starts come from hashes and do not depend on
+    Positions stand in cells of that length.  A stretch is the tail of a cell
+    and the head of the next, both running inside their cell, so no task needs
+    more of a series than a cell.
+    """
+    ring = ring.withColumn("__len", length).where(F.col("__len") > 0).withColumn("__cell", F.floor(F.col("pos") / F.col("__len")))
+    cell = Window.partitionBy(*keys, "__cell").orderBy("pos")
+    head, tail = cell.rowsBetween(Window.unboundedPreceding, 0), cell.rowsBetween(0, Window.unboundedFollowing)
+    r = F.col("r")
+    heads = ring.select(*keys, (F.col("pos") - F.col("__len") + 1).alias("pos"), *(f(r).over(head).alias(f"__h_{c}") for c, (f, _) in STATES.items()))
+    tails = ring.select(*keys, "pos", "n", "__len", *(f(r).over(tail).alias(f"__t_{c}") for c, (f, _) in STATES.items())).where("pos < n")
+    both = tails.join(heads, [*keys, "pos"])
+    alone = F.col("pos") % F.col("__len") == 0
+    return both.select(*keys, "pos", *(F.when(alone, F.col(f"__t_{c}")).otherwise(merge(F.col(f"__t_{c}"), F.col(f"__h_{c}"))).alias(c) for c, (_, merge) in STATES.items()))
+
+
+def bootstrap(df: DataFrame, axis: Axis, ret: str, statistics: dict[str, Column], block: int = 96, resamples: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(keys, <name>_lo, <name>_hi): circular block bootstrap intervals of statistics of n, s1, s2 (sums of r and its square) and growth (product of 1 + r).
+
+    A resample merges the states of its blocks, which are known for every
+    start, so it joins one row for each block drawn, not each return.  The
+    last block is cut so that a resample is as long as the series.  Starts
+    come from checksums of keys, resample, block and seed and do not depend on
     partitioning.  A series shorter than a block gives nulls.
     """
-    r = number(df.where(F.col(ret).isNotNull()).select(*axis.keys, axis.ts, F.col(ret).alias("r")), axis, "pos").select(*axis.keys, "pos", "r")
-    n = r.groupBy(*axis.keys).agg(F.count(F.lit(1)).alias("n"))
-    r = r.join(n, list(axis.keys)).where(F.col("n") >= block)
+    keys = list(axis.keys)
+    r = cut(number(df.where(F.col(ret).isNotNull()).select(*keys, axis.ts, F.col(ret).alias("r")), axis, "pos").select(*keys, "pos", "r"))
+    n = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    r = r.join(n, keys).where(F.col("n") >= block)
     ring = r.unionByName(r.where(F.col("pos") < block).withColumn("pos", F.col("pos") + F.col("n")))
-    ahead = lambda k: Window.partitionBy(*axis.keys).orderBy("pos").rowsBetween(0, k - 1)
-    rest = F.when(F.row_number().over(Window.partitionBy(*axis.keys).orderBy("pos")).isNotNull(), F.pmod("n", F.lit(block)))
-    sums = ring.withColumns({"s1": F.sum("r").over(ahead(block)), "s2": F.sum(F.col("r") * F.col("r")).over(ahead(block)), "c1": F.sum("r").over(Window.partitionBy(*axis.keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), "c2": F.sum(F.col("r") * F.col("r")).over(Window.partitionBy(*axis.keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), "rest": rest})
-    upto = sums.select(*axis.keys, F.col("pos").alias("end"), F.coalesce("c1", F.lit(0.0)).alias("e1"), F.coalesce("c2", F.lit(0.0)).alias("e2"))
-    part = sums.withColumn("end", F.col("pos") + F.col("rest")).join(upto, [*axis.keys, "end"]).where("pos < n")
-    part = part.select(*axis.keys, "pos", "s1", "s2", (F.col("e1") - F.coalesce("c1", F.lit(0.0))).alias("p1"), (F.col("e2") - F.coalesce("c2", F.lit(0.0))).alias("p2"))
-    draws = n.where(F.col("n") >= block).withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    draws = draws.withColumn("pos", F.pmod(F.xxhash64(*axis.keys, "rep", "b", F.lit(seed)), F.col("n"))).withColumn("cut", (F.col("b") == F.col("blocks") - 1) & (F.pmod("n", F.lit(block)) != 0))
-    got = draws.join(part, [*axis.keys, "pos"]).groupBy(*axis.keys, "rep").agg(F.max("n").alias("n"), F.sum(F.when(F.col("cut"), F.col("p1")).otherwise(F.col("s1"))).alias("t1"), F.sum(F.when(F.col("cut"), F.col("p2")).otherwise(F.col("s2"))).alias("t2"))
-    mean = F.col("t1") / F.col("n")
-    var = (F.col("t2") - F.col("n") * mean * mean) / (F.col("n") - 1)
-    got = got.withColumn("sharpe", F.when(var > 1e-30, mean / F.sqrt(var)) * math.sqrt(bars_per_year))
-    ci = got.groupBy(*axis.keys).agg(F.percentile("sharpe", alpha / 2).alias("lo"), F.percentile("sharpe", 1 - alpha / 2).alias("hi"))
-    return n.select(*axis.keys).join(ci, list(axis.keys), "left")
+    whole = _stretches(ring, keys, F.lit(block)).withColumn("__cut", F.lit(False))
+    rest = _stretches(ring, keys, F.col("n") % block).withColumn("__cut", F.lit(True))
+    draws = n.where(F.col("n") >= block).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
+    name = F.md5(F.concat_ws(":", *(F.col(k).cast("string") for k in keys), "rep", "b", F.lit(seed)).cast("binary"))
+    draws = draws.withColumn("pos", F.conv(F.substring(name, 1, 15), 16, 10).cast("long") % F.col("n")).withColumn("__cut", (F.col("b") + 1) * block > F.col("n"))
+    got = draws.join(whole.unionByName(rest), [*keys, "pos", "__cut"]).groupBy(*keys, "rep").agg(F.max("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.product("growth").alias("growth"))
+    got = got.select(*keys, *(v.alias(c) for c, v in statistics.items()))
+    ends = [F.percentile(c, p).alias(f"{c}_{side}") for c in statistics for side, p in (("lo", alpha / 2), ("hi", 1 - alpha / 2))]  # of so many resamples a key
+    return n.select(*keys).join(got.groupBy(*keys).agg(*ends), keys, "left")
+
+
+def bootstrap_sharpe(df: DataFrame, axis: Axis, ret: str, bars_per_year: int, block: int = 96, resamples: int = 1000, alpha: float = 0.05, seed: int = 0) -> DataFrame:
+    """(keys, lo, hi): ``bootstrap`` of the Sharpe ratio."""
+    out = bootstrap(df, axis, ret, {"sharpe": sharpe_of(bars_per_year)}, block, resamples, alpha, seed)
+    return out.withColumnsRenamed({"sharpe_lo": "lo", "sharpe_hi": "hi"})
 
 
 def report(gross: dict, net: dict, ci: tuple[float, float] | None = None) -> str:

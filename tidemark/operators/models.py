@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..functions.axis import Axis, number
+from ..functions.ranks import quantiles
 from ..functions.scalar import divide
 from ..session import cut
 from .isotonic import fit_isotonic, interpolate
@@ -335,7 +336,8 @@ def calibration_split(df: DataFrame, share: float = 0.3, pos: str = "pos", end:
 def calibration_report(df: DataFrame, prediction: str, realized: str, bins: int = 10) -> DataFrame:
     """(bin, n, mean_pred, mean_actual, ratio) over quantile bins, closed on the right; equal edges are one."""
     df = df.where(F.col(prediction).isNotNull() & F.col(realized).isNotNull())
-    edges = df.agg(F.array_distinct(F.percentile(prediction, [i / bins for i in range(bins + 1)])).alias("__e"))
+    names = [f"__q{i}" for i in range(bins + 1)]
+    edges = quantiles(df, [], prediction, {c: i / bins for i, c in enumerate(names)}).select(F.array_distinct(F.array(*names)).alias("__e"))
     binned = df.crossJoin(F.broadcast(edges)).withColumn("bin", F.greatest(F.lit(0), F.expr(f"size(filter(__e, e -> e < {prediction})) - 1")))
     out = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(prediction).alias("mean_pred"), F.avg(realized).alias("mean_actual"))
     return out.withColumn("ratio", divide("mean_actual", "mean_pred"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.axis import Axis
+from ..functions.ranks import quantiles
 from ..functions.scalar import utc
 from .bars import SECONDS, width
 
@@ -83,9 +84,13 @@ def validate(bars: DataFrame, timeframe: str, axis: Axis = Axis(), sequence: str
 
 
 def spread_by_hour(quotes: DataFrame, pip: float = 1e-4, before: str | None = None, ts: str = "ts", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Median spread in pips of each UTC hour; rows at or after ``before`` are refused."""
+    """Median spread in pips of each UTC hour; rows at or after ``before`` are refused.
+
+    Medians are exact; quotes are dealt by ranges of spread, whatever the number of a symbol and hour.
+    """
     q = quotes.where(F.col(ts) < F.lit(before).cast("timestamp")) if before else quotes
-    return q.where("ask is not null and bid is not null").groupBy(*keys, F.hour(ts).alias("hour")).agg(F.median((F.col("ask") - F.col("bid")) / pip).alias("spread_pips"))
+    q = q.select(*keys, F.hour(ts).alias("hour"), ((F.col("ask") - F.col("bid")) / pip).alias("spread"))
+    return quantiles(q, [*keys, "hour"], "spread", {"spread_pips": 0.5})
 
 
 def cheap_hours(profile: DataFrame, multiple: float = 1.5, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

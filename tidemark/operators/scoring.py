@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.axis import Axis
+from ..functions.ranks import ranked
 from ..functions.scalar import LN2, brier, divide, log_loss
 from ..functions.special import normal_quantile, p_two_sided, p_upper
 from ..session import cut
@@ -29,13 +30,13 @@ def _score_columns(p: str, y: str) -> list[Column]:
 def roc_auc(df: DataFrame, keys: list[str], p: str, y: str) -> DataFrame:
     """(keys, roc_auc) by rank sums, ties sharing ranks; null for a single class.
 
-    Ranks run over counts of distinct scores, a table no longer than the data
-    and usually much shorter.
+    Scores are dealt by ranges, so continuous scores of one key are ranked by
+    many tasks.
     """
-    by = df.groupBy(*keys, p).agg(F.count(F.lit(1)).alias("c"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"))
-    before = Window.partitionBy(*keys).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("c").over(before), F.lit(0)) + (F.col("c") + 1) / 2.0
-    r = by.withColumn("rank", rank).groupBy(*keys).agg(F.sum(F.col("rank") * F.col("pos")).alias("r1"), F.sum("pos").alias("n1"), F.sum(F.col("c") - F.col("pos")).alias("n0"))
+    df = df.withColumn("__one", F.when(F.col(y) == 1, 1).otherwise(0))
+    by = ranked(df, keys, p, {"pos": F.sum("__one")})
+    rank = F.col("below") + (F.col("here") + 1) / 2.0
+    r = by.groupBy(*keys).agg(F.sum(rank * F.col("pos")).alias("r1"), F.sum("pos").alias("n1"), F.sum(F.col("here") - F.col("pos")).alias("n0"))
     auc = divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0"))
     return r.select(*keys, auc.alias("roc_auc"))
 
