@@ -41,8 +41,8 @@ from .scratch import Scratch, small_batches
 
 U = np.uint64
 ORDER = 2
-BLOCK = 1 << 21
-RANGE = 1 << 21  # entries of a range of hashes, about
+BLOCK = 1 << 20
+RANGE = 1 << 19  # entries of a range of hashes, about
 START, END = H.seeded(101), H.seeded(102)
 BINS = 16  # of ratios, to a factor of two
 UNSEEN = -(1 << 20)  # the bin of ratio 0
@@ -357,7 +357,7 @@ def fit_and_score(spark: SparkSession, docs: DataFrame, role: Column, order: int
     s.names.add("blocks")
     blocks = spark.table(name)
     tokens = blocks.agg(F.sum(F.aggregate("size", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
-    n = max(tasks, math.ceil(order * tokens / RANGE))
+    n = max(4 * tasks, math.ceil(order * tokens / RANGE))
     begun = F.expr("filter(arrays_zip(role, skip), x -> x.skip = 0)")
     documents = blocks.select(F.explode(begun).alias("x")).groupBy("x.role").count().collect()
     documents = {r["role"]: r["count"] for r in documents}
