@@ -10,12 +10,14 @@ at once.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +67,13 @@ class Splitter:
         """The first fold that learns from a position."""
         return F.greatest(F.lit(0).cast("long"), F.floor((pos - self.train) / self.by) + 1)
 
+    def training_folds(self, window: int, pos: str = "pos", n: str = "n") -> Column:
+        """The folds that have a position among the latest ``window`` of their training range, as an array."""
+        window = min(window, self.train) if self.mode == "rolling" else window
+        first = Splitter.first_training(self, F.col(pos))
+        last = F.least(F.floor((F.col(pos) - self.train + window) / self.by), F.floor((F.col(n) - (self.train + self.embargo + self.test)) / self.by))
+        return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
     def test_folds(self, pos: str = "pos", n: str = "n") -> Column:
         """The folds that test a position, as an array."""
         at = F.col(pos) - (self.train + self.embargo)
@@ -280,6 +289,86 @@ class Calibrated:
         return raw.join(params.select(*keys, "__x", "__y"), keys).withColumn("prediction", interpolate("__x", "__y", "prediction")).drop("__x", "__y")
 
 
+@dataclass(frozen=True)
+class Estimator:
+    """Any estimator with fit(X, y) and predict(X) over NumPy arrays, fitted anew for every series and fold.
+
+    ``make`` builds one; it travels to the tasks, and what it learnt travels
+    to the test rows as bytes.  A fold's slice is the latest ``window`` rows of
+    its training range, so a task holds that many however long the series is.
+    Rows without a feature or target are not learnt from and get no prediction.  A fold whose
+    estimator fails, or that has fewer than ``least`` rows, predicts null,
+    which ensembles leave out; ``error`` in the parameters says why.
+    """
+
+    make: Callable[[], object]
+    features: tuple[str, ...] = ()
+    window: int = 10_000
+    least: int = 2
+    name: str = "estimator"
+
+    def _names(self, df):
+        return list(self.features) or [c for c in df.columns if c.startswith("f_")]
+
+    def fit(self, df, axis, splitter):
+        keys, names, make, least = [*axis.keys, "fold"], self._names(df), self.make, self.least
+        slices = df.select(*axis.keys, "pos", "y", *names, F.explode(splitter.training_folds(self.window)).alias("fold"))
+        schema = T.StructType([*slices.select(*keys).schema.fields, T.StructField("model", T.BinaryType()), T.StructField("error", T.StringType())])
+
+        def learn(t: pa.Table) -> pa.Table:
+            own = [t.column(k).slice(0, 1) for k in keys]
+            t = t.select(["pos", "y", *names]).drop_null().sort_by("pos")
+            model = error = None
+            try:
+                if len(t) < least:
+                    raise ValueError(f"{len(t)} rows to learn from")
+                e = make()
+                e = e.fit(_matrix(t, names), t.column("y").to_numpy()) or e
+                model = cloudpickle.dumps(e)
+            except Exception as wrong:  # of the member, not of the run
+                error = f"{type(wrong).__name__}: {wrong}"
+            return pa.table([*own, pa.array([model], pa.binary()), pa.array([error], pa.string())], names=[*keys, "model", "error"])
+
+        return slices.groupBy(*keys).applyInArrow(learn, schema)
+
+    def predict(self, rows, params, axis):
+        keys, names = [*axis.keys, "fold"], self._names(rows)
+        schema = T.StructType([*rows.schema.fields, T.StructField("prediction", T.DoubleType())])
+
+        def apply(t: pa.Table, learnt: pa.Table) -> pa.Table:
+            out = np.full(len(t), np.nan)
+            blob = learnt.column("model")[0].as_py() if len(learnt) else None
+            x = _matrix(t, names)
+            known = ~np.isnan(x).any(1)
+            if blob is not None and known.any():
+                try:
+                    out[known] = cloudpickle.loads(blob).predict(x[known])
+                except Exception:  # a member that cannot predict is left out
+                    out[:] = np.nan
+            return t.append_column("prediction", pa.array(out, from_pandas=True))
+
+        return rows.groupBy(*keys).cogroup(params.select(*keys, "model").groupBy(*keys)).applyInArrow(apply, schema)
+
+
+class Nearest:
+    """The mean target of the ``k`` learnt rows with the nearest features; of equally near ones the earlier."""
+
+    def __init__(self, k: int = 5):
+        self.k = k
+
+    def fit(self, x: np.ndarray, y: np.ndarray) -> Nearest:
+        self.x, self.y = x, y
+        return self
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        out = [self.y[np.argsort(((self.x - row) ** 2).sum(1), kind="stable")[: self.k]].mean() for row in x]
+        return np.array(out)
+
+
+def _matrix(t: pa.Table, names: list[str]) -> np.ndarray:
+    return np.stack([t.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in names], 1) if names else np.zeros((len(t), 0))
+
+
 BASELINES: dict[str, Model] = {"buy_and_hold": BuyAndHold(), "random": RandomSignal(), "naive_momentum": Slope(), "mean_reversion": Slope("f_z_close_96", "mean_reversion"), "ridge": Ridge(), "calibrated_momentum": Calibrated(Slope(), name="calibrated_momentum"), "calibrated_ridge": Calibrated(Ridge(), name="calibrated_ridge")}
 
 
@@ -311,11 +400,11 @@ def ensemble(members: DataFrame, keys: list[str], prediction: str = "prediction"
     return stats.withColumn("agreement", agree).drop("__up", "__down")
 
 
-def ensemble_members(feature_sets: dict[str, list[str]], alpha: float = 1.0, least: int = 2) -> dict[str, Model]:
-    """A ridge member for each feature set."""
+def ensemble_members(feature_sets: dict[str, list[str]], alpha: float = 1.0, least: int = 2, make: Callable[[], object] | None = None, window: int = 10_000) -> dict[str, Model]:
+    """A member for each feature set: ridge, or whatever estimator ``make`` builds."""
     if len(feature_sets) < least:
         raise ValueError(f"an ensemble needs at least {least} feature sets")
-    return {k: Ridge(alpha, tuple(v), k) for k, v in feature_sets.items() if v}
+    return {k: Estimator(make, tuple(v), window, name=k) if make else Ridge(alpha, tuple(v), k) for k, v in feature_sets.items() if v}
 
 
 def isotonic(spark: SparkSession, known: DataFrame, new: DataFrame, prediction: str = "prediction", realized: str = "y", min_rows: int = 50) -> DataFrame:

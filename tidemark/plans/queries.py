@@ -458,6 +458,16 @@ def calibrated_predictions(spark, d):
     return rounded(out.select("symbol", "ts", F.col("fold").cast("long").alias("fold"), "raw", F.col("prediction").alias("calibrated")))
 
 
+@query(f"""WITH {_POS}, te AS (SELECT fo.symbol, fo.fold, fo.train_hi, dp.ts, dp.pos, f_mom_12 AS a, f_z_close_96 AS b FROM dp JOIN fo ON fo.symbol = dp.symbol AND dp.pos >= test_lo AND dp.pos < test_hi),
+nr AS (SELECT te.symbol, te.fold, te.ts, tr.y, row_number() OVER (PARTITION BY te.symbol, te.fold, te.pos ORDER BY (tr.f_mom_12 - te.a) * (tr.f_mom_12 - te.a) + (tr.f_z_close_96 - te.b) * (tr.f_z_close_96 - te.b), tr.pos) AS k FROM te JOIN dp tr ON tr.symbol = te.symbol AND tr.pos >= te.train_hi - 150 AND tr.pos < te.train_hi)
+SELECT symbol, {SEC}, CAST(fold AS BIGINT) AS fold, {R('avg(y)')} AS prediction FROM nr WHERE k <= 5 GROUP BY symbol, ts, fold""")
+def nearest_predictions(spark, d):
+    """An estimator without a closed form, fitted on the latest 150 rows of every fold."""
+    model = models.Estimator(models.Nearest, ("f_mom_12", "f_z_close_96"), window=150, name="nearest")
+    out = models.walk_forward(dataset(spark, d), AXIS, SPLIT, {"nearest": model})
+    return rounded(out.select("symbol", "ts", F.col("fold").cast("long").alias("fold"), "prediction"))
+
+
 @query()
 def ridge_predictions(spark, d):
     out = models.walk_forward(dataset(spark, d), AXIS, SPLIT, {k: models.BASELINES[k] for k in ("ridge", "random")})

@@ -167,10 +167,15 @@ def stored(spark: SparkSession, root: str) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
 
+def wanted_ranges(spark: SparkSession, symbols: list[str], start: str, end: str) -> DataFrame:
+    """(symbol, year, want_start, want_end): the years of [start, end], clamped to it, for each symbol."""
+    one = spark.createDataFrame([(s,) for s in symbols], "symbol string").withColumn("year", F.explode(F.sequence(F.year(F.lit(start)), F.year(F.lit(end)))))
+    return one.select("symbol", "year", F.greatest(F.make_date("year", F.lit(1), F.lit(1)), F.lit(start).cast("date")).alias("want_start"), F.least(F.make_date("year", F.lit(12), F.lit(31)), F.lit(end).cast("date")).alias("want_end"))
+
+
 def missing_ranges(spark: SparkSession, root: str, symbols: list[str], timeframe: str, side: str, start: str, end: str) -> DataFrame:
     """(symbol, year, want_start, want_end) of the years that are to be fetched: what is stored does not span them."""
     from ..operators.quality import coverage
 
-    one = spark.createDataFrame([(s,) for s in symbols], "symbol string").withColumn("year", F.explode(F.sequence(F.year(F.lit(start)), F.year(F.lit(end)))))
-    want = one.select("symbol", "year", F.greatest(F.make_date("year", F.lit(1), F.lit(1)), F.lit(start).cast("date")).alias("want_start"), F.least(F.make_date("year", F.lit(12), F.lit(31)), F.lit(end).cast("date")).alias("want_end"))
+    want = wanted_ranges(spark, symbols, start, end)
     return coverage(read_bars(spark, root, None, timeframe, side), want) if stored(spark, root) else want
