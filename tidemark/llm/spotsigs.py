@@ -68,9 +68,13 @@ def likeness(a: str, b: str) -> Column:
     return F.expr(f"case when size({a}) = 0 and size({b}) = 0 then 1D when least(size({a}), size({b})) = 0 then 0D else {both} / cast(size({a}) + size({b}) - {both} as double) end")
 
 
-def with_next(spark: SparkSession, docs: DataFrame, range_bytes: int = 8 << 20) -> DataFrame:
+def with_next(spark: SparkSession, docs: DataFrame, range_bytes: int = 8 << 20, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, text, sigs, next_text, next_sigs): a document, its fingerprint, and those of the next in descending doc_id order; the first follows the last.
 
+    ``known`` has a row (doc_id, h, what) for every distinct doc_id and text
+    hash h; it travels through the shuffle that the order takes anyway, and
+    comes back as the column ``what``.
+
     Ranges of doc_id between sampled ids are sorted on their own; the first
     document of each range is also dealt to the range before it, where it ends
     the order.  A range holds about ``range_bytes``, or from ``RANGES`` ranges
@@ -78,9 +82,10 @@ def with_next(spark: SparkSession, docs: DataFrame, range_bytes: int = 8 << 20)
     ordered by their texts; null doc_ids come last.
     """
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    none = F.lit(None).cast("long") if known is None else F.lit(None).cast(known.schema["what"].dataType)
     size, rows, top = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1)), F.max("k")).first()
     if not rows:
-        return fingerprint(docs, "text", "sigs").select("doc_id", "text", "sigs", F.col("text").alias("next_text"), F.col("sigs").alias("next_sigs"))
+        return fingerprint(docs, "text", "sigs").select("doc_id", "text", "sigs", F.col("text").alias("next_text"), F.col("sigs").alias("next_sigs"), none.alias("what"))
     n = max(1, min(size // range_bytes, RANGES))
     bounds: list[int] = []
     if n > 1:
@@ -95,11 +100,17 @@ def with_next(spark: SparkSession, docs: DataFrame, range_bytes: int = 8 << 20)
     head = F.col("k").isin(heads)
     place = F.struct(at.alias("r"), F.lit(0).alias("ghost"))
     ghost = F.struct(F.when(at == 0, F.lit(last)).otherwise(at - 1).alias("r"), F.lit(1).alias("ghost"))
-    dealt = docs.withColumn("p", F.explode(F.when(head, F.array(place, ghost)).otherwise(F.array(place)))).select("k", "doc_id", "text", "p.r", "p.ghost")
-    order = Window.partitionBy("r").orderBy("ghost", F.desc("k"), F.xxhash64("text"), "text")
+    dealt = docs.withColumn("p", F.explode(F.when(head, F.array(place, ghost)).otherwise(F.array(place)))).select("k", "doc_id", "text", F.xxhash64("text").alias("h"), none.alias("what"), "p.r", "p.ghost")
+    if known is not None:
+        slim = known.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), "doc_id", F.lit(None).cast("string").alias("text"), "h", "what")
+        dealt = dealt.unionByName(slim.select("*", at.alias("r"), F.lit(0).alias("ghost")))
+    # what is known of a document stands right before its rows
+    order = Window.partitionBy("r").orderBy("ghost", F.desc("k"), "h", F.col("text").isNotNull(), "text")
+    after = order.rowsBetween(1, 2)  # the next document's row, or what is known of it and then its row
     # texts are shuffled without their fingerprints, and each is fingerprinted once for both of its places
-    dealt = fingerprint(dealt.repartition("r"), "text", "sigs")
-    return dealt.withColumns({"next_text": F.lead("text").over(order), "next_sigs": F.lead("sigs").over(order)}).where("ghost = 0").select("doc_id", "text", "sigs", "next_text", "next_sigs")
+    dealt = fingerprint(dealt.repartition("r"), "text", "sigs").withColumn("sigs", F.when(F.col("text").isNotNull(), F.col("sigs")))
+    dealt = dealt.withColumns({"next_text": F.first("text", ignorenulls=True).over(after), "next_sigs": F.first("sigs", ignorenulls=True).over(after), "what": F.last("what", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return dealt.where("ghost = 0 and text is not null").select("doc_id", "text", "sigs", "next_text", "next_sigs", "what")
 
 
 def edited_next(df: DataFrame) -> DataFrame:
@@ -113,13 +124,13 @@ def edited_next(df: DataFrame) -> DataFrame:
     return df.withColumn("edited", F.expr(f"concat(substring(text, 1, cast(n_chars as int) - {cut}), substring(next_text, 1, {cut}))"))
 
 
-def edit_report(spark: SparkSession, docs: DataFrame, also: list[Column] | None = None) -> DataFrame:
+def edit_report(spark: SparkSession, docs: DataFrame, also: list[Column] | None = None, known: DataFrame | None = None) -> DataFrame:
     """Fingerprints of whole texts and of their edits, and how alike they are.
 
     Null texts are empty; equal texts have equal fingerprints; two fingerprints
     without signatures have likeness 1, one without and one with have 0.
     """
-    df = fingerprint(edited_next(with_next(spark, docs)), "edited", "new")
+    df = fingerprint(edited_next(with_next(spark, docs, known=known)), "edited", "new")
     return df.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         as_text("sigs").alias("fingerprint"), as_text("new").alias("edited_fingerprint"),
@@ -152,8 +163,9 @@ def class_links(s: Scratch, docs: DataFrame, num: int = 80, den: int = 100, cell
     have a pair left there bring their sets to the second, which counts each
     link under the least signature that both are entered under.
     """
-    text = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    live = s.table(fingerprint(text, "text", "sigs").select("doc_id", *named("sigs"), "sigs").where("n > 0"), "sets")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    every = s.table(fingerprint(text, "text", "sigs").select("doc_id", F.xxhash64("text").alias("h"), *named("sigs"), "sigs"), "sets")
+    live = every.where("doc_id is not null and n > 0")
     seen = live.select(F.explode("sigs").alias("x")).groupBy(F.pmod("x", F.lit(BUCKETS)).alias("b")).agg(F.count(F.lit(1)).alias("c")).collect()
     often = [0] * BUCKETS
     for b, c in seen:
@@ -208,12 +220,14 @@ def linked_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     A fingerprint without signatures links with nothing: its class is the
     document itself.  Rows with a null doc_id that share a fingerprint with
-    others show their class and links, but count in neither.
+    others show their class and links, but count in neither.  Classes and
+    links reach the documents as a slim table, by the shuffle that puts the
+    documents in order.
     """
     s = Scratch(spark, "spotsigs")
     of = class_links(s, docs)
-    s.drop(*(s.names - {"of"}))
-    df = edit_report(spark, docs, also=named("sigs")).join(if_small(of, 128), NAMES, "left").drop(*NAMES)
-    out = s.table(df.withColumns({"class_id": F.coalesce("class_id", "doc_id"), "links": F.coalesce("links", F.lit(0).cast("long"))}), "out")
-    s.close("out")
-    return out
+    each = s.spark.read.parquet(s.path("sets")).select("doc_id", "h", *NAMES).distinct()
+    known = each.join(of, NAMES, "left").select("doc_id", "h", F.struct(F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("links")).alias("what"))
+    known = s.table(known, "known")
+    s.close("known")
+    return edit_report(spark, docs, also=[F.col("what.class_id").alias("class_id"), F.col("what.links").alias("links")], known=known)
