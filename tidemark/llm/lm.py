@@ -178,12 +178,16 @@ def _asker(order: int, n: int):
     return run
 
 
-ANSWER = "block bigint, level int, range bigint, train binary, fold binary, types bigint, total bigint, held bigint, bins array<int>, weights array<double>"
+ANSWER = "block bigint, level int, range bigint, train binary, fold binary, types bigint, total bigint, held bigint, bins array<int>, weights array<double>, logs array<double>"
 
 
-def bin_of(ratio: np.ndarray) -> np.ndarray:
+def binned(ratio: np.ndarray, weights: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """Rows (by, bin, weight, weighted sum of log2 of the ratio): ratios whose logs round to the same, UNSEEN for 0."""
     with np.errstate(divide="ignore"):
-        return np.where(ratio > 0, np.round(np.log2(ratio) * BINS), UNSEEN).astype(np.int64)
+        log = np.where(ratio > 0, np.log2(ratio), 0.0)
+    bins = np.where(ratio > 0, np.round(log * BINS), UNSEEN).astype(np.int64)
+    key, place = np.unique(np.stack((*by, bins)), axis=1, return_inverse=True)
+    return np.stack((*key, np.bincount(place, weights), np.bincount(place, weights * log)))
 
 
 def _answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,11 +200,11 @@ def _answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.cumsum([0, *map(len, asked)])
         hashes, number = np.unique(np.concatenate(asked), return_inverse=True)
         total = {c: np.bincount(number, weights=np.concatenate([unpack(r[k], np.uint32) for r in rows]), minlength=len(hashes)).astype(np.uint64) for c, k in (("train", 2), ("fold", 3))}
-        out = [(r[0], at[1], at[0], pack(total["train"][number[i:j]]), pack(total["fold"][number[i:j]]), None, None, None, None, None) for r, i, j in zip(rows, size[:-1], size[1:], strict=True)]
+        out = [(r[0], at[1], at[0], pack(total["train"][number[i:j]]), pack(total["fold"][number[i:j]]), None, None, None, None, None, None) for r, i, j in zip(rows, size[:-1], size[1:], strict=True)]
         if at[1] == 1:
-            bins, place = np.unique(bin_of((total["train"] - total["fold"]).astype(float)), return_inverse=True)
-            out.append((None, 1, at[0], None, None, int((total["train"] > 0).sum()), int(total["train"].sum()), int(total["fold"].sum()), bins.tolist(), np.bincount(place, weights=total["fold"]).tolist()))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()))
+            bins, weights, logs = binned((total["train"] - total["fold"]).astype(float), total["fold"].astype(float))
+            out.append((None, 1, at[0], None, None, int((total["train"] > 0).sum()), int(total["train"].sum()), int(total["fold"].sum()), bins.astype(int).tolist(), weights.tolist(), logs.tolist()))
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.float64()))
         names = [f.split()[0] for f in ANSWER.split(", ")]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
@@ -215,20 +219,25 @@ def _answerer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from merge()
 
 
-def em(bins: np.ndarray, weights: np.ndarray, rounds: int = 500) -> float:
+def em(ratio: np.ndarray, weights: np.ndarray, rounds: int = 5000) -> float:
     """The weight w that makes counts with these ratios r likeliest: the maximum of the sum of log(w r + 1 - w)."""
-    r = np.where(bins == UNSEEN, 0.0, np.exp2(np.maximum(bins, -1000) / BINS))
     w, total = 0.5, weights.sum()
     if not total:
         return 0.0
     for _ in range(rounds):
-        was, w = w, float((weights * (w * r / (w * r + 1 - w))).sum() / total)
+        was, w = w, float((weights * (w * ratio / (w * ratio + 1 - w))).sum() / total)
         w = min(1 - EDGE, max(EDGE, w))
-        if abs(w - was) < 1e-9:
+        if abs(w - was) < 1e-13:
             break
     return w
 
 
+def em_of(rows: list[tuple[int, float, float]], factor: float = 1.0) -> float:
+    """``em`` of (bin, weight, weighted sum of logs): a bin counts with its mean ratio, times ``factor``."""
+    b, n, log = np.array(rows, float).reshape(-1, 3).T
+    return em(np.where((b == UNSEEN) | (n == 0), 0.0, factor * np.exp2(np.clip(log / np.maximum(n, 1e-300), -1000, 1000))), n)
+
+
 def bucket_of(context: np.ndarray) -> np.ndarray:
     """Buckets of context frequencies by powers of two; 0 has none."""
     return np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))), -1).astype(np.int64)
@@ -262,12 +271,12 @@ class Model:
         return p
 
 
-def learn_weights(rows: list[tuple[int, int, float]]) -> list[float]:
-    """A weight for each bucket from (bucket, bin, count); buckets without counts take their neighbour's."""
+def learn_weights(rows: list[tuple[int, int, float, float]]) -> list[float]:
+    """A weight for each bucket from (bucket, bin, weight, sum of logs); buckets without counts take their neighbour's."""
     got: dict[int, list] = {}
-    for bucket, b, n in rows:
-        got.setdefault(bucket, []).append((b, n))
-    known = {b: em(np.array([x[0] for x in v]), np.array([x[1] for x in v], float)) for b, v in got.items() if b >= 0}
+    for bucket, *rest in rows:
+        got.setdefault(bucket, []).append(rest)
+    known = {b: em_of(v) for b, v in got.items() if b >= 0}
     return [known[min(known, key=lambda k: (abs(k - b), k))] if known else 0.0 for b in range(BUCKETS)]
 
 
@@ -305,8 +314,8 @@ def _fold_counter(model: Model, level: int):
                 below = model.probabilities(counts, contexts, model.tokens - model.fold_tokens, level - 1)
                 c = contexts[level - 1]
                 ratio = counts[level - 1] / np.maximum(c, 1) / below
-                key, n = np.unique(np.stack((bucket_of(c), bin_of(ratio))), axis=1, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key[0].astype(np.int32)), pa.array(key[1].astype(np.int32)), pa.array(n.astype(np.float64))], names=["bucket", "bin", "n"])
+                bucket, bins, n, log = binned(ratio, np.ones(len(ratio)), bucket_of(c))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(bins.astype(np.int32)), pa.array(n), pa.array(log)], names=["bucket", "bin", "n", "log"])
 
     return run
 
@@ -367,18 +376,16 @@ def fit_and_score(spark: SparkSession, docs: DataFrame, role: Column, order: int
     whole = answers.where("block is null")
     t = whole.agg(F.sum("types"), F.sum("total"), F.sum("held")).first()
     model = Model(order, t[0] or 0, t[1] or 0, documents.get(LEARNT, 0) + documents.get(FOLD, 0), t[2] or 0, documents.get(FOLD, 0))
-    bins = whole.select(F.explode(F.arrays_zip("bins", "weights")).alias("x")).groupBy("x.bins").agg(F.sum("x.weights").alias("n")).collect()
+    bins = whole.select(F.explode(F.arrays_zip("bins", "weights", "logs")).alias("x")).groupBy("x.bins").agg(F.sum("x.weights"), F.sum("x.logs")).collect()
     rest = model.tokens - model.fold_tokens
     if rest and bins:
-        shift = bin_of(np.array([(model.types + 1) / rest]))[0]
-        b = np.array([r["bins"] for r in bins])
-        model.single = em(np.where(b == UNSEEN, b, b + shift), np.array([r["n"] for r in bins]))
+        model.single = em_of([tuple(r) for r in bins], (model.types + 1) / rest)
 
     got = answers.where("block is not null").select("block", F.struct("level", "range", "train", "fold").alias("a"))
     ready = blocks.join(got.groupBy("block").agg(F.collect_list("a").alias("answers")), "block")
     for level in range(2, order + 1):
         with small_batches(spark):
-            rows = ready.mapInArrow(_fold_counter(model, level), "bucket int, bin int, n double").groupBy("bucket", "bin").agg(F.sum("n").alias("n")).collect()
+            rows = ready.mapInArrow(_fold_counter(model, level), "bucket int, bin int, n double, log double").groupBy("bucket", "bin").agg(F.sum("n"), F.sum("log")).collect()
         model.weights[level] = learn_weights([tuple(r) for r in rows])
     pieces = ready.mapInArrow(_scorer(model), f"uid bigint, doc_id {kind}, role int, n_tokens bigint, n_known bigint, base_score double, score double")
     out = pieces.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("role").alias("role"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score"))
