@@ -67,6 +67,13 @@ class Axis:
         return F.when(F.count(x).over(w) >= (n if least is None else least), agg(x).over(w))
 
 
+def span_of(df: DataFrame, axis: Axis, grain: str) -> Column:
+    """The span that a row stands in: a ``grain`` of time, or CHUNK values of a whole-number order."""
+    if isinstance(df.schema[axis.ts].dataType, T.IntegralType):
+        return F.floor(F.col(axis.ts) / CHUNK)
+    return F.date_trunc(grain, F.col(axis.ts))
+
+
 def number(df: DataFrame, axis: Axis, into: str = "pos", grain: str = "day") -> DataFrame:
     """``df`` with each row's position in its series, from 0.
 
@@ -74,8 +81,7 @@ def number(df: DataFrame, axis: Axis, into: str = "pos", grain: str = "day") ->
     table, give what stands before each span.  No task sees a whole series.
     Rows without time stand first.
     """
-    span = F.date_trunc(grain, F.col(axis.ts))
-    df = df.withColumn("__span", span)
+    df = df.withColumn("__span", span_of(df, axis, grain))
     counts = df.groupBy(*axis.keys, "__span").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*axis.keys).orderBy(F.col("__span").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(axis.keys)), F.col("__span").alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -208,7 +214,7 @@ def running(df: DataFrame, axis: Axis, into: dict[str, tuple[str, Column]], grai
     """
     whole = {"sum": F.sum, "product": F.product, "max": F.max}
     join = {"sum": lambda a, b: F.coalesce(a + b, a, b), "product": lambda a, b: F.coalesce(a * b, a, b), "max": F.greatest, "last": lambda a, b: F.coalesce(b, a)}
-    df = df.withColumn("__span", F.date_trunc(grain, F.col(axis.ts))).withColumns({f"__x{i}": x for i, (_, x) in enumerate(into.values())})
+    df = df.withColumn("__span", span_of(df, axis, grain)).withColumns({f"__x{i}": x for i, (_, x) in enumerate(into.values())})
     kinds = [(i, name, kind, F.col(f"__x{i}")) for i, (name, (kind, _)) in enumerate(into.items())]
     at = F.struct(axis.ts, *axis.tie)
     known = {"last": lambda x: F.max_by(x, F.when(x.isNotNull(), at)), "prev": lambda x: F.max_by(x, at)} | whole

@@ -7,9 +7,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.axis import Axis
+from ..functions.axis import Axis, running
 from ..functions.ranks import quantiles
 from ..functions.scalar import utc
+from ..session import cut
 from .bars import SECONDS, width
 
 GAP_HOURS = 49
@@ -28,18 +29,25 @@ class Report:
         return not self.errors
 
 
+def _gaps(bars: DataFrame, axis: Axis, into: str) -> DataFrame:
+    """``bars`` with the seconds since the row before."""
+    df = running(cut(bars), axis, {"__was": ("prev", F.col(axis.ts))})
+    return df.withColumn(into, F.unix_seconds(axis.ts) - F.unix_seconds("__was")).drop("__was")
+
+
 def quality_metrics(bars: DataFrame, timeframe: str, axis: Axis = Axis(), sequence: str | None = None) -> DataFrame:
-    """One row of counts for each series, from one pass.
+    """One row of counts for each series.
+
+    The row before comes from spans of time and a slim table of their ends.
 
     With ``sequence``, rows whose time is before the row written just before
     them count as unsorted.
     """
     name = timeframe.removesuffix("_mid").removesuffix("_bid").removesuffix("_ask")
     seconds = width(name) if name in SECONDS else 0
-    gap = F.unix_seconds(axis.ts) - F.unix_seconds(axis.lag(axis.ts))
-    df = bars.withColumn(axis.ts, utc(axis.ts)).withColumn("__gap", gap)
+    df = _gaps(bars.withColumn(axis.ts, utc(axis.ts)), axis, "__gap")
     if sequence:
-        df = df.withColumn("__back", F.col(axis.ts) < Axis(axis.keys, sequence).lag(axis.ts))
+        df = running(df, Axis(axis.keys, sequence), {"__was": ("prev", F.col(axis.ts))}).withColumn("__back", F.col(axis.ts) < F.col("__was")).drop("__was")
     o, h, low, c = (F.col(x) for x in ("open", "high", "low", "close"))
     checks = {
         "n": F.count(F.lit(1)),
@@ -59,7 +67,7 @@ def quality_metrics(bars: DataFrame, timeframe: str, axis: Axis = Axis(), sequen
 
 def worst_gaps(bars: DataFrame, axis: Axis = Axis(), n: int = 5) -> DataFrame:
     """The ``n`` longest gaps of all series."""
-    df = bars.withColumn("gap_s", F.unix_seconds(axis.ts) - F.unix_seconds(axis.lag(axis.ts))).where(F.col("gap_s") > GAP_HOURS * 3600)
+    df = _gaps(bars, axis, "gap_s").where(F.col("gap_s") > GAP_HOURS * 3600)
     return df.select(*axis.keys, axis.ts, "gap_s").orderBy(F.desc("gap_s"), *axis.keys, axis.ts).limit(n)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.axis import Axis
+from ..functions.axis import Axis, in_chunks, running
 from ..functions.ranks import ranked
 from ..functions.scalar import LN2, brier, divide, log_loss
 from ..functions.special import normal_quantile, p_two_sided, p_upper
@@ -61,13 +61,18 @@ def running_scores(df: DataFrame, p: str = "p", y: str = "y", ts: str = "ts") ->
 
 
 def running_log_loss(df: DataFrame, axis: Axis, p: str = "p", y: str = "y", window: int | None = None) -> DataFrame:
-    """``df`` with the mean loss so far, its edge over a coin and, optionally, the same over a window."""
-    df = df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).withColumn("loss", log_loss(p, y))
-    cols = {"mean_loss": F.avg("loss").over(axis.wall)}
-    if window:
-        cols["rolling_loss"] = axis.rolling(F.avg, "loss", window)
-    df = df.withColumns(cols).withColumn("edge", LN2 - F.col("mean_loss"))
-    return df.withColumn("rolling_edge", LN2 - F.col("rolling_loss")) if window else df
+    """``df`` with the mean loss so far, its edge over a coin and, optionally, the same over a window.
+
+    Means so far come from sums of spans, the window's from chunks: no task
+    sees a whole series.
+    """
+    df = cut(df.where(F.col(p).isNotNull() & F.col(y).isNotNull()).withColumn("loss", log_loss(p, y)))
+    df = running(df, axis, {"__sum": ("sum", F.col("loss")), "__rows": ("sum", F.lit(1))})
+    df = df.withColumn("mean_loss", F.col("__sum") / F.col("__rows")).drop("__sum", "__rows").withColumn("edge", LN2 - F.col("mean_loss"))
+    if not window:
+        return df
+    df = in_chunks(df, axis, lambda d, a: d.withColumn("rolling_loss", a.rolling(F.avg, "loss", window)), back=window)
+    return df.withColumn("rolling_edge", LN2 - F.col("rolling_loss"))
 
 
 def _moments(x: str) -> list[Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions.axis import Axis, in_chunks
+from ..functions.axis import Axis, in_chunks, running
 from ..functions.scalar import divide
 from ..session import cut
 from .ewm import ewm_mean
@@ -117,9 +117,8 @@ def cross_sectional_book(pair_returns: DataFrame, pairs: list[str], halflife: fl
 
 def portfolio_returns(positions: DataFrame, pair_returns: DataFrame) -> DataFrame:
     """(ts, portfolio_return, turnover): yesterday's positions earn today's returns; the first time earns 0."""
-    axis = Axis(("pair",))
-    both = positions.join(pair_returns, ["ts", "pair"])
-    both = both.withColumns({"__earned": axis.lag("position") * F.col("r"), "__traded": F.abs(F.col("position") - F.coalesce(axis.lag("position"), F.lit(0.0)))})
+    both = running(cut(positions.join(pair_returns, ["ts", "pair"])), Axis(("pair",)), {"__was": ("prev", F.col("position"))})
+    both = both.withColumns({"__earned": F.col("__was") * F.col("r"), "__traded": F.abs(F.col("position") - F.coalesce("__was", F.lit(0.0)))})
     return both.groupBy("ts").agg(F.coalesce(F.sum("__earned"), F.lit(0.0)).alias("portfolio_return"), F.sum("__traded").alias("turnover"))
 
 

@@ -468,6 +468,31 @@ def nearest_predictions(spark, d):
     return rounded(out.select("symbol", "ts", F.col("fold").cast("long").alias("fold"), "prediction"))
 
 
+_FO_ROWS = f"{_POS}, tr AS (SELECT fo.symbol, fo.fold, dp.* EXCLUDE (symbol) FROM fo JOIN dp ON fo.symbol = dp.symbol AND dp.pos >= train_lo AND dp.pos < train_hi), tt AS (SELECT fo.fold, dp.* FROM dp JOIN fo ON fo.symbol = dp.symbol AND dp.pos >= test_lo AND dp.pos < test_hi)"
+
+
+@query(f"""WITH {_FO_ROWS}, g AS (SELECT symbol, fold, count(*) AS n, avg(f_mom_12) AS ma, avg(f_z_close_96) AS mb, avg(y) AS my, stddev_pop(f_mom_12) AS sa, stddev_pop(f_z_close_96) AS sb, covar_pop(f_mom_12, f_z_close_96) * count(*) AS ab, covar_pop(f_mom_12, y) * count(*) AS ay, covar_pop(f_z_close_96, y) * count(*) AS by_ FROM tr GROUP BY 1, 2),
+k AS (SELECT *, n + 1 AS d, ab / (sa * sb) AS o, ay / sa AS ra, by_ / sb AS rb FROM g), w AS (SELECT *, (d * ra - o * rb) / (d * d - o * o) / sa AS wa, (d * rb - o * ra) / (d * d - o * o) / sb AS wb FROM k)
+SELECT symbol, {SEC}, CAST(fold AS BIGINT) AS fold, {R('my + wa * (f_mom_12 - ma) + wb * (f_z_close_96 - mb)')} AS prediction FROM tt JOIN w USING (symbol, fold)""")
+def ridge_pair_predictions(spark, d):
+    """Ridge on two features, whose normal equations have a closed form."""
+    out = models.walk_forward(dataset(spark, d), AXIS, SPLIT, {"ridge": models.Ridge(1.0, ("f_mom_12", "f_z_close_96"))})
+    return rounded(out.select("symbol", "ts", F.col("fold").cast("long").alias("fold"), "prediction"))
+
+
+_MEMBERS = ("f_mom_4", "f_mom_12", "f_mom_48", "f_z_close_96")
+
+
+@query(f"""WITH {_FO_ROWS}, sl AS (SELECT symbol, fold, {', '.join(f'covar_samp({c}, y) / var_pop({c}) AS s_{c}' for c in _MEMBERS)} FROM tr GROUP BY 1, 2),
+pr AS ({' UNION ALL '.join(f'SELECT symbol, ts, fold, s_{c} * {c} AS p FROM tt JOIN sl USING (symbol, fold)' for c in _MEMBERS)}),
+st AS (SELECT symbol, ts, fold, avg(p) AS mean, stddev_samp(p) AS std, quantile_cont(p, 0.1) AS p10, quantile_cont(p, 0.9) AS p90, count(*) AS n_members, count_if(p > 0) AS up, count_if(p < 0) AS down FROM pr GROUP BY 1, 2, 3)
+SELECT symbol, {SEC}, CAST(fold AS BIGINT) AS fold, {R('mean')} AS mean, {R('std')} AS std, {R('p10')} AS p10, {R('p90')} AS p90, n_members, {R('CASE WHEN mean > 0 THEN up WHEN mean < 0 THEN down ELSE 0 END / n_members::DOUBLE')} AS agreement FROM st""")
+def slope_ensemble(spark, d):
+    """Mean, spread and agreement of four members."""
+    each = models.walk_forward(dataset(spark, d), AXIS, SPLIT, {c: models.Slope(c, c) for c in _MEMBERS})
+    return rounded(models.ensemble(each.withColumn("fold", F.col("fold").cast("long")), ["symbol", "ts", "fold"]))
+
+
 @query()
 def ridge_predictions(spark, d):
     out = models.walk_forward(dataset(spark, d), AXIS, SPLIT, {k: models.BASELINES[k] for k in ("ridge", "random")})

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.axis import Axis
+from ..functions.axis import Axis, in_chunks
 from ..operators.asof import pair_contemporaneous, pair_lead
 from ..operators.bars import forward_return, resample_bars
 from ..operators.calendar import LONDON, NEW_YORK, SYDNEY, TOKYO, SessionWindow, session_frame
@@ -26,11 +26,16 @@ def long_panel(df: DataFrame, axis: Axis, family: str, timeframe: str, pair: str
     return long.withColumns({"family": F.lit(family), "timeframe": F.lit(timeframe)})
 
 
+def _with_next(df: DataFrame, axis: Axis) -> DataFrame:
+    """``df`` with the next bar's return, on chunks of a series."""
+    return in_chunks(df, axis, lambda d, a: d.withColumn("fwd", forward_return(a)), back=0, ahead=1)
+
+
 def price_panel(bars: DataFrame, axis: Axis, timeframe: str, before: str | None = None) -> DataFrame:
     """Price features against the next bar's return, before the holdout."""
     df = bars.where(F.col(axis.ts) < F.lit(before).cast("timestamp")) if before else bars
     df = resample_bars(df, timeframe, axis)
-    return long_panel(price_features(df, timeframe, axis).withColumn("fwd", forward_return(axis)), axis, "price", timeframe)
+    return long_panel(_with_next(price_features(df, timeframe, axis), axis), axis, "price", timeframe)
 
 
 def strength_panel(pair_returns: DataFrame, pairs: list[str], targets: list[str], timeframe: str) -> DataFrame:
@@ -39,7 +44,8 @@ def strength_panel(pair_returns: DataFrame, pairs: list[str], targets: list[str]
 
     out = None
     for t in targets:
-        own = pair_returns.where(F.col("pair") == t).withColumn("fwd", F.lead("r").over(Axis(("pair",)).ordered)).select("ts", "fwd")
+        own = pair_returns.where(F.col("pair") == t).select("ts", "pair", "r")
+        own = in_chunks(own, Axis(("pair",)), lambda d, a: d.withColumn("fwd", a.lead("r")), back=0, ahead=1).select("ts", "fwd")
         got = long_panel(strength_features(pair_returns, pairs, t).join(own, "ts"), Axis(("pair",)), "strength", timeframe, "pair")
         out = got if out is None else out.unionByName(got)
     return out
@@ -49,8 +55,8 @@ def carry_panel(bars: DataFrame, daily: DataFrame, axis: Axis, timeframe: str, l
     """Rate features against the next bar's return."""
     from ..operators.macro import with_rate_features
 
-    df = with_rate_features(bars.select(*axis.keys, axis.ts, "close"), daily, axis, lag_days).withColumn("fwd", forward_return(axis))
-    return long_panel(df, axis, "carry", timeframe)
+    df = with_rate_features(bars.select(*axis.keys, axis.ts, "close"), daily, axis, lag_days)
+    return long_panel(_with_next(df, axis), axis, "carry", timeframe)
 
 
 def screen(panel: DataFrame, extra_tests: int = 84, alpha: float = 0.05) -> DataFrame:
