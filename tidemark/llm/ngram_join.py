@@ -41,7 +41,7 @@ from pyspark.sql import Window
 
 from . import hashing as H
 from .components import connected_components
-from .scratch import Scratch, if_small
+from .scratch import Scratch, Sieve, if_small
 
 U = np.uint64
 LAYOUTS = 4
@@ -177,11 +177,13 @@ def _set_maker(width: int):
 def shingle_table(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, fp1, words): sorted shingle hashes of the documents whose id and set are in the written table ``ids``, a row for each.
 
-    While ``ids`` can be broadcast, no text is shuffled.
+    A sieve of bounded size leaves out nearly all other texts where they
+    stand; only what it lets through is joined, so few texts are shuffled.
     """
-    wanted = docs.select("doc_id", "text").join(if_small(ids.select(F.col("id").alias("doc_id")), 48), "doc_id", "left_semi")
+    maybe, _ = Sieve(ids, "id").split(docs.select("doc_id", "text"), F.col("doc_id"))
+    wanted = maybe.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     sets = wanted.select("doc_id", "text").mapInArrow(_set_maker(width), "id long, fp1 long, words array<long>")
-    return sets.join(if_small(ids, 64), ["id", "fp1"], "left_semi").dropDuplicates(["id", "fp1"])
+    return sets.join(ids, ["id", "fp1"], "left_semi").dropDuplicates(["id", "fp1"])
 
 
 def close_pairs(n: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:

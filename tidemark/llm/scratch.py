@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
@@ -50,6 +50,38 @@ def if_small(table: DataFrame, bytes_a_row: int, most: int = 64 << 20) -> DataFr
     return F.broadcast(table) if table.count() * bytes_a_row <= most else table
 
 
+WORDS = 1 << 19  # of a sieve, at most: 4 MB of bits
+
+
+class Sieve:
+    """A filter of bounded size for the keys of a written table: it lets all of them through, and few other rows.
+
+    Every key sets four bits of one of at most WORDS words of 64 bits, so what
+    is broadcast does not grow with the data.  With very many keys more other
+    rows pass, which costs the exact join behind it, never a result.
+    """
+
+    def __init__(self, keys: DataFrame, *key: str):
+        n = keys.count()
+        self.words = min(WORDS, 1 << (n // 6).bit_length())
+        self.bits = keys.select(*self._place(*map(F.col, key))).groupBy("__word").agg(F.bit_or("__mask").alias("__bits"))
+
+    def _place(self, *key: Column) -> list[Column]:
+        h = F.xxhash64(*key, F.lit(77))
+        mask = F.lit(0).cast("long")
+        for k in range(4):
+            mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 6 * k).bitwiseAND(F.lit(63)).cast("int")))
+        return [F.pmod(F.shiftright(h, 24), F.lit(self.words)).alias("__word"), mask.alias("__mask")]
+
+    def split(self, df: DataFrame, *key: Column) -> tuple[DataFrame, DataFrame]:
+        """Rows of ``df`` that may have one of the keys, and rows that have none; no row is shuffled."""
+        word, mask = self._place(*key)
+        marked = df.withColumns({"__w": word, "__m": mask})
+        hit = (F.col("__w") == F.col("__word")) & (F.col("__bits").bitwiseAND(F.col("__m")) == F.col("__m"))
+        bits = F.broadcast(self.bits)
+        return tuple(marked.join(bits, hit, how).select(*df.columns) for how in ("left_semi", "left_anti"))
+
+
 class Scratch:
     """Named tables under one fresh folder; ``close`` removes all but those kept."""
 

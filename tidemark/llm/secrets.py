@@ -19,7 +19,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, Sieve
 from .spans import match_spans
 
 TOKEN = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])(?=[0-9_+/=.-]*+[A-Za-z])[A-Za-z0-9_+/=.-]{16,}+(?![A-Za-z0-9_+/=.-])"
@@ -33,7 +33,6 @@ KNOWN = (
     "|npm_[A-Za-z0-9]{36}|SG[.][A-Za-z0-9_-]{22}[.][A-Za-z0-9_-]{43}|eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,})"
 )
 KEEP = 0.5
-BROADCAST = 64 << 20  # bytes of the spans found up to which they are broadcast
 MASK = "<secret>"
 # Words that ordinary identifiers, paths and samples are made of.
 DICTIONARY = (
@@ -181,12 +180,11 @@ def digest(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, scanned: DataFrame) -> DataFrame:
     """``docs`` with each secret in text replaced by a mask and n_chars brought up to date, if it is there."""
     hits = scanned.where("size(spans) > 0").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.col("spans").alias("__spans")).distinct()
-    rows, spans = scanned.where("size(spans) > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
-    if 128 * rows + 64 * spans <= BROADCAST:  # then no text is shuffled
-        hits = F.broadcast(hits)
-    df = docs.join(hits, F.expr("doc_id <=> __id and xxhash64(coalesce(text, '')) = __h"), "left")
+    # texts without a secret stay where they are
+    maybe, clean = Sieve(hits, "__id", "__h").split(docs, F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    df = maybe.join(hits, F.expr("doc_id <=> __id and xxhash64(coalesce(text, '')) = __h"), "left")
     body = f"aggregate(__spans, named_struct('out', '', 'at', 0), (s, x) -> named_struct('out', concat(s.out, substring(text, s.at + 1, x.start - s.at), '{MASK}'), 'at', x.end), s -> concat(s.out, substring(text, s.at + 1)))"
     df = df.withColumn("text", F.expr(f"if(__spans is null, text, {body})"))
     if "n_chars" in docs.columns:
         df = df.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return df.select(*docs.columns)
+    return clean.unionByName(df.select(*docs.columns))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from .ranges import literal, range_index
-from .scratch import Scratch, if_small
+from .scratch import Scratch, Sieve, if_small
 
 # Frequent function words of English, German, French and Spanish.
 ANCHORS = (
@@ -203,7 +203,8 @@ def class_links(s: Scratch, docs: DataFrame, num: int = 80, den: int = 100, cell
     # the sets of classes that are left, once for each class
     names = s.table(left.select(*NAMES).distinct(), "names")
     wanted = s.table(classes.join(if_small(names, 64), NAMES).select(F.col("id").alias("doc_id"), *NAMES, "under"), "wanted")
-    full = live.join(if_small(wanted.select("doc_id", *NAMES), 64), ["doc_id", *NAMES]).dropDuplicates(NAMES)
+    maybe, _ = Sieve(wanted, "doc_id", *NAMES).split(live, *map(F.col, ["doc_id", *NAMES]))
+    full = maybe.join(wanted.select("doc_id", *NAMES), ["doc_id", *NAMES]).dropDuplicates(NAMES)
     full = s.table(full.join(wanted.drop("doc_id"), NAMES).select(*NAMES, "sigs", "under"), "full")
     x = F.struct("own", "chunk", *NAMES, "sketch", "under", "sigs").alias("x")
     cells = left.join(full, NAMES).groupBy(*place).agg(F.collect_list(x).alias("xs"))
