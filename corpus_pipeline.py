@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import langid, mixing, ngram_join, packing, secrets
 from tidemark.llm.queries import WEIGHTS, read, vocabulary
-from tidemark.llm.scratch import Scratch, if_small
+from tidemark.llm.scratch import Scratch, Sieve
 
 SEQUENCE, DOCUMENTS = 1024, 64  # tokens and documents of a sequence, at most
 
@@ -56,15 +56,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         named = groups.join(df.select("__id", "doc_id").distinct(), "__id")
         least = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "__id")).alias("least"))
         gone = named.join(least, "component_id").where(F.col("__id") != F.col("least.__id")).select("__id")
-    # what goes is broadcast while it is counted small, and then no text is shuffled
     gone = s.table(gone, "gone")
     s.close("twice", "gone")
-    kept = df.join(if_small(gone, 48), "__id", "left_anti").select("__id", *docs.columns)
+    # a sieve of bounded size passes nearly all texts where they stand; few are shuffled
+    maybe, stay = Sieve(gone, "__id").split(df, F.col("__id"))
+    kept = stay.unionByName(maybe.join(gone, "__id", "left_anti").select(*df.columns)).select("__id", *docs.columns)
     if twice.isEmpty():
         return kept.select(*docs.columns)
-    again = if_small(twice.select("doc_id"), 48)
-    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns))
+    again, once = Sieve(twice, "doc_id").split(kept, F.col("doc_id"))
+    once = once.unionByName(again.join(twice, "doc_id", "left_anti").select(*kept.columns))
+    return once.unionByName(again.join(twice, "doc_id", "left_semi").select(*kept.columns).dropDuplicates(["__id"])).select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,14 +80,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     toxic ones.  A rate of 1 keeps a document once, one of 0 drops it.
     """
     rated = mixing.mix(spark, docs, read(spark, sf_dir, "labels"))
-    # equal rows have equal rates
+    # equal rows have equal rates; most documents are kept once, and they stay where they are
     copies = rated.groupBy(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).agg(F.max("copies").alias("__copies"))
     s = Scratch(spark, "copies")
-    copies = s.table(copies.where("__copies > 0"), "copies")
+    copies = s.table(copies.where("__copies <> 1"), "copies")
     s.close("copies")
-    df = docs.join(if_small(copies, 96), F.expr("doc_id <=> __id and xxhash64(coalesce(text, '')) = __h")).where("__copies > 0")
-    many = F.explode(F.sequence(F.lit(1), F.col("__copies")))
-    return df.withColumn("__i", many).select(*docs.columns)
+    maybe, once = Sieve(copies, "__id", "__h").split(docs, F.col("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    df = maybe.join(copies, F.expr("doc_id <=> __id and xxhash64(coalesce(text, '')) = __h"), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1).cast("long")))
+    many = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies").cast("long")))
+    return once.unionByName(df.where("__copies > 0").withColumn("__i", many).select(*docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
