@@ -360,6 +360,37 @@ def test_planted_secrets(spark, docs):
     assert masked[29] == 'password = "<secret>" in config'
 
 
+def test_secrets_of_json_logins_and_pass_phrases(spark):
+    yes = ['{"password": "hunter2!Xy"}', '{"client_secret": "Zx81-qqL0"}', "{'db_password': 'k3_Vn!pQz8'}", "password = hunter2!Xy9", "token => 9f8e7d6c5b4a", 'passphrase: "station color battery 42 shelf"', "https://deploy:S3cr3tPass9@db.example/x", "postgres://app:q7#Lw2$zR@10.0.0.5/main"]
+    held = ["hunter2!Xy", "Zx81-qqL0", "k3_Vn!pQz8", "hunter2!Xy9", "9f8e7d6c5b4a", "station color battery 42 shelf", "S3cr3tPass9", "q7#Lw2$zR"]
+    no = ["password: required", "secret = getSecret(name)", "token = null", 'password = "your password"', "password = ${DB_PASSWORD}", "api_key: string", "see https://example.com:8080/path", "mail bob@example.com about the token: today"]
+    df = spark.createDataFrame([(i, f"line one {t} and more") for i, t in enumerate(yes + no)], "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in secrets.redact(df, secrets.scan(spark, df)).collect()}
+    for i, (t, v) in enumerate(zip(yes, held, strict=True)):
+        assert masked[i] == f"line one {t.replace(v, secrets.MASK)} and more", t
+    for i, t in enumerate(no, len(yes)):
+        assert masked[i] == f"line one {t} and more", t
+
+
+@pytest.mark.parametrize("kind", range(3))
+def test_forest_on_kinds_it_has_not_seen(spark, monkeypatch, kind):
+    """Trained without two forms of secrets and two of look-alikes, tested on these alone."""
+    own = lambda xs: [x for i, x in enumerate(xs) if i % 4 == kind]
+    rest = lambda xs: tuple(x for x in xs if x not in own(xs)[:2])
+    s, l = secrets.SECRETS, secrets.LOOKALIKES
+    monkeypatch.setattr(secrets, "SECRETS", rest(s))
+    monkeypatch.setattr(secrets, "LOOKALIKES", rest(l))
+    model = secrets.train(secrets.constructed(spark))
+    monkeypatch.setattr(secrets, "SECRETS", tuple(own(s)[:2]))
+    monkeypatch.setattr(secrets, "LOOKALIKES", tuple(own(l)[:2]))
+    new = secrets.constructed(spark, rows=2000, seed=3).dropDuplicates(["m", "f", "label"])
+    got = Counter((r["label"], r["prediction"]) for r in model.transform(secrets._features(new)).select("label", "prediction").collect())
+    recall = got[1.0, 1.0] / (got[1.0, 1.0] + got[1.0, 0.0])
+    precision = got[1.0, 1.0] / (got[1.0, 1.0] + got[0.0, 1.0])
+    print(f"kind {kind}: recall {recall:.3f}, precision {precision:.3f}")
+    assert recall >= 0.75 and precision >= 0.75
+
+
 def test_forest_on_held_out_findings(spark):
     model = secrets.train(secrets.constructed(spark))
     new = secrets.constructed(spark, rows=3000, seed=2).dropDuplicates(["m", "f", "label"])

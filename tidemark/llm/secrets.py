@@ -23,10 +23,15 @@ from .scratch import Scratch, Sieve
 from .spans import match_spans
 
 TOKEN = r"(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]*+[0-9])(?=[0-9_+/=.-]*+[A-Za-z])[A-Za-z0-9_+/=.-]{16,}+(?![A-Za-z0-9_+/=.-])"
-ASSIGNED = r"(?i)(?<=(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20\x09]{0,3}[:=][\x20\x09]{0,3}[\"'])[^\s\"']{6,}+(?=[\"'])"
+# A name that speaks of a secret, in quotes or not, and what assigns to it.
+NAMED = r"(?:password|passwd|pwd|secret|token|api[_-]?key|passphrase|credential)[\"']?[\x20\x09]{0,3}(?:=>|[:=])[\x20\x09]{0,3}"
+# Each looks at the one or two characters before it first, as a long look behind is tried at every length.
+ASSIGNED = rf"(?i:(?<=[\"'])(?<={NAMED}[\"'])[^\s\"'][^\"'\r\n]{{4,}}+(?=[\"']))"  # words of a pass phrase included
+UNQUOTED = rf"(?i:(?<=[:=>][\x20\x09]{{0,3}})(?=[^\s\"',;(){{}}\[\]<>]{{6}})(?<={NAMED})[^\s\"',;(){{}}\[\]<>]{{6,}}+(?![(<\[]))"
+LOGIN = r"(?<=:)(?<=://[A-Za-z0-9._%-]{1,64}:)[^\s:@/\"']{4,}+(?=@[A-Za-z0-9])"
 HEADER = r"-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----"
 PRIVATE = HEADER + r"(?:(?:[^-]|-(?!----))*+-----END [A-Z ]{0,32}PRIVATE KEY-----|(?:(?:\s|\\[rn])*+[A-Za-z0-9+/=]{32,}+)*+)"
-PATTERN = f"{PRIVATE}|{ASSIGNED}|{TOKEN}"
+PATTERN = f"{PRIVATE}|{LOGIN}|{ASSIGNED}|{UNQUOTED}|{TOKEN}"
 # Formats that providers give their tokens.
 KNOWN = (
     "(^|[^A-Za-z0-9])((AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|github_pat_[A-Za-z0-9_]{22}|glpat-[A-Za-z0-9_-]{20}|xox[abeprs]-[A-Za-z0-9-]{10}|[rs]k_(live|test)_[A-Za-z0-9]{16}|AIza[0-9A-Za-z_-]{35}"
@@ -43,8 +48,8 @@ DICTIONARY = (
     "service session setting source start state static status string style system table target temp template test text time title total true type "
     "update upload user utils value version video view web width work www"
 ).split()
-NEAR = "secret|token|passw|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential"
-FEATURES = ("length", "transitions", "digits", "upper", "hex", "distinct", "dictionary", "slashes", "dots", "path", "keyword", "assigned", "quoted", "header", "known")
+NEAR = "secret|token|passw|passphrase|pwd|api[_-]?key|apikey|access[_-]?key|private[_-]?key|auth|bearer|credential"
+FEATURES = ("length", "transitions", "digits", "upper", "hex", "distinct", "dictionary", "slashes", "dots", "path", "keyword", "assigned", "quoted", "header", "known", "signs", "login", "spaces")
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -70,6 +75,9 @@ def candidates(docs: DataFrame) -> DataFrame:
         "quoted": "if(y.before rlike '[\"\\']$' and y.after rlike '^[\"\\']', 1D, 0D)",
         "header": "if(y.m like '-----BEGIN%', 1D, 0D)",
         "known": f"if(y.m rlike '{KNOWN}', 1D, 0D)",
+        "signs": share("!@#$%^&*?~+=|"),
+        "login": "if(y.before rlike '://[^/ ]*:$' and y.after like '@%', 1D, 0D)",
+        "spaces": f"(length(y.m) - length(translate(y.m, ' ', ''))) / {n}",
     }
     array = ", ".join(f"cast({f[k]} as double)" for k in FEATURES)
     span = f"named_struct('start', y.start, 'end', y.start + y.length, 'm', y.m, 'f', array({array}))"
@@ -77,15 +85,19 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 # Constructed findings.  Each value is made from a row's random hex digits r and words; each stands behind one of the openings of its kind.
-NAMES = ("password", "passwd", "db_password", "secret", "client_secret", "token", "access_token", "auth_token", "api_key", "apikey", "API_KEY", "AWS_SECRET_ACCESS_KEY", "private_key", "credential")
+NAMES = ("password", "passphrase", "passwd", "db_password", "secret", "client_secret", "token", "access_token", "auth_token", "api_key", "apikey", "API_KEY", "AWS_SECRET_ACCESS_KEY", "private_key", "credential")
 SECRETS = (
     "substring(r, 1, 32)", "substring(r, 1, 40)", "r", "translate(base64(unhex(r)), '=', '')", "substring(translate(base64(unhex(r)), '+/=', ''), 1, 16 + n % 24)",
     "concat(upper(substring(r, 1, 4)), '-', substring(translate(base64(unhex(r)), '+/=', ''), 1, 20))", "concat(substring(translate(base64(unhex(r)), '+/=', ''), 1, 10), '_', substring(r, 5, 8), '!')",
     "concat(substring(translate(base64(unhex(r)), '+/=', ''), 1, 16), '.', substring(translate(base64(unhex(r)), '+/=', ''), 17, 20))",
+    # what people choose: a word, digits and signs; words of a phrase
+    "concat(w[0], n % 99, '!', initcap(substring(r, 1, 3)))", "concat(initcap(w[0]), '-', substring(r, 1, 3), '#', n % 999)", "concat(substring(translate(base64(unhex(r)), '+/=', ''), 1, 7), '$', n % 9)",
+    "concat(w[0], ' ', w[1], ' ', w[2], ' ', w[3], ' ', n % 99)", "concat(translate(substring(r, 1, 6), '0123456789', 'ghijklmnop'), ' ', w[1], ' ', translate(substring(r, 7, 5), '0123456789', 'qrstuvwxyz'), ' ', n % 99, ' ', translate(substring(r, 13, 5), '0123456789', 'ghijklmnop'))",
 )
 LOOKALIKES = (
     "concat(w[0], '/', w[1], '/', w[2], n % 9, '.', substring(w[3], 1, 3))", "concat('/', w[0], '/', w[1], '/', w[2], '/', n % 99, '/', w[3])", "concat(w[0], n % 9, '.', w[1], '.', w[2], '.com')", "concat(w[0], '_', w[1], '_', w[2], '_', n % 99)",
     "concat(w[0], initcap(w[1]), initcap(w[2]), n % 9, initcap(w[3]))", "concat(w[0], '.', w[1], '.', w[2], '.', w[3], n % 9)", "concat('https/', w[0], '.', w[1], '.org/', w[2], '/', n % 999)", "concat('v', n % 9, '.', n % 7, '.', n % 31, '-', w[0], '.', w[1])",
+    "concat(w[0], '_', w[1])", "concat(w[0], initcap(w[1]))", "concat('your ', w[0], ' ', w[1])", "concat('$', upper(w[0]), '_', upper(w[1]))", "concat(w[0], '.', w[1], '.', w[2])", "concat('********', repeat('*', n % 4))", "translate(substring(r, 1, 6 + n % 5), '0123456789', 'ghijklmnop')", "initcap(translate(substring(r, 1, 6 + n % 7), '0123456789', 'eeiioouaie'))", "concat(w[0], w[1])", "concat('the ', w[0], ' of the ', w[1], ' is ', w[2])",
     "concat('20', 10 + n % 15, '-0', 1 + n % 9, '-1', n % 9, 'T1', n % 9, '.20.30Z')", "concat('your_', w[0], '_', w[1], '_here_', n % 9)", "concat(repeat('x', 16 + n % 9), n % 9)", "concat(w[0], repeat('-', 1), w[1], '-', w[2], '-', w[3], '-', n % 99)",
 )
 DIGESTS = ("substring(r, 1, 32)", "substring(r, 1, 40)", "r", "concat(substring(r, 1, 8), '-', substring(r, 9, 4), '-4', substring(r, 13, 3), '-a', substring(r, 16, 3), '-', substring(r, 20, 12))")
@@ -108,17 +120,19 @@ def constructed(spark: SparkSession, rows: int = 6000, seed: int = 1) -> DataFra
     df = df.select("id", F.expr("sha2(cast(id as string), 256) as r"), F.expr("cast(pmod(xxhash64(id, 3), 1000) as int) as n"), F.expr(f"array({words}) as w"))
     df = df.withColumn("__kind", F.expr("cast(pmod(xxhash64(id, 9), 20) as int)"))
     name = f"element_at({text(NAMES)}, cast(pmod(xxhash64(id, 10), {len(NAMES)}) as int) + 1)"
-    assign = f"concat({name}, {pick([repr(x) for x in (' = ', '=', ': ', ' : ')], 11)}, {{q}})"
+    shown = f"case n % 5 when 0 then concat('\"', {name}, '\"') when 1 then concat('\\'', {name}, '\\'') else {name} end"
+    assign = f"concat({shown}, {pick([repr(x) for x in (' = ', '=', ': ', ' : ', ' => ')], 11)}, {{q}})"
     quote = "if(n % 4 > 0, '\"', if(n % 8 = 0, '\\'', ''))"
     opened = assign.replace("{q}", quote)
-    bearer = pick(["'Authorization: Bearer '", "'x-api-key: '", "'bearer token '", "'curl -u admin:'"], 12)
+    bearer = pick(["'Authorization: Bearer '", "'x-api-key: '", "'bearer token '", "'curl -u admin:'", "concat('postgres://', w[0], ':')", "concat('https://', w[0], '.', w[1], ':')"], 12)
     value = f"case when __kind < 10 then {pick(list(SECRETS), 13)} when __kind < 13 then {pick(list(DIGESTS), 14)} else {pick(list(LOOKALIKES), 15)} end"
     before = (
         f"case when __kind < 8 then {opened} when __kind < 10 then {bearer} when __kind < 13 then element_at({text(SUMS)}, cast(pmod(xxhash64(id, 16), {len(SUMS)}) as int) + 1)"
         f" when __kind < 16 then {opened} else element_at({text(PLAIN)}, cast(pmod(xxhash64(id, 17), {len(PLAIN)}) as int) + 1) end"
     )
     df = df.withColumn("__before", F.expr(f"concat(w[3], ' ', w[1], if(n % 2 = 0, '\n', ' '), {before})")).withColumn("__value", F.expr(value))
-    close = "case when __before like '%\"' then '\"' when __before like '%\\'' then '\\'' when __before like '%(' then ')' else '' end"
+    df = df.withColumn("__value", F.expr("if(__before rlike '[\"\\']$', __value, if(__before like '%://%:', translate(__value, ' @:/', ''), replace(__value, ' ', '_')))"))  # words of a phrase stand in quotes
+    close = "case when __before like '%://%:' then concat('@', w[1], '.example') when __before like '%\"' then '\"' when __before like '%\\'' then '\\'' when __before like '%(' then ')' else '' end"
     df = df.select(F.col("id").alias("doc_id"), F.expr("if(__kind < 10, 1D, 0D)").alias("label"), F.length("__before").alias("__from"), F.expr(f"concat(__before, __value, {close}, if(n % 3 = 0, '\n', ' '), w[2], ' ', w[0])").alias("text"))
     found = candidates(df).select("label", "__from", F.explode("found").alias("x"))
     return found.where(F.col("x.start") <= F.col("__from") + 2).where(F.col("x.end") > F.col("__from")).select("x.m", "x.f", "label")
@@ -146,6 +160,17 @@ def train(labelled: DataFrame, most: int = 20_000, trees: int = 24, depth: int =
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, weightCol="weight").fit(rows)
 
 
+_forests: dict[str, RandomForestClassificationModel | None] = {}
+
+
+def _own(spark: SparkSession) -> RandomForestClassificationModel | None:
+    """The forest of the constructed findings, fitted once in an application."""
+    key = spark.sparkContext.applicationId
+    if key not in _forests:
+        _forests[key] = train(constructed(spark))
+    return _forests[key]
+
+
 def scan(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """(doc_id, h, n_candidates, spans): h hashes the text; spans (start, end, score) of the secrets found, by start.
 
@@ -159,7 +184,7 @@ def scan(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None
     found = candidates(docs.select("doc_id", text.alias("text"))).select("doc_id", F.xxhash64("text").alias("h"), "found")
     found = s.table(found, "found")
     rows = found.where("size(found) > 0").dropDuplicates(["doc_id", "h"]).select("doc_id", "h", F.explode("found").alias("x")).select("doc_id", "h", "x.*")
-    model = train(constructed(spark) if labelled is None else labelled)
+    model = _own(spark) if labelled is None else train(labelled)
     sure = (F.col("f")[FEATURES.index("header")] == 1) | (F.col("f")[FEATURES.index("known")] == 1)
     scored = rows.withColumn("score", F.lit(0.0)) if model is None else model.transform(_features(rows)).withColumn("score", vector_to_array("probability")[1])
     scored = scored.withColumn("score", F.when(sure, F.lit(1.0)).otherwise(F.col("score"))).where(F.col("score") >= KEEP)
