@@ -69,7 +69,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Put a mask in the place of every secret; no document goes."""
+    """Put a mask in the place of every secret; no document goes.
+
+    Null and empty texts stay as they are; rows with equal doc_id and text are
+    masked alike, those with equal doc_id and other texts each by their own
+    findings; n_chars follows the text.
+    """
     return secrets.redact(docs, secrets.scan(spark, docs))
 
 
@@ -77,7 +82,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or drop documents by their fitted rates.
 
     The targets are all clean tokens, half of the low-quality ones and no
-    toxic ones.  A rate of 1 keeps a document once, one of 0 drops it.
+    toxic ones.  A rate of 1 keeps a document once, one of 0 drops it.  Null
+    and empty texts weigh nothing in the fit and are copied by their own rate;
+    rows with equal doc_id and text have one rate and are each copied by it;
+    without labels all is clean.
     """
     rated = mixing.mix(spark, docs, read(spark, sf_dir, "labels"))
     # equal rows have equal rates; most documents are kept once, and they stay where they are
@@ -92,7 +100,11 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 1024 tokens in best-fit packed sequences of at most 64 documents."""
+    """Pieces of at most 1024 tokens in best-fit packed sequences of at most 64 documents.
+
+    A null or empty text is its end token.  Repeated rows are packed each; of
+    equal fits any sequence may be taken.  Rows without doc_id keep none.
+    """
     capacity = packing.Capacity(SEQUENCE, documents=DOCUMENTS, cost=SEQUENCE**2, weights=WEIGHTS)
     return packing.pack(spark, packing.token_pieces(docs, *vocabulary(), SEQUENCE), capacity)
 
