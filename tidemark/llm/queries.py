@@ -22,18 +22,21 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set sizes, components and link numbers of all documents at 0.85 of their four-word shingles; edge cases as in ``jaccard_components``."""
     from .ngram_join import jaccard_components
 
     return jaccard_components(spark, read(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in all whole texts; null texts are empty, repeated rows are found each."""
     from .pii import digest, find_personal_data
 
     return digest(find_personal_data(spark, read(spark, sf_dir, "documents")))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes; null texts count as empty, equal ids are told apart by their texts."""
     from .sharding import record_keys, shard_by_bytes
 
     out = shard_by_bytes(spark, record_keys(read(spark, sf_dir, "documents")), SHARDS)
@@ -41,24 +44,28 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth; null, zero and non-finite vectors take no part, ties go to the smaller vec_id."""
     from .ann import search
 
     return search(spark, read(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
 
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts, of their edits and of the next, with classes and links; null texts are empty, null ids come last."""
     from .spotsigs import linked_report
 
     return linked_report(spark, read(spark, sf_dir, "documents"))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and spans of secrets in all whole texts; null texts are empty, equal rows count once."""
     from .secrets import digest, scan
 
     return digest(scan(spark, read(spark, sf_dir, "documents")))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token pieces in as few sequences of 1024 as best fit finds; null texts are the end token alone."""
     from .packing import Capacity, pack, token_pieces
 
     pieces = token_pieces(read(spark, sf_dir, "documents"), *vocabulary(), SEQUENCE)
@@ -66,6 +73,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language for every text with a letter, ``und`` for the others; rows without doc_id are held out."""
     from .langid import fit, identify
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -75,12 +83,14 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back; null payloads are empty, and equal ones revisit the smallest page_id."""
     from .warc import round_trip
 
     return round_trip(spark, read(spark, sf_dir, "pages"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors, rates and copies of all documents; null and empty texts weigh nothing."""
     from .mixing import mix
 
     return mix(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("h")
