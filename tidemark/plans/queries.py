@@ -152,10 +152,12 @@ def holdout_split(spark, d):
 
 def _folder(spark) -> str:
     """A fresh folder where driver and executors share files; it goes when the application ends."""
-    folder = f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
+    parent = f"{shared_dir(spark)}/sources-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{parent}/table"
 
 
 @query(f"WITH {HOURS} SELECT symbol, {SEC}, {OHLC} FROM h WHERE symbol = 'click'")
