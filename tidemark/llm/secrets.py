@@ -131,6 +131,10 @@ def constructed(spark: SparkSession, rows: int = 6000, seed: int = 1) -> DataFra
         f" when __kind < 16 then {opened} else element_at({text(PLAIN)}, cast(pmod(xxhash64(id, 17), {len(PLAIN)}) as int) + 1) end"
     )
     df = df.withColumn("__before", F.expr(f"concat(w[3], ' ', w[1], if(n % 2 = 0, '\n', ' '), {before})")).withColumn("__value", F.expr(value))
+    # written, as what comes after would repeat these long expressions wherever it names them
+    s = Scratch(spark, "constructed")
+    df = s.table(df.select("id", "n", "w", "__kind", "__before", "__value"), "values")
+    s.close("values")
     df = df.withColumn("__value", F.expr("if(__before rlike '[\"\\']$', __value, if(__before like '%://%:', translate(__value, ' @:/', ''), replace(__value, ' ', '_')))"))  # words of a phrase stand in quotes
     close = "case when __before like '%://%:' then concat('@', w[1], '.example') when __before like '%\"' then '\"' when __before like '%\\'' then '\\'' when __before like '%(' then ')' else '' end"
     df = df.select(F.col("id").alias("doc_id"), F.expr("if(__kind < 10, 1D, 0D)").alias("label"), F.length("__before").alias("__from"), F.expr(f"concat(__before, __value, {close}, if(n % 3 = 0, '\n', ' '), w[2], ' ', w[0])").alias("text"))
@@ -148,7 +152,9 @@ def train(labelled: DataFrame, most: int = 20_000, trees: int = 24, depth: int =
 
     None where the findings hold only one label.
     """
-    findings = labelled.groupBy("m", "f", "label").agg(F.count(F.lit(1)).alias("times"))  # a value that is repeated is one row
+    s = Scratch(labelled.sparkSession, "findings")
+    findings = s.table(labelled.select("m", "f", "label").distinct(), "findings")  # a value that is repeated is one row
+    s.close("findings")
     counts = {r[0]: r[1] for r in findings.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
