@@ -163,6 +163,40 @@ def test_lm_query(spark):
     assert sum(rows[i]["score"] for i in held) > sum(rows[i]["base_score"] for i in held)
 
 
+# --- sets of cells, and sieves -----------------------------------------------
+
+
+def test_large_sets_are_compared_by_ranges(monkeypatch):
+    from tidemark.llm import ngram_join
+
+    rng = np.random.default_rng(0)
+    pool = rng.integers(-(2**63), 2**63 - 1, 3000)
+    sets = [np.sort(rng.choice(pool, rng.integers(0, 2000), replace=False).view(np.uint64)).view(np.int64) for _ in range(40)]
+    i, j = np.triu_indices(40, 1)
+    want = [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    for most in (1 << 20, 1000, 100):
+        monkeypatch.setattr(ngram_join, "ELEMENTS", most)
+        assert ngram_join.shared(sets, i, j).tolist() == want
+
+
+@pytest.mark.parametrize("words", [1 << 19, 4])
+def test_a_sieve_loses_no_key_and_no_row(spark, monkeypatch, words):
+    """Also when it is far too small for its keys, and with null and repeated ones."""
+    from tidemark.llm import scratch
+
+    monkeypatch.setattr(scratch, "WORDS", words)
+    s = scratch.Scratch(spark, "sieve")
+    keys = s.table(spark.range(0, 3000, 3).select("id", F.when(F.col("id") % 2 == 0, "x").alias("kind")))
+    df = spark.range(3000).select(F.when(F.col("id") != 5, F.col("id")).alias("a"), F.when(F.col("id") % 2 == 0, "x").alias("b"), F.lit(1).alias("id"))
+    df = df.unionByName(df.where("a = 6"))
+    maybe, none = scratch.Sieve(keys, "id", "kind").split(df, F.col("a"), F.col("b"))
+    assert maybe.count() + none.count() == 3001 and maybe.columns == df.columns
+    assert none.where("a % 3 = 0").count() == 0 and maybe.where("a = 6").count() == 2
+    if words > 4:
+        assert maybe.count() < 1300
+    s.close()
+
+
 # --- conversation repair ----------------------------------------------------
 
 NEXT = {0: 2, 1: 2, 2: 3, 3: 2}
