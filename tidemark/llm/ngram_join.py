@@ -46,6 +46,7 @@ from .scratch import Scratch, Sieve, if_small
 U = np.uint64
 LAYOUTS = 4
 CELL = 512
+ELEMENTS = 1 << 20  # of the sets of a cell that are compared at once
 LEAST = 8  # keys of a set that the first look at its cells knows
 SHARE, HOT = 32, 16  # of the sets one in SHARE is drawn, and a block that HOT of them share is hot
 MOST_HOT = 500_000
@@ -211,9 +212,20 @@ def close_pairs(n: np.ndarray, sketches: list[np.ndarray], num: int, den: int) -
 
 
 def shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of sets[i] and sets[j], pair by pair."""
+    """Sizes of the intersections of sets[i] and sets[j], pair by pair.
+
+    Large sets are compared by ranges of their elements, which bounds the memory.
+    """
     if len(i) <= len(sets):
         return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)], np.int64)
+    parts = -(-sum(map(len, sets)) // ELEMENTS)
+    if parts > 1:
+        of = [((x.view(U) >> U(32)) * U(parts)) >> U(32) for x in sets]
+        return sum(_shared([x[p == k] for x, p in zip(sets, of, strict=True)], i, j) for k in range(parts))
+    return _shared(sets, i, j)
+
+
+def _shared(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     _, code, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     twice = held > 1  # what one set alone holds is in no intersection
@@ -307,6 +319,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 5, num
     groups = s.table(_groups(s, member, classes), "groups")
     rep = s.table(member.groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("id")), "classes")
     found = s.table(_links(s, docs, groups, sketches, rep, width, num, den), "found")
+    s.drop("cells", "own", "maybe", "wanted", "sets")
     labels = connected_components(found.where("id <> up").select(F.col("id").alias("a"), F.col("up").alias("b")).distinct(), s)
     links = found.groupBy("id", "fp1").agg(F.sum("links").alias("links"))
     rep = rep.join(labels, "id", "left").join(links, ["id", "fp1"], "left")
@@ -348,6 +361,7 @@ def _links(s: Scratch, docs: DataFrame, groups: DataFrame, sketches: DataFrame,
     # blocks shared by the same members give the same comparisons: one of them is enough
     keys = s.table(groups.groupBy("size", "h1", "h2").agg(F.min("key").alias("key")).select("key"), "open")
     held = s.table(groups.join(if_small(keys, 48), "key").select("key", "id", "size").repartition("key", "id").distinct(), "held")
+    s.drop("groups", "hot", "open")  # what is written from them stands by itself
     own = held.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("own"))
     own = classes.join(own, "id").join(sketches.select(F.col("doc_id").alias("id"), "n", "fp1", "fp2", "sketch"), ["id", "n", "fp1", "fp2"])
     own = s.table(own.dropDuplicates(["id", "fp1", "fp2"]).select("id", "n", "fp1", "sketch", "own"), "own")
@@ -360,6 +374,7 @@ def _links(s: Scratch, docs: DataFrame, groups: DataFrame, sketches: DataFrame,
         .select("key", F.least("chunk", "other").alias("ci"), F.greatest("chunk", "other").alias("cj"), "chunk", "id", "fp1", "n", "sketch", "lesser")
     )
     cells = s.table(cells, "cells")
+    s.drop("held")
     # two sets that share one of their few least keys count there; whether others share a lesser key is seen where the sets are
     dealt = lambda df: df.repartition("key", "ci", "cj").sortWithinPartitions("key", "ci", "cj")
     maybe = s.table(dealt(cells).mapInArrow(_cells(num, den, False), CELLS).select("id", "fp1", "key", "ci", "cj"), "maybe")
