@@ -91,3 +91,32 @@ def test_bootstrap_states_give_what_drawn_returns_give(spark, n, block):
         drawn.append((x.mean() / x.std(ddof=1) * math.sqrt(252), np.prod(1 + x) - 1, x.mean()))
     want = [v for c in np.array(drawn).T for v in np.percentile(c, [2.5, 97.5])]
     np.testing.assert_allclose(list(got)[1:], want, atol=1e-9)
+
+
+@pytest.mark.parametrize("joins", ["10m", "-1"])
+def test_bootstrap_takes_rings_whole_however_spark_merges_partitions(spark, joins):
+    """Starts near a series' end and last blocks lose nothing where Spark makes fewer tasks of some shuffles."""
+    import hashlib
+
+    rng, n, block, reps = np.random.default_rng(5), 1499, 24, 40
+    series = {s: rng.normal(0.001, 0.05, n - i) for i, s in enumerate("abcdefg")}
+    p = pd.concat([pd.DataFrame({"symbol": s, "ts": pd.date_range("2024-01-01", periods=len(r), freq="h"), "r": r}) for s, r in series.items()])
+    conf = {"spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": joins, "spark.sql.adaptive.autoBroadcastJoinThreshold": joins, "spark.sql.adaptive.coalescePartitions.minPartitionSize": "4k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = metrics.bootstrap(spark.createDataFrame(p), AXIS, "r", {"mean": F.col("s1") / F.col("n"), "total": F.col("growth") - 1}, block=block, resamples=reps, alpha=0.9)
+        got = {r["symbol"]: list(r)[1:] for r in out.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got.keys() == series.keys()
+    for s, r in series.items():
+        m, drawn = len(r), []
+        for rep in range(reps):
+            starts = [int(hashlib.md5(f"{s}:{rep}:{b}:0".encode()).hexdigest()[:15], 16) % m for b in range(math.ceil(m / block))]
+            x = np.concatenate([r[(a + np.arange(block)) % m] for a in starts])[:m]
+            drawn.append((x.mean(), np.prod(1 + x) - 1))
+        want = [v for c in np.array(drawn).T for v in np.percentile(c, [45, 55])]
+        np.testing.assert_allclose(got[s], want, atol=1e-9, err_msg=s)
