@@ -1,5 +1,6 @@
 """Exact ranks, quantiles and bootstrap intervals that no task computes over a whole group."""
 
+import itertools
 import math
 
 import numpy as np
@@ -120,3 +121,18 @@ def test_bootstrap_takes_rings_whole_however_spark_merges_partitions(spark, join
             drawn.append((x.mean(), np.prod(1 + x) - 1))
         want = [v for c in np.array(drawn).T for v in np.percentile(c, [45, 55])]
         np.testing.assert_allclose(got[s], want, atol=1e-9, err_msg=s)
+
+
+def test_bootstrap_draws_are_not_broadcast(spark, capsys):
+    """Few blocks make many draws, which Spark takes for few as well."""
+    p = pd.DataFrame({"symbol": "a", "ts": pd.date_range("2024-01-01", periods=300, freq="h"), "r": np.random.default_rng(1).normal(0.001, 0.05, 300)})
+    out = metrics.bootstrap(spark.createDataFrame(p), AXIS, "r", {"mean": F.col("s1") / F.col("n")}, block=3, resamples=500)
+    assert len(out.collect()) == 1
+    out.explain()
+    plan = capsys.readouterr().out.split("== Initial Plan ==")[0].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    assert any("isFinalPlan=true" in line for line in plan) and any("md5(" in line for line in plan)
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = "".join(itertools.takewhile(lambda x: depth(x) > depth(line), plan[i + 1 :]))
+            assert "md5(" not in below or "percentile(" in below  # the intervals, a row a key, may be
